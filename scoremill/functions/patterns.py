@@ -18,7 +18,7 @@ Filter = str | re.Pattern
 def compile_filter(text: str) -> Filter:
     """A text is a regular expression when escaping it would change it.
 
-    ``mmlu:mc`` stays an exact name, ``gen-no-jp`` and ``OLMo.*`` become patterns
+    ``mmlu:mc`` stays an exact name, ``gen-no-jp`` and ``click.*`` become patterns
     (a hyphen, dot or space is enough).
     """
     return re.compile(text) if re.escape(text) != text else text
