@@ -110,26 +110,39 @@ def has_column(cells: DataFrame, task: str) -> bool:
 def densify(cells: DataFrame, tasks: Sequence[str]) -> DataFrame:
     """The cells of ``tasks`` for every model of ``cells``, null where there is none.
 
-    Each distinct model is expanded by the task list and merged with the stored cells in one
-    aggregation; stored scores are never overwritten.
+    One pass: a model's stored cells come together in one row, which is as long as the task list at
+    most, and the names it lacks are added there.
     """
     tasks = list(dict.fromkeys(tasks))
-    names = F.array(*map(F.lit, tasks)) if tasks else F.array().cast("array<string>")
-    blank = cells.select("model").distinct().select(
-        "model", F.explode(names).alias("task"), F.lit(None).cast("double").alias("score")
+    if not tasks:
+        return cells.limit(0)
+    stored = F.collect_list(F.when(F.col("task").isin(*tasks), F.struct("task", "score")))
+    names = F.array(*map(F.lit, tasks))
+    blank = F.transform(
+        F.array_except(names, F.transform("stored", lambda c: c["task"])),
+        lambda name: F.struct(name.alias("task"), F.lit(None).cast("double").alias("score")),
+    )
+    return (
+        cells.groupBy("model")
+        .agg(stored.alias("stored"))
+        .select("model", F.explode(F.concat("stored", blank)).alias("c"))
+        .select("model", "c.task", "c.score")
     )
-    return fill(cells.filter(F.col("task").isin(*tasks)) if tasks else cells.limit(0), blank)
 
 
-def missing_per_row(cells: DataFrame) -> DataFrame:
+def missing_per_row(cells: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``model, missing``: the table's tasks that a model has no score for, sorted.
 
-    Counts absent cells and stored nulls. All lists are as long as the table is wide at most.
+    Counts absent cells and stored nulls. Lists are as long as the table is wide at most. Without
+    ``columns`` the task names are read from the table, which costs a second pass over it.
     """
-    columns = cells.agg(F.array_sort(F.collect_set("task"))).scalar()
+    if columns is None:
+        names = cells.agg(F.array_sort(F.collect_set("task"))).scalar()
+    else:
+        names = F.array(*map(F.lit, sorted(set(columns))))
     present = F.collect_set(F.when(F.col("score").isNotNull(), F.col("task")))
     return cells.groupBy("model").agg(present.alias("_present")).select(
-        "model", F.array_except(columns, "_present").alias("missing")
+        "model", F.array_except(names, "_present").alias("missing")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import Filter, compile_filters, matches_any
@@ -77,12 +77,10 @@ def missing_report(
     )
 
 
-def launch_class(task):
+def launch_class(task: Column) -> Column:
     """Class of a task name; the first text that occurs decides."""
-    result = F
-    for text, label in LAUNCH_CLASSES:
-        result = result.when(task.contains(text), F.lit(label))
-    return result.otherwise(F.lit(OTHER_CLASS))
+    found = [F.when(task.contains(text), F.lit(label)) for text, label in LAUNCH_CLASSES]
+    return F.coalesce(*found, F.lit(OTHER_CLASS))
 
 
 def work_list(missing: DataFrame, partition_size: int = 0) -> DataFrame:

@@ -5,8 +5,7 @@ counting once), ``VIEW`` (the children of an AOA without a column of its own) or
 selection that is never averaged). Averages are strict: one missing leaf makes them null.
 
 Nested averages are linear in the leaves. So each suite is flattened on the driver into one weight
-per leaf, and every suite of a table is scored by a single join and a single aggregation, whatever
-the nesting.
+per leaf, and all suites of a table are scored in one pass, whatever the nesting.
 """
 
 from __future__ import annotations
@@ -15,14 +14,16 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import Filter
 
 KINDS = ("AVG", "AOA", "VIEW", "LIST")
 EDGE_TYPE = "suite string, kind string, ord int, child string, child_is_suite boolean"
-WEIGHT_TYPE = "column string, task string, weight double, n_leaves int"
+USES = "array<struct<column:string,weight:double,n_leaves:int>>"
+USE_TYPE = f"task string, uses {USES}"
+PARTS = "array<struct<column:string,part:double,n_leaves:int,own:double,is_direct:boolean>>"
 Combine = Callable[[DataFrame, "SuiteBook", str], DataFrame | None]
 
 
@@ -142,39 +143,69 @@ class SuiteBook:
         return spark.createDataFrame(rows, EDGE_TYPE)
 
 
-def score_columns(cells: DataFrame, columns: dict[str, dict[str, float] | None]) -> DataFrame:
-    """``model, task, score`` of weighted columns for every model of ``cells``.
+def score_columns(
+    cells: DataFrame,
+    columns: dict[str, dict[str, float] | None],
+    direct: Column | None = None,
+) -> DataFrame:
+    """``model, task, score`` of weighted columns, dense over every model of ``cells``.
+
+    A score is null unless the model has all leaves of the column. Cells for which ``direct`` holds
+    are also passed through under their own task name; a stored cell then wins over the weighted
+    column of the same name, even when it is null.
 
-    A score is null unless the model has all leaves of the column. One join against the weights
-    (a local table, broadcast by its own size) and one hash aggregation with partial sums; each
-    distinct model adds a marker row per column so that models without any leaf appear too.
+    The cells are read once. Each cell meets a table with one row per leaf (local data, so Spark
+    broadcasts it or not by its true size), partial sums go to one row per model and column, and
+    the columns a model lacks are added when its row is put together. That row is never longer
+    than the list of columns.
     """
-    spark = cells.sparkSession
-    rows = [
-        (column, leaf, weight, len(weights))
-        for column, weights in columns.items()
-        for leaf, weight in (weights or {}).items()
-    ]
-    weights = spark.createDataFrame(rows, WEIGHT_TYPE)
-    names = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
-    scored = cells.join(weights, "task").select(
-        "model",
-        "column",
-        (F.col("score") * F.col("weight")).alias("part"),
-        F.col("n_leaves"),
+    entries: dict[str, list[tuple[str, float, int]]] = {}
+    for column, weights in columns.items():
+        for leaf, weight in (weights or {}).items():
+            entries.setdefault(leaf, []).append((column, weight, len(weights)))
+    uses = cells.sparkSession.createDataFrame(list(entries.items()), USE_TYPE)
+
+    score = F.col("score")
+    parts = F.transform(
+        F.coalesce("uses", F.array().cast(USES)),
+        lambda u: _part(u["column"], score * u["weight"], u["n_leaves"], F.lit(None).cast("double"), False),
     )
-    marker = cells.select("model").distinct().select(
-        "model",
-        F.explode(names).alias("column"),
-        F.lit(None).cast("double").alias("part"),
-        F.lit(None).cast("int").alias("n_leaves"),
+    if direct is not None:
+        none = F.lit(None)
+        own = _part(F.col("task"), none.cast("double"), none.cast("int"), score, True)
+        parts = F.concat(parts, F.when(direct, F.array(own)).otherwise(F.array().cast(PARTS)))
+    weighted = F.when(F.count("p.part") == F.max("p.n_leaves"), F.sum("p.part"))
+    by_column = (
+        cells.join(uses, "task", "left")
+        .select("model", F.explode_outer(parts).alias("p"))
+        .groupBy("model", F.col("p.column").alias("task"))
+        .agg(
+            F.when(F.max(F.col("p.is_direct").cast("int")) == 1, F.max("p.own"))
+            .otherwise(weighted)
+            .alias("score")
+        )
+    )
+    found = F.collect_list(F.when(F.col("task").isNotNull(), F.struct("task", "score")))
+    names = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
+    blank = F.transform(
+        F.array_except(names, F.transform("found", lambda c: c["task"])),
+        lambda name: F.struct(name.alias("task"), F.lit(None).cast("double").alias("score")),
     )
-    total = F.when(F.count("part") == F.max("n_leaves"), F.sum("part"))
     return (
-        scored.unionByName(marker)
-        .groupBy("model", "column")
-        .agg(total.alias("score"))
-        .select("model", F.col("column").alias("task"), "score")
+        by_column.groupBy("model")
+        .agg(found.alias("found"))
+        .select("model", F.explode(F.concat("found", blank)).alias("c"))
+        .select("model", "c.task", "c.score")
+    )
+
+
+def _part(column: Column, part: Column, n_leaves: Column, own: Column, is_direct: bool) -> Column:
+    return F.struct(
+        column.alias("column"),
+        part.alias("part"),
+        n_leaves.alias("n_leaves"),
+        own.alias("own"),
+        F.lit(is_direct).alias("is_direct"),
     )
 
 
