@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import Filter, matches_any
+from scoremill.session import local_table
 
 CELL_TYPE = "model string, task string, score double"
 KEY = ("model", "task")
@@ -22,7 +23,7 @@ def make_cells(df: DataFrame, triples: Iterable[tuple[str, str, float | None]])
     """A table of literal ``(model, task, score)`` cells; the last of a repeated pair counts."""
     last = {(model, task): score for model, task, score in triples}
     rows = [(model, task, None if score is None else float(score)) for (model, task), score in last.items()]
-    return df.sparkSession.createDataFrame(rows, CELL_TYPE)
+    return local_table(df.sparkSession, rows, CELL_TYPE)
 
 
 def keep_columns(cells: DataFrame, filters: Sequence[Filter]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import Filter, compile_filters, matches_any
 from scoremill.operators.suites import SuiteBook
+from scoremill.session import local_table
 
 # Tasks computed along with others, which are never launched on their own.
 NOT_LAUNCHED = (r"^mmlu_.*:bpb::olmes$", r"^lambada:bpb$", r"^.*:pass_at_.*$")
@@ -45,7 +46,7 @@ def missing_tasks(
         for column in dict.fromkeys(columns)
         for leaf in (book.leaves(column) if column in book.suites else (column,))
     ]
-    leaves = results.sparkSession.createDataFrame(rows, "column string, task string")
+    leaves = local_table(results.sparkSession, rows, "column string, task string")
     listed = gaps.withColumnRenamed("task", "column").join(leaves, "column")
     if scope == "leaf":
         scored = results.filter(F.col("score").isNotNull()).select("model", "task")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import Filter
+from scoremill.session import local_table
 
 KINDS = ("AVG", "AOA", "VIEW", "LIST")
 EDGE_TYPE = "suite string, kind string, ord int, child string, child_is_suite boolean"
@@ -140,7 +141,7 @@ class SuiteBook:
             for s in self.suites.values()
             for i, child in enumerate(s.children)
         ]
-        return spark.createDataFrame(rows, EDGE_TYPE)
+        return local_table(spark, rows, EDGE_TYPE)
 
 
 def score_columns(
@@ -163,7 +164,11 @@ def score_columns(
     for column, weights in columns.items():
         for leaf, weight in (weights or {}).items():
             entries.setdefault(leaf, []).append((column, weight, len(weights)))
-    uses = cells.sparkSession.createDataFrame(list(entries.items()), USE_TYPE)
+    rows = [
+        (task, [dict(zip(("column", "weight", "n_leaves"), use)) for use in found])
+        for task, found in entries.items()
+    ]
+    uses = local_table(cells.sparkSession, rows, USE_TYPE)
 
     score = F.col("score")
     parts = F.transform(

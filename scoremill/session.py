@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int | str = "*", app: str = "scoremill") -> SparkSession:
@@ -38,3 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="scoremill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Table of rows the driver holds. Spark knows its size, and so when to broadcast it."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(column, type=field.type) for column, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)

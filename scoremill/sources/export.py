@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoremill.functions.display import percent_text
-from scoremill.functions.names import short_label
 
 
 def wide(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,12 +38,8 @@ def write_csv(table: DataFrame, path: str) -> None:
 
 
 def show(table: DataFrame, n: int = 50) -> None:
-    """Print the first rows with short column names."""
-    shown = percent_table(table, "")
-    heads = shown.sparkSession.range(1).select(
-        *(short_label(F.lit(c)).alias(str(i)) for i, c in enumerate(shown.columns))
-    )
-    shown.toDF(*heads.first()).show(n, truncate=False)
+    """Print the first rows as percentages."""
+    percent_table(table, " ").show(n, truncate=False)
 
 
 def json_lines(cells: DataFrame) -> DataFrame:

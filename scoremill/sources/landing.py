@@ -56,9 +56,12 @@ def land(
 
 
 def evict(spark: SparkSession, table: str, experiments: DataFrame, batch: int) -> None:
-    """Make the records that these experiments have up to ``batch`` no longer count."""
+    """Make the records that these experiments have up to ``batch`` no longer count.
+
+    Entries are only ever added; listing an experiment twice changes nothing.
+    """
     ids = experiments.select(ID).distinct()
-    ids.write.mode("overwrite").parquet(f"{table}/evicted/batch={batch}")
+    ids.write.mode("append").parquet(f"{table}/evicted/batch={batch}")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FLAT_TYPE = "config string, key string, value string"
 
@@ -65,7 +64,7 @@ def flatten(configs: DataFrame, syntax: str = "json", sep: str = ".", include_li
     return configs.select("config", "text").mapInPandas(rows, FLAT_TYPE)
 
 
-RECIPE_TYPE = T.StructType.fromDDL(
+RECIPE_TYPE = (
     "config string, source string, target_ratio double, repetition_factor double, "
     "max_source_ratio double, path string"
 )
@@ -90,8 +89,8 @@ def parse_recipes(configs: DataFrame, syntax: str = "yaml") -> DataFrame:
                     head = (config, s["name"], s.get("target_ratio"))
                     head += (s.get("repetition_factor", 1.0), s.get("max_source_ratio", 1.0))
                     out += [(*head, path) for path in s.get("paths") or [None]]
-            frame = pd.DataFrame(out, columns=RECIPE_TYPE.names)
-            yield frame.astype({n: "float64" for n in RECIPE_TYPE.names[2:5]})
+            frame = pd.DataFrame(out, columns=[field.split()[0] for field in RECIPE_TYPE.split(", ")])
+            yield frame.astype(dict.fromkeys(frame.columns[2:5], "float64"))
 
     return configs.select("config", "text").mapInPandas(rows, RECIPE_TYPE)
 
@@ -147,7 +146,7 @@ def _files(spark: SparkSession, pattern: str) -> DataFrame:
     if deep:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
     files = reader.load(base).select("path", "length")
-    if not files.inputFiles():
+    if files.isEmpty():
         raise FileNotFoundError(pattern)
     return files
 

@@ -1,92 +1,80 @@
-"""Experiments and metric records from JSON text.
+"""Experiments and metric records from JSON lines.
 
-Raw texts are kept next to the parsed fields: the alias of a task may hash its configuration text,
-so that text must never be written again from parsed values.
+Configurations stay raw JSON text, because the alias of a task may hash that text. Files read with
+:func:`read_records` keep it character for character. :func:`parse_records`, for lines that are a
+column already, gets nested texts from Spark's JSON functions, which drop blanks outside strings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoremill.functions.metrics import parse_metrics
 from scoremill.functions.tags import parse_tags
 
+CORRUPT = "_corrupt"
 EXPERIMENT_TYPE = "experiment_id string, model_name string, task_name string, created string, tags string"
+RECORD_TYPE = (
+    "experiment_id string, task_name string, task_idx int, task_hash string, task_config string, "
+    "model_hash string, model_config string, compute_config string, current_date string, "
+    f"num_instances int, processing_time double, metrics string, {CORRUPT} string"
+)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines as ``text, file``; gzip files are read as they are."""
-    return spark.read.text(path).select(
-        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file")
-    )
-
-
-def parse_experiments(lines: DataFrame) -> DataFrame:
-    """``experiment_id, model_name, task_name, created, tags`` from lines of JSON text."""
-    parsed = lines.select(F.from_json("text", EXPERIMENT_TYPE).alias("e")).select("e.*")
-    return parsed.withColumns(
-        {"created": F.col("created").cast("timestamp_ntz"), "tags": parse_tags(F.col("tags"))}
-    )
-
-
-def parse_records(lines: DataFrame) -> DataFrame:
-    """Metric records from lines of JSON text; ``malformed`` marks lines that are none.
+def read_records(spark: SparkSession, path: str, skip_on_fail: bool = True) -> DataFrame:
+    """Metric records of landed files (also gzip).
 
-    ``task_config``, ``model_config`` and ``compute_config`` stay raw JSON text.
+    ``skip_on_fail`` passes over files that cannot be read and marks lines that are no records
+    (see :func:`accept` and :func:`count_dropped`); otherwise the first of either fails the query.
     """
+    reader = spark.read.schema(RECORD_TYPE)
+    for key, value in _modes(skip_on_fail).items():
+        reader = reader.option(key, value)
+    for key in ("ignoreCorruptFiles", "ignoreMissingFiles"):
+        reader = reader.option(key, str(skip_on_fail).lower())
+    return _typed(reader.json(path))
 
-    fields = F.from_json("text", "map<string,string>")
-    return (
-        lines.withColumn("_f", fields)
-        .withColumn("malformed", F.coalesce(F.size("_f") <= 0, F.lit(True)))
-        .select(
-            *(c for c in lines.columns if c != "text"),
-            *(_field(n) for n in ("experiment_id", "task_name", "task_hash", "model_hash", "current_date")),
-            *(_field(n) for n in ("task_config", "model_config", "compute_config")),
-            parse_metrics(F.try_element_at("_f", F.lit("metrics"))).alias("metrics"),
-            F.try_element_at("_f", F.lit("num_instances")).try_cast("int").alias("num_instances"),
-            F.try_element_at("_f", F.lit("processing_time")).try_cast("double").alias("processing_time"),
-            F.try_element_at("_f", F.lit("task_idx")).try_cast("int").alias("task_idx"),
-            "malformed",
-        )
-    )
 
+def parse_records(lines: DataFrame, skip_on_fail: bool = True) -> DataFrame:
+    """Metric records of a column ``text``; other columns are kept."""
+    parsed = lines.withColumn("_r", F.from_json("text", RECORD_TYPE, _modes(skip_on_fail)))
+    return _typed(parsed.select(*(c for c in lines.columns if c != "text"), "_r.*"))
 
-def accept(records: DataFrame, skip_on_fail: bool = True) -> DataFrame:
-    """Drop malformed records, or fail the query on the first one."""
-    if skip_on_fail:
-        return records.filter(~F.col("malformed")).drop("malformed")
-    problem = F.raise_error(F.lit("malformed metric record")).cast("boolean")
-    return records.filter(F.when(F.col("malformed"), problem).otherwise(F.lit(True))).drop("malformed")
+
+def accept(records: DataFrame) -> DataFrame:
+    """The records without malformed lines."""
+    return records.filter(~F.col("malformed")).drop("malformed")
 
 
 def count_dropped(records: DataFrame) -> DataFrame:
-    """One row ``n_records, n_dropped``: what ``accept`` keeps and drops."""
+    """One row ``n_records, n_dropped``: what :func:`accept` keeps and drops."""
     return records.agg(
         F.count_if(~F.col("malformed")).alias("n_records"),
         F.count_if(F.col("malformed")).alias("n_dropped"),
     )
 
 
-def read_records(spark: SparkSession, path: str, skip_on_fail: bool = True) -> DataFrame:
-    """Metric records of landed JSON-lines files.
-
-    ``skip_on_fail`` also skips files that cannot be read at all.
-    """
-    ignore = str(skip_on_fail).lower()
-    lines = (
-        spark.read.option("ignoreCorruptFiles", ignore)
-        .option("ignoreMissingFiles", ignore)
-        .text(path)
-        .select(F.col("value").alias("text"))
+def parse_experiments(lines: DataFrame) -> DataFrame:
+    """``experiment_id, model_name, task_name, created, tags`` from a column ``text``."""
+    parsed = lines.select(F.from_json("text", EXPERIMENT_TYPE).alias("e")).select("e.*")
+    return parsed.withColumns(
+        {"created": F.col("created").cast("timestamp_ntz"), "tags": parse_tags(F.col("tags"))}
     )
-    return accept(parse_records(lines), skip_on_fail)
 
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return parse_experiments(spark.read.text(path).select(F.col("value").alias("text")))
 
 
-def _field(name: str) -> Column:
-    return F.try_element_at("_f", F.lit(name)).alias(name)
+def _modes(skip_on_fail: bool) -> dict[str, str]:
+    return {
+        "mode": "PERMISSIVE" if skip_on_fail else "FAILFAST",
+        "columnNameOfCorruptRecord": CORRUPT,
+    }
+
+
+def _typed(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumns(
+        {"metrics": parse_metrics(F.col("metrics")), "malformed": F.col(CORRUPT).isNotNull()}
+    ).drop(CORRUPT)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scoremill.operators.newest import newest
-from scoremill.sources.landing import land, landed
+from scoremill.sources.landing import land
 
 
 def land_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -18,9 +18,11 @@ def land_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuer
     Ends in the same table as landing the same batches one by one. A repeated batch replaces its
     own folder.
     """
-    spark = stream.sparkSession
+    def save(batch: DataFrame, number: int) -> None:
+        land(batch.sparkSession, table, batch, number)
+
     return (
-        stream.writeStream.foreachBatch(lambda batch, number: land(spark, table, batch, number) and None)
+        stream.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -62,5 +64,3 @@ def read_newest(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFra
     updates = spark.read.parquet(table)
     return newest(updates, keys, [F.desc("_rank")]).drop("_rank", "batch")
 
-
-__all__ = ["land_stream", "landed", "newest_stream", "read_newest", "write_updates"]
