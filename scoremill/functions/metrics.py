@@ -42,26 +42,28 @@ SCORE_RULES = (
 )
 
 
-def parse_metrics(text: Column) -> Column:
-    """Metric struct from JSON text.
+def with_metrics(records: DataFrame, text: str = "metrics") -> DataFrame:
+    """Turn a column of JSON text into the metrics struct; null where the text is no object.
 
-    Keys that are not shared join ``extra_metrics`` and win over nested keys of the same name.
-    A missing primary score is null.
+    Keys that are not shared join ``extra_metrics`` and win over nested keys of the same name. A
+    missing primary score is null. The text is parsed once, in a projection of its own.
     """
-    top = F.from_json(text, "map<string,string>")
-    nested = F.coalesce(
-        F.from_json(F.try_element_at(top, F.lit("extra_metrics")), "map<string,double>"),
-        F.create_map().cast("map<string,double>"),
-    )
+    top = F.col("_top")
+    shared = [F.try_element_at(top, F.lit(name)).try_cast("double").alias(name) for name in SHARED_FIELDS]
+    nested = F.from_json(F.try_element_at(top, F.lit("extra_metrics")), "map<string,double>")
     loose = F.transform_values(
         F.map_filter(top, lambda k, _: ~k.isin(*SHARED_FIELDS, "extra_metrics")),
         lambda _, v: v.try_cast("double"),
     )
-    extra = F.map_concat(
-        F.map_filter(nested, lambda k, _: ~F.map_contains_key(loose, k)), loose
+    kept = F.map_filter(F.col("_nested"), lambda k, _: ~F.map_contains_key(F.col("_loose"), k))
+    extra = F.coalesce(F.map_concat(kept, "_loose"), F.col("_loose"))
+    fields = [F.col(f"_shared.{name}").alias(name) for name in SHARED_FIELDS]
+    return (
+        records.withColumn("_top", F.from_json(text, "map<string,string>"))
+        .withColumns({"_shared": F.struct(*shared), "_nested": nested, "_loose": loose})
+        .withColumn(text, F.when(top.isNotNull(), F.struct(*fields, extra.alias("extra_metrics"))))
+        .drop("_top", "_shared", "_nested", "_loose")
     )
-    shared = [F.try_element_at(top, F.lit(name)).try_cast("double").alias(name) for name in SHARED_FIELDS]
-    return F.when(top.isNotNull(), F.struct(*shared, extra.alias("extra_metrics")))
 
 
 def bits_per_byte(metrics: Column) -> Column:

@@ -26,29 +26,32 @@ def pass_at_name(alias: Column, k: int) -> Column:
     return F.concat(alias, F.lit(f":pass_at_{k}"))
 
 
-def task_alias(task_config: Column, task_name: Column) -> Column:
-    """Alias from the task's JSON configuration, else its name and a short hash of that text.
+def parse_task_config(text: Column) -> Column:
+    """The fields of a task's JSON configuration that name and classify it."""
+    return F.from_json(text, "metadata struct<alias:string,num_tasks:double>")
+
+
+def parse_model_config(text: Column) -> Column:
+    return F.from_json(text, "model string, revision string")
+
+
+def task_alias(task: Column, task_config: Column, task_name: Column) -> Column:
+    """Alias of a parsed configuration, else the task's name and a short hash of the JSON text.
 
     The hash is over the stored text: re-serialising JSON would change it.
     """
     digest = F.substring(F.sha2(task_config, 256), 1, ALIAS_HASH_CHARS)
-    return F.coalesce(
-        F.get_json_object(task_config, "$.metadata.alias"), F.concat(task_name, F.lit("-"), digest)
-    )
+    return F.coalesce(task["metadata"]["alias"], F.concat(task_name, F.lit("-"), digest))
 
 
-def model_name(model_config: Column) -> Column:
-    """``model`` or ``model:revision``; null when the configuration names no model."""
-    model = F.get_json_object(model_config, "$.model")
-    return F.when(
-        model.isNotNull(), F.concat_ws(":", model, F.get_json_object(model_config, "$.revision"))
-    )
+def model_name(model: Column) -> Column:
+    """``model`` or ``model:revision``; null when the parsed configuration names no model."""
+    return F.when(model["model"].isNotNull(), F.concat_ws(":", model["model"], model["revision"]))
 
 
-def is_aggregate(task_config: Column) -> Column:
+def is_aggregate(task: Column) -> Column:
     """True for records that already summarise several tasks."""
-    number = F.get_json_object(task_config, "$.metadata.num_tasks").try_cast("double")
-    return F.coalesce(number, F.lit(0.0)) > 0
+    return F.coalesce(task["metadata"]["num_tasks"], F.lit(0.0)) > 0
 
 
 def eval_run_name(

@@ -76,14 +76,18 @@ def folder(path: Column) -> Column:
 
 
 def base_path(path: Column) -> Column:
-    """Group of a path that :func:`storage_path` has normalised."""
+    """Group of a path that :func:`storage_path` has normalised.
+
+    Give a column of a frame rather than an expression: the path is looked at several times.
+    """
     tokenizer = F.regexp_extract(path, TOKENIZER_FOLDER, 1)
+    in_corpus = F.lower(path).contains("/dclm/")
     return (
-        F.when(
-            F.lower(path).contains("/dclm/"),
-            F.when(tokenizer != "", tokenizer).otherwise(collapse(path)),
+        F.when(in_corpus & (tokenizer != ""), tokenizer)
+        .when(
+            path.contains("/"),
+            collapse(F.when(in_corpus, path).otherwise(F.regexp_replace(path, "/[^/]*$", ""))),
         )
-        .when(path.contains("/"), collapse(F.regexp_replace(path, "/[^/]*$", "")))
         .otherwise(path)
     )
 

@@ -3,6 +3,9 @@
 A stored null (a row whose score is null) and an absent cell (no row) are different things:
 ``drop_empty`` and ``shape`` see stored cells only, averages and missing reports see both alike.
 A (model, task) pair has at most one row.
+
+Operators that look at a table twice say so; give them a staged table (``session.stage``) rather
+than the whole computation behind it.
 """
 
 from __future__ import annotations
@@ -45,19 +48,24 @@ def drop_rows(cells: DataFrame, filters: Sequence[Filter]) -> DataFrame:
 
 
 def drop_empty(cells: DataFrame) -> DataFrame:
-    """Drop every task that has a stored null."""
+    """Drop every task that has a stored null. Reads the table twice."""
     empty = cells.filter(F.col("score").isNull()).select("task").distinct()
     return cells.join(empty, "task", "left_anti").select(cells.columns)
 
 
-def keep_matching_tasks(cells: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Cells of tasks that match any row of ``patterns(pattern)``.
+def keep_matching_tasks(cells: DataFrame, patterns: DataFrame, chunks: int = 32) -> DataFrame:
+    """Cells of tasks that match any row of ``patterns(pattern)``. Reads the table twice.
 
-    The patterns meet the distinct task names, never the cells; a task that several patterns match
-    keeps its cells once.
+    The patterns meet the distinct task names, never the cells. They are hashed into chunks, and
+    each name is tested once per chunk, so the work spreads evenly and neither side has to be
+    broadcast; a task that several patterns match keeps its cells once.
     """
-    tasks = cells.select("task").distinct()
-    wanted = tasks.join(patterns, F.expr("task RLIKE pattern"), "left_semi")
+    chunk = F.pmod(F.xxhash64("pattern"), F.lit(chunks)).cast("int")
+    groups = patterns.groupBy(chunk.alias("chunk")).agg(F.collect_set("pattern").alias("patterns"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    tasks = cells.select("task").distinct().select("task", every.alias("chunk"))
+    hit = F.exists("patterns", lambda p: F.rlike(F.col("task"), p))
+    wanted = tasks.join(groups, "chunk").filter(hit).select("task").distinct()
     return cells.join(wanted, "task", "left_semi").select(cells.columns)
 
 
@@ -175,7 +183,7 @@ def column_union(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def append_new_columns(cells: DataFrame, extra: DataFrame) -> DataFrame:
-    """Add the tasks of ``extra`` that ``cells`` does not have yet."""
+    """Add the tasks of ``extra`` that ``cells`` does not have yet. Reads ``cells`` twice."""
     new = extra.join(cells.select("task").distinct(), "task", "left_anti")
     return cells.select(*KEY, "score").unionByName(new.select(*KEY, "score"))
 

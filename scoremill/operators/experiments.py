@@ -20,6 +20,8 @@ DASHBOARD = "dashboard"
 CREATED_FROM = "2024-07-01"
 FIND_LIMIT = 10_000
 
+BROADCAST_IDS = 1_000_000
+
 
 def find_experiments(
     experiments: DataFrame,
@@ -41,9 +43,17 @@ def find_experiments(
     return found.orderBy(F.desc("created"), "experiment_id").limit(limit)
 
 
-def metrics_of(records: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Records of the given experiments, each once; no order."""
-    return records.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
+def metrics_of(records: DataFrame, experiments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Records of the given experiments, each once; no order.
+
+    ``limit`` is the bound of a search that gave the experiments. A bound of up to a million ids
+    (some tens of megabytes) lets them be broadcast, so the records are not shuffled for the join;
+    without one Spark decides by size.
+    """
+    ids = experiments.select("experiment_id")
+    if limit is not None and limit <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return records.join(ids, "experiment_id", "left_semi")
 
 
 def list_experiments(
@@ -108,14 +118,20 @@ def describe_records(records: DataFrame) -> DataFrame:
     Reads the JSON texts ``task_config`` and ``model_config``, ``task_name`` and the text
     ``current_date``, which may end in `` UTC``.
     """
-    return records.withColumns(
+    parsed = records.withColumns(
         {
-            "model": names.model_name(F.col("model_config")),
-            "alias": names.task_alias(F.col("task_config"), F.col("task_name")),
-            "is_aggregate": names.is_aggregate(F.col("task_config")),
-            "ts": F.to_timestamp(F.regexp_replace("current_date", " UTC$", "+00:00")),
+            "_task": names.parse_task_config(F.col("task_config")),
+            "_model": names.parse_model_config(F.col("model_config")),
         }
     )
+    return parsed.withColumns(
+        {
+            "model": names.model_name(F.col("_model")),
+            "alias": names.task_alias(F.col("_task"), F.col("task_config"), F.col("task_name")),
+            "is_aggregate": names.is_aggregate(F.col("_task")),
+            "ts": F.to_timestamp(F.regexp_replace("current_date", " UTC$", "+00:00")),
+        }
+    ).drop("_task", "_model")
 
 
 def newest_records(described: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
@@ -126,13 +142,13 @@ def newest_records(described: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
 
 
 def record_cells(latest: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
-    """Score table of the newest records.
+    """Score table of the newest records, whose ``metrics`` text is parsed here.
 
     Aggregate records are skipped, a record without a model name fails the query, known bad scores
     are corrected, and derived columns are added. When a derived name is also a real task, the real
     task's score counts.
     """
-    usable = latest.filter(~F.col("is_aggregate"))
+    usable = metric_fn.with_metrics(latest.filter(~F.col("is_aggregate")))
     nameless = F.raise_error(F.lit("a metric record names no model")).cast("string")
     fixed = metric_fn.fix_scores(usable).withColumn("model", F.coalesce("model", nameless))
     cells = fixed.select(

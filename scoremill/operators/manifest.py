@@ -29,10 +29,9 @@ def token_files(paths: DataFrame) -> DataFrame:
 
 def path_counts(paths: DataFrame) -> DataFrame:
     """``config, base_path, n``: listed files per group of paths."""
-    base = path_fn.base_path(path_fn.storage_path(F.col("path")))
-    return paths.select("config", base.alias("base_path")).groupBy("config", "base_path").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    normal = paths.select("config", path_fn.storage_path(F.col("path")).alias("_path"))
+    based = normal.select("config", path_fn.base_path(F.col("_path")).alias("base_path"))
+    return based.groupBy("config", "base_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def path_table(counts: DataFrame, configs: Sequence[str] | None = None) -> DataFrame:

@@ -10,46 +10,45 @@ from pyspark.sql import functions as F
 from scoremill.operators import cells as cell_ops
 
 
-def row_keys(cells: DataFrame, by: str = "column", column: str | None = None) -> DataFrame:
-    """``model, sort_key`` for one of three criteria.
+def sort_rows(
+    cells: DataFrame, by: str = "column", column: str | None = None, ascending: bool = True
+) -> DataFrame:
+    """Cells with a ``sort_key`` per model, ordered by it; ties are broken by model name, then task.
 
     ``column``: the score in ``column``, where null, absent and 0.0 sort as minus infinity; an
-    unknown column raises. ``average``: the mean over all tasks with nulls as 0. ``name``: the
-    model name. Averages and scores are doubles, names are strings.
+    unknown column raises, which is checked by a job. ``average``: the mean over all tasks with
+    nulls as 0; reads the table twice. ``name``: the model name. A model's cells come together for
+    the key, one per task.
     """
     if by != "column" and column is not None:
         raise ValueError("a column only goes with by='column'")
+    row = Window.partitionBy("model")
     if by == "column":
         if column is None:
             raise ValueError("name the column to sort by")
         if not cell_ops.has_column(cells, column):
             raise ValueError(f"column {column!r} not found")
-        wanted = F.max(F.when(F.col("task") == column, F.nullif(F.col("score"), F.lit(0.0))))
-        return cells.groupBy("model").agg(
-            F.coalesce(wanted, F.lit(float("-inf"))).alias("sort_key")
-        )
-    if by == "average":
-        return row_means(cells).withColumnRenamed("mean", "sort_key")
-    if by == "name":
-        return cells.select("model").distinct().withColumn("sort_key", F.col("model"))
-    raise ValueError(f"sort by column, average or name, not {by!r}")
-
-
-def sort_rows(
-    cells: DataFrame, by: str = "column", column: str | None = None, ascending: bool = True
-) -> DataFrame:
-    """Cells with their ``sort_key``, ordered by it; ties are broken by model name, then task."""
-    keys = row_keys(cells, by, column)
+        wanted = F.when(F.col("task") == column, F.nullif(F.col("score"), F.lit(0.0)))
+        key = F.coalesce(F.max(wanted).over(row), F.lit(float("-inf")))
+    elif by == "average":
+        key = F.coalesce(F.sum("score").over(row), F.lit(0.0)) / _width(cells)
+    elif by == "name":
+        key = F.col("model")
+    else:
+        raise ValueError(f"sort by column, average or name, not {by!r}")
+    keyed = cells.withColumn("sort_key", key)
     first = F.col("sort_key").asc() if ascending else F.col("sort_key").desc()
-    return cells.join(keys, "model").orderBy(first, "model", "task")
+    return keyed.orderBy(first, "model", "task")
 
 
 def row_means(cells: DataFrame) -> DataFrame:
     """``model, mean``: sum of the scores over **all** tasks of the table, nulls as 0."""
-    width = cells.agg(F.count_distinct("task")).scalar()
-    return cells.groupBy("model").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_sum")).select(
-        "model", (F.col("_sum") / width).alias("mean")
-    )
+    total = F.coalesce(F.sum("score"), F.lit(0.0)).alias("_sum")
+    return cells.groupBy("model").agg(total).select("model", (F.col("_sum") / _width(cells)).alias("mean"))
+
+
+def _width(cells: DataFrame) -> Column:
+    return cells.agg(F.count_distinct("task")).scalar()
 
 
 def column_order(cells: DataFrame, arrival: str) -> DataFrame:
@@ -61,8 +60,9 @@ def row_order(cells: DataFrame, arrival: str) -> DataFrame:
     """``model, column_pos, pos``: models in the order a walk over the columns first meets them."""
     columns = column_order(cells, arrival).withColumnRenamed("pos", "column_pos")
     seen = cells.join(columns, "task").groupBy("model", "column_pos").agg(F.min(arrival).alias("pos"))
-    first = F.min(F.struct("column_pos", "pos")).alias("_first")
-    return seen.groupBy("model").agg(first).select("model", "_first.column_pos", "_first.pos")
+    return seen.groupBy("model").agg(
+        F.min("column_pos").alias("column_pos"), F.min_by("pos", "column_pos").alias("pos")
+    )
 
 
 def overlay_order(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -70,8 +70,7 @@ def overlay_order(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.select("task", F.lit(0).alias("side"), "pos").unionByName(
         right.select("task", F.lit(1).alias("side"), "pos")
     )
-    first = F.min(F.struct("side", "pos")).alias("_first")
-    return both.groupBy("task").agg(first).select("task", "_first.side", "_first.pos")
+    return both.groupBy("task").agg(F.min("side").alias("side"), F.min_by("pos", "side").alias("pos"))
 
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoremill.operators.newest import newest, newest_score
 from scoremill.operators.suites import SuiteBook
+from scoremill.session import stage
 
 EVENT_TASKS = 4  # tasks per event type
 
@@ -81,10 +82,11 @@ def event_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric records as raw JSON lines, one per event."""
-    k = event_k()
+    events = table(spark, sf_dir, "events").withColumn("k", event_k())
+    k = F.col("k")
     alias = F.concat(
         "event_type",
-        F.when(k % 5 == 0,":rc::set").when(k % 5 == 1,":mc").when(k % 5 == 2,"::suite").otherwise(""),
+        F.when(k % 5 == 0, ":rc::set").when(k % 5 == 1, ":mc").when(k % 5 == 2, "::suite").otherwise(""),
     )
     has_alias, is_group = k % 7 != 0, k % 11 == 0
     metadata = F.concat(
@@ -97,7 +99,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     score = (F.col("value") / 1000).cast("string")
     metrics = F.concat(
-        F.when(k % 13 == 0,"{").otherwise(F.concat(F.lit('{"primary_score":'), score, F.lit(","))),
+        F.when(k % 13 == 0, "{").otherwise(F.concat(F.lit('{"primary_score":'), score, F.lit(","))),
         F.lit('"bits_per_byte_corr":'),
         (k % 4).cast("string"),
         F.lit(',"logits_per_byte_corr":0.5,"extra_metrics":{"pass_at_4":0.25,"f1":0.125}'),
@@ -115,13 +117,13 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","task_name":"'), F.col("event_type"),
         F.lit('","task_idx":0,"num_instances":'), k.cast("string"),
         F.lit(',"processing_time":1.5,"current_date":"'),
-        F.date_format("ts","yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         F.lit(' UTC","task_config":'), metadata,
         F.lit(',"model_config":'), model,
         F.lit(',"metrics":'), metrics,
         F.lit("}"),
     )
-    return table(spark, sf_dir,"events").select("event_id", text.alias("text"))
+    return events.select("event_id", text.alias("text"))
 
 
 def event_suites() -> SuiteBook:
@@ -141,7 +143,7 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_type", (event_k() % EVENT_TASKS).cast("string").alias("c")
     )
-    tasks = events.distinct()
+    tasks = stage(events.distinct())
     by_type = tasks.select(
         F.col("event_type").alias("suite"),
         F.lit("AVG").alias("kind"),

@@ -25,7 +25,7 @@ def dashboard_cells(
 ) -> DataFrame:
     """Score table of a dashboard: its experiments, their newest records, corrected and derived."""
     found = exp.find_experiments(experiments, dashboard, limit=limit, created_from=created_from)
-    described = exp.describe_records(exp.metrics_of(records, found))
+    described = exp.describe_records(exp.metrics_of(records, found, limit))
     return exp.record_cells(exp.newest_records(described, TIEBREAK), TIEBREAK)
 
 

@@ -18,7 +18,7 @@ from scoremill.operators import coverage, manifest, mixture, ordering, suites
 from scoremill.operators import experiments as exp
 from scoremill.plans import bindings as b
 from scoremill.plans import dashboard, mixes
-from scoremill.session import shared_dir
+from scoremill.session import shared_dir, stage
 from scoremill.sources import export, landing, manifests, records
 from scoremill.streaming import incremental
 
@@ -115,7 +115,7 @@ def drop_rows(spark, d):
     WHERE task NOT IN (SELECT task FROM c WHERE score IS NULL)""",
 )
 def drop_empty(spark, d):
-    return cell_ops.drop_empty(b.nullable_cells(spark, d))
+    return cell_ops.drop_empty(stage(b.nullable_cells(spark, d)))
 
 
 @registered(
@@ -128,11 +128,11 @@ def keep_matching_tasks(spark, d):
     patterns = b.table(spark, d, "events").select(
         F.concat(F.lit("^[a-u].*:"), (F.col("user_id") % 2).cast("string"), F.lit("$")).alias("pattern")
     )
-    return cell_ops.keep_matching_tasks(b.event_cells(spark, d), patterns.distinct())
+    return cell_ops.keep_matching_tasks(stage(b.event_cells(spark, d)), patterns)
 
 
 def _sides(spark, d):
-    cells = b.nullable_cells(spark, d)
+    cells = stage(b.nullable_cells(spark, d))
     left = cells.filter(~F.col("task").startswith("view"))
     right = cells.filter(~F.col("task").startswith("click")).withColumn("score", F.col("score") + 1)
     return left, right
@@ -189,7 +189,7 @@ def densify(spark, d):
     FROM m CROSS JOIN t LEFT JOIN c ON c.model = m.model AND c.task = t.task GROUP BY 1""",
 )
 def missing_per_row(spark, d):
-    rows = cell_ops.missing_per_row(b.nullable_cells(spark, d))
+    rows = cell_ops.missing_per_row(stage(b.nullable_cells(spark, d)))
     return rows.withColumn("missing", F.array_join("missing", ","))
 
 
@@ -318,7 +318,7 @@ def nested_view(spark, d):
 )
 def suite_members(spark, d):
     closure = suites.leaf_closure(b.event_edges(spark, d))
-    return suites.member_cells(b.event_cells(spark, d), closure)
+    return suites.member_cells(b.event_cells(spark, d), stage(closure))
 
 
 @registered(
@@ -390,7 +390,7 @@ def custom_combine(spark, d):
     FROM shown JOIN (SELECT suite, count(*) AS total FROM l GROUP BY 1) AS n ON n.suite = shown.suite""",
 )
 def suite_listing(spark, d):
-    closure = suites.leaf_closure(b.event_edges(spark, d))
+    closure = stage(suites.leaf_closure(b.event_edges(spark, d)))
     return coverage.list_suites(closure, compile_filters(["click", "class[01]", "view:.*"]))
 
 
@@ -428,9 +428,9 @@ def missing_tasks(spark, d):
     WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.model = missing.model AND c.task = missing.task)""",
 )
 def missing_leaves(spark, d):
-    cells = b.event_cells(spark, d)
+    cells = stage(b.event_cells(spark, d))
     book = b.event_suites()
-    table = cell_ops.overlay(dashboard.results(cells, ["engage", "board"], book), cells)
+    table = stage(cell_ops.overlay(dashboard.results(cells, ["engage", "board"], book), cells))
     return coverage.missing_tasks(table, MISSING_COLUMNS, book, scope="leaf")
 
 
@@ -485,7 +485,7 @@ def work_list(spark, d):
       CAST((row_number() OVER (PARTITION BY model ORDER BY task) - 1) // 2 AS INTEGER) AS chunk, task FROM todo""",
 )
 def backfill(spark, d):
-    cells, book = b.event_cells(spark, d), b.event_suites()
+    cells, book = stage(b.event_cells(spark, d)), b.event_suites()
     tasks = ["engage", "board"]
     engage = suites.suite_scores(cells, book, ["engage"])
     model = engage.filter(F.col("score").isNull()).agg(F.min("model")).first()[0]
@@ -502,7 +502,7 @@ def backfill(spark, d):
         CAST('-infinity' AS DOUBLE)) AS sort_key FROM c GROUP BY 1) AS k ON k.model = c.model""",
 )
 def sort_by_column(spark, d):
-    return ordering.sort_rows(b.nullable_cells(spark, d), "column", "click:0", ascending=False)
+    return ordering.sort_rows(stage(b.nullable_cells(spark, d)), "column", "click:0", ascending=False)
 
 
 @registered(
@@ -512,7 +512,7 @@ def sort_by_column(spark, d):
       FROM c GROUP BY 1) AS k ON k.model = c.model""",
 )
 def sort_by_average(spark, d):
-    cells = ordering.sort_rows(b.nullable_cells(spark, d), "average")
+    cells = ordering.sort_rows(stage(b.nullable_cells(spark, d)), "average")
     return cells.withColumn("sort_key", F.round("sort_key", 9))
 
 
@@ -527,7 +527,7 @@ def sort_by_name(spark, d):
       round(coalesce(sum(score), 0) / (SELECT count(DISTINCT task) FROM c), 9) AS mean FROM c GROUP BY 1""",
 )
 def row_means(spark, d):
-    means = ordering.row_means(b.nullable_cells(spark, d))
+    means = ordering.row_means(stage(b.nullable_cells(spark, d)))
     return means.withColumn("mean", F.round("mean", 9))
 
 
@@ -700,7 +700,7 @@ FROM events"""
 )
 def describe_records(spark, d):
     recs = exp.describe_records(records.accept(records.parse_records(b.event_lines(spark, d))))
-    m = F.col("metrics")
+    recs, m = metrics.with_metrics(recs), F.col("metrics")
     return recs.select(
         "event_id", "model", "alias", "is_aggregate",
         m["primary_score"].alias("primary_score"),
@@ -753,21 +753,21 @@ def score_fixes(spark, d):
     )
     extra = F.when(k % 3 == 0, '"exact_match_flex":0.5').otherwise('"f1":0.25')
     text = F.concat(F.lit('{"primary_score":'), F.col("value").cast("string"), F.lit(","), extra, F.lit("}"))
-    recs = b.table(spark, d, "events").select(
-        "event_id", alias.alias("alias"), metrics.parse_metrics(text).alias("metrics")
+    recs = metrics.with_metrics(
+        b.table(spark, d, "events").select("event_id", alias.alias("alias"), text.alias("metrics"))
     )
     return _rounded(metrics.fix_scores(recs).select("event_id", "alias", "score", "fix_missing"))
 
 
 @registered(
     "skip_on_fail",
-    "SELECT (SELECT count(*) FROM events) AS n_records, (SELECT count(*) FROM pages) AS n_dropped",
+    "SELECT (SELECT count(*) FROM events) AS n_records, (SELECT count(*) FROM pages) AS n_dropped, CAST(0 AS BIGINT) AS n_without_id",
 )
 def skip_on_fail(spark, d):
     path = shared_dir(spark)
     broken = b.table(spark, d, "pages").select(F.concat(F.lit('{"url": "'), "url").alias("text"))
     b.event_lines(spark, d).select("text").unionByName(broken).write.text(path)
-    return records.count_dropped(records.read_records(spark, path).cache())
+    return records.count_dropped(records.read_records(spark, path))
 
 
 LANDED = f"SELECT r.*, r.event_id AS experiment_id FROM ({EVENT_RECORDS}) AS r"
@@ -899,11 +899,11 @@ def run_paths(spark, d):
       CASE WHEN length(url) > 30 THEN substr(url, 1, 27) || '...' ELSE url END AS label FROM n""",
 )
 def storage_paths(spark, d):
-    norm = paths.storage_path(F.col("url"))
-    return b.table(spark, d, "pages").select(
+    normal = b.table(spark, d, "pages").withColumn("norm", paths.storage_path(F.col("url")))
+    return normal.select(
         "page_id",
-        norm.alias("norm"),
-        paths.base_path(norm).alias("base"),
+        "norm",
+        paths.base_path(F.col("norm")).alias("base"),
         paths.folder(F.col("url")).alias("folder"),
         names.short_label(F.col("url")).alias("label"),
     )
@@ -926,8 +926,8 @@ def located_paths(spark, d):
     i = F.col("page_id") % 5
     heads = {0: "s3n://", 1: "gcs://", 2: "/", 3: "weka://oe-data-default/"}
     head = F.coalesce(*(F.when(i == n, text) for n, text in heads.items()), F.lit("/weka/oe-data-default/"))
-    located = paths.locate(F.concat(head, rest))
-    return b.table(spark, d, "pages").select("page_id", located.alias("l")).select(
+    listed = b.table(spark, d, "pages").select("page_id", F.concat(head, rest).alias("path"))
+    return listed.select("page_id", paths.locate(F.col("path")).alias("l")).select(
         "page_id", "l.prot", "l.path", "l.bucket", "l.local", "l.remote", "l.hash"
     )
 
@@ -1243,8 +1243,9 @@ def source_schemes(spark, d):
 )
 def weight_comparison(spark, d):
     documents = b.table(spark, d, "documents")
-    whole = documents.withColumn("mix", F.lit("all"))
-    natural = mixture.domain_weights(whole, "mix", "source", "n_chars")
+    natural = mixture.token_counts(b.document_files(spark, d)).select(
+        F.col("source").alias("domain"), F.col("ratio").alias("weight")
+    )
     by_language = mixture.domain_weights(documents, "lang", "source", "n_chars")
     target = by_language.groupBy("domain").agg(F.avg("weight").alias("weight"))
     return _rounded(mixture.compare_weights(natural, target), "natural", "target")
@@ -1270,7 +1271,7 @@ def json_cells(spark, d):
       || CASE WHEN n = total THEN '}}}}' WHEN i = z THEN '}},' ELSE ',' END AS line FROM e""",
 )
 def json_document(spark, d):
-    lines = export.json_lines(b.nullable_cells(spark, d))
+    lines = export.json_lines(stage(b.nullable_cells(spark, d)))
     # engines print doubles differently, so the check looks at everything but the digits
     return lines.withColumn("line", F.regexp_replace("line", r'(": )[0-9.E\-]+', "$1number"))
 

@@ -43,6 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write a frame once into the shared folder and read it back.
+
+    For a table that several steps use: it is computed once, survives lost executors, and Spark
+    knows its real size when it plans joins.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Table of rows the driver holds. Spark knows its size, and so when to broadcast it."""
     schema = StructType.fromDDL(ddl)

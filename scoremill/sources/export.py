@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoremill.functions.display import percent_text
+from scoremill.session import stage
 
 
 def wide(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -47,7 +48,8 @@ def json_lines(cells: DataFrame) -> DataFrame:
 
     Ordered by task, then model, and joined, the lines are the document, with sorted keys, raw
     fractions and nulls. Each cell knows from its task's first and last model, and from the first
-    and last task, which brackets to add, so no task's cells ever come together in one row.
+    and last task, which brackets to add, so no task's cells ever come together in one row. Reads
+    the table three times.
     """
     ends = cells.groupBy("task").agg(F.min("model").alias("_first"), F.max("model").alias("_last"))
     bounds = ends.agg(F.struct(F.min("task").alias("first"), F.max("task").alias("last"))).scalar()
@@ -66,7 +68,7 @@ def json_lines(cells: DataFrame) -> DataFrame:
 
 def write_json(cells: DataFrame, path: str) -> None:
     """The document of :func:`json_lines` as text files; read in name order they are the document."""
-    json_lines(cells).orderBy("task", "model").select("line").write.mode("overwrite").text(path)
+    json_lines(stage(cells)).orderBy("task", "model").select("line").write.mode("overwrite").text(path)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:

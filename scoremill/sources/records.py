@@ -3,6 +3,7 @@
 Configurations stay raw JSON text, because the alias of a task may hash that text. Files read with
 :func:`read_records` keep it character for character. :func:`parse_records`, for lines that are a
 column already, gets nested texts from Spark's JSON functions, which drop blanks outside strings.
+Metrics stay text too: they are parsed for the newest records only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoremill.functions.metrics import parse_metrics
 from scoremill.functions.tags import parse_tags
 
 CORRUPT = "_corrupt"
@@ -33,13 +33,17 @@ def read_records(spark: SparkSession, path: str, skip_on_fail: bool = True) -> D
         reader = reader.option(key, value)
     for key in ("ignoreCorruptFiles", "ignoreMissingFiles"):
         reader = reader.option(key, str(skip_on_fail).lower())
-    return _typed(reader.json(path))
+    return _marked(reader.json(path))
 
 
 def parse_records(lines: DataFrame, skip_on_fail: bool = True) -> DataFrame:
-    """Metric records of a column ``text``; other columns are kept."""
-    parsed = lines.withColumn("_r", F.from_json("text", RECORD_TYPE, _modes(skip_on_fail)))
-    return _typed(parsed.select(*(c for c in lines.columns if c != "text"), "_r.*"))
+    """Metric records of a column ``text``; other columns are kept.
+
+    ``inline`` makes the fields columns of a generator, below which no filter on them is pushed, so
+    each line is parsed once.
+    """
+    parsed = F.inline(F.array(F.from_json("text", RECORD_TYPE, _modes(skip_on_fail))))
+    return _marked(lines.select(*(c for c in lines.columns if c != "text"), parsed))
 
 
 def accept(records: DataFrame) -> DataFrame:
@@ -48,10 +52,12 @@ def accept(records: DataFrame) -> DataFrame:
 
 
 def count_dropped(records: DataFrame) -> DataFrame:
-    """One row ``n_records, n_dropped``: what :func:`accept` keeps and drops."""
+    """One row ``n_records, n_dropped, n_without_id``: what :func:`accept` keeps and drops."""
+    kept = ~F.col("malformed")
     return records.agg(
-        F.count_if(~F.col("malformed")).alias("n_records"),
-        F.count_if(F.col("malformed")).alias("n_dropped"),
+        F.count_if(kept).alias("n_records"),
+        F.count_if(~kept).alias("n_dropped"),
+        F.count_if(kept & F.col("experiment_id").isNull()).alias("n_without_id"),
     )
 
 
@@ -74,7 +80,5 @@ def _modes(skip_on_fail: bool) -> dict[str, str]:
     }
 
 
-def _typed(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumns(
-        {"metrics": parse_metrics(F.col("metrics")), "malformed": F.col(CORRUPT).isNotNull()}
-    ).drop(CORRUPT)
+def _marked(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("malformed", F.col(CORRUPT).isNotNull()).drop(CORRUPT)
