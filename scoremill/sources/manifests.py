@@ -38,7 +38,7 @@ def read_mix_lists(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as ``config, text``; for configurations, which are small."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("config"), F.col("value").alias("text")
     )
 
