@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoremill.functions import paths as path_fn
+from scoremill.session import stage
 
 # Keys that the differences of many configurations leave out.
 PATH_KEY = "data.paths"
@@ -38,9 +39,10 @@ def path_table(counts: DataFrame, configs: Sequence[str] | None = None) -> DataF
     """One row per base path and a ``Total`` row last; a column per configuration.
 
     Columns go from the largest total down, rows by the counts in the two largest. ``match`` says
-    that all non-zero counts are equal; a zero prints as null. The totals of the configurations
-    (one row each) come to the driver, because they name and order the columns.
+    that all non-zero counts are equal; a zero prints as null. The counts are staged, and the totals
+    of the configurations (one row each) come to the driver, because they name and order the columns.
     """
+    counts = stage(counts)
     totals = counts.groupBy("config").agg(F.sum("n").alias("n"))
     if configs is not None:
         totals = totals.filter(F.col("config").isin(*configs))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoremill.operators.newest import newest, newest_score
@@ -16,14 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def event_k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the number ``k`` of their JSON properties.
+
+    As a generator's column ``k`` is parsed once per event, however many expressions use it.
+    """
+    parsed = F.inline(F.array(F.from_json("props", "k int")))
+    return table(spark, sf_dir, "events").select("*", parsed)
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, model, task, score, ts``: one metric record per event."""
-    task = F.concat("event_type", F.lit(":"), (event_k() % EVENT_TASKS).cast("string"))
-    return table(spark, sf_dir, "events").select(
+    task = F.concat("event_type", F.lit(":"), (F.col("k") % EVENT_TASKS).cast("string"))
+    return events(spark, sf_dir).select(
         "event_id",
         F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model"),
         task.alias("task"),
@@ -64,16 +69,16 @@ def event_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An experiment per event, tagged with its type as dashboard and with ``k``."""
     tags = F.array(
         F.struct(F.lit("dashboard").alias("key"), F.col("event_type").alias("value")),
-        F.struct(F.lit("k").alias("key"), event_k().cast("string").alias("value")),
+        F.struct(F.lit("k").alias("key"), F.col("k").cast("string").alias("value")),
     )
-    return table(spark, sf_dir, "events").select(
+    return events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("experiment_id"),
         F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_name"),
         F.concat_ws(
             ",",
-            F.concat("event_type", F.lit(":"), (event_k() % EVENT_TASKS).cast("string")),
+            F.concat("event_type", F.lit(":"), (F.col("k") % EVENT_TASKS).cast("string")),
             F.concat("event_type", F.lit(":mc")),
-            F.concat(F.lit("extra:"), (event_k() % 3).cast("string")),
+            F.concat(F.lit("extra:"), (F.col("k") % 3).cast("string")),
         ).alias("task_name"),
         F.col("ts").cast("timestamp_ntz").alias("created"),
         tags.alias("tags"),
@@ -82,7 +87,6 @@ def event_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric records as raw JSON lines, one per event."""
-    events = table(spark, sf_dir, "events").withColumn("k", event_k())
     k = F.col("k")
     alias = F.concat(
         "event_type",
@@ -123,7 +127,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"metrics":'), metrics,
         F.lit("}"),
     )
-    return events.select("event_id", text.alias("text"))
+    return events(spark, sf_dir).select("event_id", text.alias("text"))
 
 
 def event_suites() -> SuiteBook:
@@ -140,10 +144,10 @@ def event_suites() -> SuiteBook:
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suite edges read from the events: a suite per event type, one per k class, and one of all types."""
-    events = table(spark, sf_dir, "events").select(
-        "event_type", (event_k() % EVENT_TASKS).cast("string").alias("c")
+    kinds = events(spark, sf_dir).select(
+        "event_type", (F.col("k") % EVENT_TASKS).cast("string").alias("c")
     )
-    tasks = stage(events.distinct())
+    tasks = stage(kinds.distinct())
     by_type = tasks.select(
         F.col("event_type").alias("suite"),
         F.lit("AVG").alias("kind"),

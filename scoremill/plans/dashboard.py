@@ -12,6 +12,7 @@ from scoremill.operators import cells as cell_ops
 from scoremill.operators import coverage
 from scoremill.operators import experiments as exp
 from scoremill.operators.suites import SuiteBook, combine, score_columns
+from scoremill.sources import landing
 
 TIEBREAK = ("experiment_id", "task_idx")
 
@@ -94,6 +95,11 @@ def result_columns(
     return order
 
 
+def evict_changed(tagged: DataFrame, table: str, batch: int) -> None:
+    """Evict the experiments whose tags changed from the landing table, so they are fetched again."""
+    landing.evict(tagged.sparkSession, table, tagged.filter("changed"), batch)
+
+
 def backfill(
     cells: DataFrame,
     model: str,

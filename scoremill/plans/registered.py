@@ -125,7 +125,7 @@ def drop_empty(spark, d):
     WHERE EXISTS (SELECT 1 FROM p WHERE regexp_matches(c.task, p.pattern))""",
 )
 def keep_matching_tasks(spark, d):
-    patterns = b.table(spark, d, "events").select(
+    patterns = b.events(spark, d).select(
         F.concat(F.lit("^[a-u].*:"), (F.col("user_id") % 2).cast("string"), F.lit("$")).alias("pattern")
     )
     return cell_ops.keep_matching_tasks(stage(b.event_cells(spark, d)), patterns)
@@ -463,7 +463,7 @@ def missing_report(spark, d):
       AS INTEGER) AS chunk, task FROM t""",
 )
 def work_list(spark, d):
-    k, kind = b.event_k(), F.col("event_type")
+    k, kind = F.col("k"), F.col("event_type")
     task = (
         F.when(k % 4 == 0, F.concat(kind, F.lit(":rc::set")))
         .when(k % 4 == 1, F.concat(kind, F.lit(":mc::set")))
@@ -471,7 +471,7 @@ def work_list(spark, d):
         .otherwise(F.concat(kind, F.lit(":"), k.cast("string")))
     )
     task = F.concat(task, F.when(k % 10 == 9, ":pass_at_4").otherwise(""))
-    missing = b.table(spark, d, "events").select(
+    missing = b.events(spark, d).select(
         F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model"), task.alias("task")
     )
     return coverage.work_list(missing, 3)
@@ -744,7 +744,7 @@ def dashboard_cells(spark, d):
       {K} % 2 = 0 AND {K} % 3 <> 0 AS fix_missing FROM events""",
 )
 def score_fixes(spark, d):
-    k, kind = b.event_k(), F.col("event_type")
+    k, kind = F.col("k"), F.col("event_type")
     alias = (
         F.when(k % 4 == 0, F.concat(F.lit("minerva_math_"), kind, F.lit("::hamish_zs_reasoning")))
         .when(k % 4 == 1, F.concat(F.lit("alpaca_"), kind, F.lit("::tulu")))
@@ -754,7 +754,7 @@ def score_fixes(spark, d):
     extra = F.when(k % 3 == 0, '"exact_match_flex":0.5').otherwise('"f1":0.25')
     text = F.concat(F.lit('{"primary_score":'), F.col("value").cast("string"), F.lit(","), extra, F.lit("}"))
     recs = metrics.with_metrics(
-        b.table(spark, d, "events").select("event_id", alias.alias("alias"), text.alias("metrics"))
+        b.events(spark, d).select("event_id", alias.alias("alias"), text.alias("metrics"))
     )
     return _rounded(metrics.fix_scores(recs).select("event_id", "alias", "score", "fix_missing"))
 
@@ -843,11 +843,11 @@ def newest_stream(spark, d):
       ELSE alias || ':bpb' END AS bpb_name, alias || ':pass_at_4' AS pass_at_4_name FROM a""",
 )
 def metric_names(spark, d):
-    k = b.event_k() % 6
+    k = F.col("k") % 6
     ends = {0: ":rc", 1: ":rc::set", 2: ":mc:v2", 3: "::set:rcx", 4: ":bpb::set"}
     end = F.coalesce(*(F.when(k == i, text) for i, text in ends.items()), F.lit(":mcx"))
     alias = F.col("alias")
-    return b.table(spark, d, "events").select(
+    return b.events(spark, d).select(
         "event_id", F.concat("event_type", end).alias("alias")
     ).select(
         "event_id",
@@ -952,10 +952,10 @@ def source_paths(spark, d):
 )
 def tag_texts(spark, d):
     text = F.concat(
-        F.lit(" dashboard="), "event_type", F.lit(",flag=flag,k="), b.event_k().cast("string"), F.lit("\n")
+        F.lit(" dashboard="), "event_type", F.lit(",flag=flag,k="), F.col("k").cast("string"), F.lit("\n")
     )
     parsed = tags.parse_tags(text)
-    return b.table(spark, d, "events").select(
+    return b.events(spark, d).select(
         "event_id",
         tags.render_tags(parsed).alias("text"),
         F.size(parsed).alias("n_tags"),
@@ -969,7 +969,7 @@ def tag_texts(spark, d):
     "SELECT event_id, printf('%.2f', floor(value) / 1000 * 100) AS percent FROM events",
 )
 def percent_text(spark, d):
-    return b.table(spark, d, "events").select(
+    return b.events(spark, d).select(
         "event_id", display.percent_text(F.floor("value") / 1000).alias("percent")
     )
 
@@ -981,12 +981,12 @@ def percent_text(spark, d):
     UNION ALL SELECT CAST(event_id AS VARCHAR), 'list', '[1, ' || {K} || ']' FROM events""",
 )
 def flattened_settings(spark, d):
-    k = b.event_k().cast("string")
+    k = F.col("k").cast("string")
     text = F.concat(
         F.lit('{"name":"'), "event_type", F.lit('","props":'), "props",
         F.lit(',"none":{},"list":[1,'), k, F.lit("]}"),
     )
-    configs = b.table(spark, d, "events").select(
+    configs = b.events(spark, d).select(
         F.col("event_id").cast("string").alias("config"), text.alias("text")
     )
     return manifests.flatten(configs)
@@ -1110,7 +1110,7 @@ def domain_weight_scan(spark, d):
 
 def _event_settings(spark, d):
     """Settings per k class: a key per user and event type, its value the largest k."""
-    events = b.table(spark, d, "events").select("user_id", "event_type", b.event_k().alias("k"))
+    events = b.events(spark, d).select("user_id", "event_type", "k")
     return events.groupBy(
         F.concat(F.lit("c"), (F.col("k") % 2).cast("string")).alias("config"),
         F.concat_ws(".", F.lit("user"), F.col("user_id").cast("string"), "event_type").alias("key"),
@@ -1143,7 +1143,7 @@ def settings_diff(spark, d):
     SELECT s.* FROM s WHERE key IN (SELECT key FROM x)""",
 )
 def many_settings_diff(spark, d):
-    events = b.table(spark, d, "events").select("user_id", "event_type", b.event_k().alias("k"))
+    events = b.events(spark, d).select("user_id", "event_type", "k")
     settings = events.groupBy(
         F.col("event_type").alias("config"),
         F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("key"),

@@ -48,8 +48,10 @@ def land(
     if force and before is not None:
         evict(spark, table, incoming, batch - 1)
     elif before is not None:
-        earlier = before.filter(F.col("batch") < batch)
-        new = new.join(earlier.select(ID).distinct(), ID, "left_anti")
+        # only the ids of this batch are looked for, so a small batch never shuffles the whole table
+        earlier = before.filter(F.col("batch") < batch).select(ID)
+        seen = earlier.join(incoming.select(ID).distinct(), ID, "left_semi").distinct()
+        new = new.join(seen, ID, "left_anti")
     path = f"{table}/records/batch={batch}"
     new.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).withColumn("batch", F.lit(batch))

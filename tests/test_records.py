@@ -81,10 +81,10 @@ def test_skip_or_fail(spark, tmp_path):
     recs = records.read_records(spark, str(path))
     assert tuple(records.count_dropped(recs).first()) == (2, 1)
     assert records.accept(recs).count() == 2
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
         records.read_records(spark, str(path), skip_on_fail=False).collect()
     lines = local_table(spark, [("{broken",)], "text string")
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
         records.parse_records(lines, skip_on_fail=False).collect()
 
 
@@ -200,6 +200,13 @@ def test_landing(spark):
     assert state(spark, table) == [("a", 9.0), ("b", 5.0), ("c", 3.0)]
 
 
+def test_changed_experiments_are_evicted(spark, found_experiments):
+    table = shared_dir(spark)
+    landing.land(spark, table, batch(spark, [("e1", 1.0), ("e2", 1.0), ("e3", 1.0)]), 0)
+    dashboard.evict_changed(exp.remove_from_dashboard(found_experiments, "m", "other"), table, 0)
+    assert state(spark, table) == [("e1", 1.0), ("e3", 1.0)]
+
+
 def test_landing_without_keeping(spark):
     table = shared_dir(spark)
     passed = landing.land(spark, table, batch(spark, [("a", 1.0)]), 0, keep=False)
