@@ -123,7 +123,7 @@ def diff_many(settings: DataFrame) -> DataFrame:
 
     A key differs when it has two distinct values or is missing somewhere; the value ``-`` counts as
     missing. Path lists and mixture sources are left out. Distinct values per key are compared by
-    their smallest and largest, which needs no list of them.
+    their smallest and largest, which needs no list of them. Reads the settings three times.
     """
     key = F.col("key")
     kept = settings.filter(

@@ -1129,7 +1129,7 @@ SETTINGS = f"""SELECT 'c' || ({K} % 2) AS config, 'user.' || user_id || '.' || e
     FROM l FULL JOIN r ON l.key = r.key WHERE l.value IS DISTINCT FROM r.value""",
 )
 def settings_diff(spark, d):
-    settings = _event_settings(spark, d)
+    settings = stage(_event_settings(spark, d))
     sides = [settings.filter(F.col("config") == c).select("key", "value") for c in ("c0", "c1")]
     return manifest.diff_two(*sides)
 
@@ -1148,7 +1148,7 @@ def many_settings_diff(spark, d):
         F.col("event_type").alias("config"),
         F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("key"),
     ).agg(F.floor(F.max("k") / 20).cast("string").alias("value"))
-    return manifest.diff_many(settings)
+    return manifest.diff_many(stage(settings))
 
 
 # ---- data mixes ----------------------------------------------------------------------------------
