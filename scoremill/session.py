@@ -28,18 +28,22 @@ def local_session(cpus: int | str = "*", app: str = "scoremill") -> SparkSession
     )
 
 
+# Folder of a local session without spark.checkpoint.dir; that setting cannot be changed later.
+LOCAL_DIR = "scoremill.local.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """New folder for written intermediate tables, below ``spark.checkpoint.dir``.
 
     That setting names storage all executors can reach. Only a local master may run without it; the
     session then gets a folder under the system's temporary one, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="scoremill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(LOCAL_DIR, base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
