@@ -34,17 +34,18 @@ def storage_path(path: Column) -> Column:
 
     Host and query are dropped for ``http``, ``https``, ``s3`` and ``gs`` links; other schemes stay.
     """
-    path = F.translate(path, "\\", "/")
-    bare = F.regexp_replace(path, r"(?i)^(https?|s3|gs):(//[^/?#]*)?", "")
-    bare = F.regexp_replace(bare, r"(?s)[?#].*$", "")
-    bare = F.when(path.rlike("(?i)^https?:"), F.regexp_replace(bare, r";[^/]*$", "")).otherwise(bare)
-    return F.ltrim(
-        F.when(path.rlike("(?i)^(https?|s3|gs):"), bare).otherwise(path), F.lit("/")
-    )
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    bare = F.regexp_extract(path, r"(?i)^(?:https?|s3|gs):(?://[^/?#]*)?([^?#]*)", 1)
+    has_parameters = path.contains(";") & path.rlike("(?i)^https?:")
+    bare = F.when(has_parameters, F.regexp_replace(bare, ";[^/]*$", "")).otherwise(bare)
+    return F.ltrim(F.when(path.rlike("(?i)^(https?|s3|gs):"), bare).otherwise(path), F.lit("/"))
 
 
 def collapse(path: Column) -> Column:
-    """Drop empty and ``.`` parts and resolve ``..``; an empty relative path is ``.``."""
+    """Drop empty and ``.`` parts and resolve ``..``; an empty relative path is ``.``.
+
+    Most paths need none of this and are passed through after one regular expression.
+    """
     root = (
         F.when(path.rlike("^//([^/]|$)"), F.lit("//"))
         .when(path.startswith("/"), F.lit("/"))
@@ -66,7 +67,11 @@ def collapse(path: Column) -> Column:
         F.aggregate(parts, F.array().cast("array<string>"), step),
     ).otherwise(parts)
     text = F.concat(root, F.array_join(resolved, "/"))
-    return F.when(text == "", F.lit(".")).otherwise(text)
+    return (
+        F.when(~path.rlike(r"//|(^|/)\.\.?(/|$)|./$|^$"), path)
+        .when(text == "", F.lit("."))
+        .otherwise(text)
+    )
 
 
 def folder(path: Column) -> Column:
@@ -82,11 +87,13 @@ def base_path(path: Column) -> Column:
     """
     tokenizer = F.regexp_extract(path, TOKENIZER_FOLDER, 1)
     in_corpus = F.lower(path).contains("/dclm/")
+    last = F.length(F.substring_index(path, "/", -1))
+    head = path.substr(F.lit(1), F.length(path) - last - 1)
     return (
         F.when(in_corpus & (tokenizer != ""), tokenizer)
         .when(
             path.contains("/"),
-            collapse(F.when(in_corpus, path).otherwise(F.regexp_replace(path, "/[^/]*$", ""))),
+            collapse(F.when(in_corpus, path).otherwise(head)),
         )
         .otherwise(path)
     )

@@ -24,7 +24,6 @@ KINDS = ("AVG", "AOA", "VIEW", "LIST")
 EDGE_TYPE = "suite string, kind string, ord int, child string, child_is_suite boolean"
 USES = "array<struct<column:string,weight:double,n_leaves:int>>"
 USE_TYPE = f"task string, uses {USES}"
-PARTS = "array<struct<column:string,part:double,n_leaves:int,own:double,is_direct:boolean>>"
 Combine = Callable[[DataFrame, "SuiteBook", str], DataFrame | None]
 
 
@@ -170,23 +169,31 @@ def score_columns(
     ]
     uses = local_table(cells.sparkSession, rows, USE_TYPE)
 
-    score = F.col("score")
-    parts = F.transform(
-        F.coalesce("uses", F.array().cast(USES)),
-        lambda u: _part(u["column"], score * u["weight"], u["n_leaves"], F.lit(None).cast("double"), False),
-    )
-    if direct is not None:
-        none = F.lit(None)
-        own = _part(F.col("task"), none.cast("double"), none.cast("int"), score, True)
-        parts = F.concat(parts, F.when(direct, F.array(own)).otherwise(F.array().cast(PARTS)))
-    weighted = F.when(F.count("p.part") == F.max("p.n_leaves"), F.sum("p.part"))
+    none = F.array().cast(USES)
+    into = F.coalesce("uses", none)
+    if direct is not None:  # a use without a weight passes the cell through under its own name
+        own = F.struct(
+            F.col("task").alias("column"),
+            F.lit(None).cast("double").alias("weight"),
+            F.lit(None).cast("int").alias("n_leaves"),
+        )
+        into = F.concat(into, F.when(direct, F.array(own)).otherwise(none))
+    passed = F.col("use.column").isNotNull() & F.col("use.weight").isNull()
     by_column = (
         cells.join(uses, "task", "left")
-        .select("model", F.explode_outer(parts).alias("p"))
-        .groupBy("model", F.col("p.column").alias("task"))
+        .select("model", "score", F.explode_outer(into).alias("use"))
+        .select(
+            "model",
+            F.col("use.column").alias("task"),
+            F.col("use.n_leaves").alias("n_leaves"),
+            (F.col("score") * F.col("use.weight")).alias("part"),
+            F.when(passed, F.col("score")).alias("own"),
+            passed.cast("int").alias("passed"),
+        )
+        .groupBy("model", "task")
         .agg(
-            F.when(F.max(F.col("p.is_direct").cast("int")) == 1, F.max("p.own"))
-            .otherwise(weighted)
+            F.when(F.max("passed") == 1, F.max("own"))
+            .when(F.count("part") == F.max("n_leaves"), F.sum("part"))
             .alias("score")
         )
     )
@@ -204,16 +211,6 @@ def score_columns(
     )
 
 
-def _part(column: Column, part: Column, n_leaves: Column, own: Column, is_direct: bool) -> Column:
-    return F.struct(
-        column.alias("column"),
-        part.alias("part"),
-        n_leaves.alias("n_leaves"),
-        own.alias("own"),
-        F.lit(is_direct).alias("is_direct"),
-    )
-
-
 def combine(
     cells: DataFrame, book: SuiteBook, name: str, view_in_view_is_null: bool = True
 ) -> DataFrame | None:
