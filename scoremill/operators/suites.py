@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import Filter
-from scoremill.session import local_table
+from scoremill.session import local_table, stage
 
 KINDS = ("AVG", "AOA", "VIEW", "LIST")
 EDGE_TYPE = "suite string, kind string, ord int, child string, child_is_suite boolean"
@@ -197,15 +197,43 @@ def score_columns(
             .alias("score")
         )
     )
-    found = F.collect_list(F.when(F.col("task").isNotNull(), F.struct("task", "score")))
     names = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
+    return _dense(by_column, names)
+
+
+def score_weights(cells: DataFrame, weights: DataFrame) -> DataFrame:
+    """``model, suite, score`` for a weight table ``suite, task, weight`` of any size.
+
+    The same pass as :func:`score_columns` for suites that are data: the leaves of a suite are counted
+    from the table, and every model gets every suite, null unless it has all leaves.
+    """
+    sizes = weights.groupBy("suite").agg(F.count(F.lit(1)).alias("n_leaves"))
+    sized = weights.join(sizes, "suite").select("suite", "task", "weight", "n_leaves")
+    by_suite = (
+        cells.join(sized, "task", "left")
+        .groupBy("model", F.col("suite").alias("task"))
+        .agg(
+            F.when(
+                F.count(F.col("score") * F.col("weight")) == F.max("n_leaves"),
+                F.sum(F.col("score") * F.col("weight")),
+            ).alias("score")
+        )
+    )
+    names = weights.agg(F.collect_set("suite")).scalar()
+    return _dense(by_suite, names).withColumnRenamed("task", "suite")
+
+
+def _dense(by_column: DataFrame, names: Column) -> DataFrame:
+    """Add the missing columns of every model with null; a null task only marks that a model exists."""
+    found = F.collect_list(F.when(F.col("task").isNotNull(), F.struct("task", "score")))
+    absent = F.array_except(names, F.transform("found", lambda c: c["task"]))
     blank = F.transform(
-        F.array_except(names, F.transform("found", lambda c: c["task"])),
-        lambda name: F.struct(name.alias("task"), F.lit(None).cast("double").alias("score")),
+        "absent", lambda name: F.struct(name.alias("task"), F.lit(None).cast("double").alias("score"))
     )
     return (
         by_column.groupBy("model")
         .agg(found.alias("found"))
+        .withColumn("absent", absent)
         .select("model", F.explode(F.concat("found", blank)).alias("c"))
         .select("model", "c.task", "c.score")
     )
@@ -233,26 +261,65 @@ def suite_scores(
 
 
 def leaf_closure(edges: DataFrame) -> DataFrame:
-    """``suite, task``: distinct leaves of every suite of an edge table.
+    """``suite, task``: distinct leaves of every suite of an edge table."""
+    links = edges.select("suite", "child", "child_is_suite", F.lit(1.0).alias("weight"))
+    return _expand(links, links).select("suite", "task").distinct()
 
-    One join per nesting level; stops when no suite is left to expand. Runs a small job per level.
+
+def suite_weights(edges: DataFrame) -> DataFrame:
+    """``suite, task, weight`` of the AVG and AOA suites of an edge table.
+
+    A VIEW among the children has no score of its own: it stays a leaf that no model has, so the
+    parent's average is null. A LIST among them fails the query. Runs small jobs over the edges,
+    which should be a stored table.
     """
-    links = edges.select(F.col("suite").alias("_parent"), F.col("child").alias("_child"), "child_is_suite")
-    leaves = edges.filter(~F.col("child_is_suite")).select("suite", F.col("child").alias("task"))
-    open_ = edges.filter("child_is_suite").select("suite", F.col("child").alias("_open")).distinct()
+    links = edges.select("suite", "child", "child_is_suite", F.lit(1.0).alias("weight"))
+    average = edges.filter("kind = 'AVG'").select("suite").distinct()
+    flat = _expand(links.join(average, "suite"), links).select(
+        "suite", F.col("task").alias("child"), F.lit(False).alias("child_is_suite")
+    )
+    kinds = edges.select(F.col("suite").alias("child"), F.col("kind").alias("child_kind")).distinct()
+    a_list = F.raise_error(F.concat(F.col("child"), F.lit(" is a list and cannot be averaged")))
+    opens = F.when(F.col("child_kind") == "LIST", a_list.cast("boolean")).otherwise(
+        F.col("child_kind").isin("AVG", "AOA")
+    )
+    nested = edges.filter("kind = 'AOA'").join(kinds, "child", "left").select(
+        "suite", "child", (F.col("child_is_suite") & F.coalesce(opens, F.lit(False))).alias("child_is_suite")
+    )
+    both = flat.unionByName(nested).distinct()
+    sizes = both.groupBy("suite").agg((1.0 / F.count(F.lit(1))).alias("weight"))
+    weighted = stage(both.join(sizes, "suite"))
+    return _expand(weighted, weighted).groupBy("suite", "task").agg(F.sum("weight").alias("weight"))
+
+
+def _expand(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``suite, task, weight``: replace child suites by their own links, multiplying weights.
+
+    Both inputs are ``(suite, child, child_is_suite, weight)``. One join per nesting level, whose
+    result is staged; stops when no suite is left to expand.
+    """
+    inner = links.select(
+        F.col("suite").alias("_parent"),
+        F.col("child").alias("_child"),
+        F.col("child_is_suite").alias("_is_suite"),
+        F.col("weight").alias("_weight"),
+    )
+    leaves = roots.filter(~F.col("child_is_suite")).select("suite", F.col("child").alias("task"), "weight")
+    pending = roots.filter("child_is_suite").select("suite", "child", "weight")
     levels = 0
-    while not open_.isEmpty():
+    while not pending.isEmpty():
         levels += 1
         if levels > 64:
             raise ValueError("suites are nested more than 64 deep; is there a cycle?")
-        step = open_.join(links, F.col("_open") == F.col("_parent")).select(
-            "suite", "_child", "child_is_suite"
-        )
+        step = pending.join(inner, F.col("child") == F.col("_parent")).groupBy(
+            "suite", "_child", "_is_suite"
+        ).agg(F.sum(F.col("weight") * F.col("_weight")).alias("weight"))
+        step = stage(step)
         leaves = leaves.unionByName(
-            step.filter(~F.col("child_is_suite")).select("suite", F.col("_child").alias("task"))
+            step.filter(~F.col("_is_suite")).select("suite", F.col("_child").alias("task"), "weight")
         )
-        open_ = step.filter("child_is_suite").select("suite", F.col("_child").alias("_open")).distinct()
-    return leaves.distinct()
+        pending = step.filter("_is_suite").select("suite", F.col("_child").alias("child"), "weight")
+    return leaves
 
 
 def member_cells(cells: DataFrame, members: DataFrame) -> DataFrame:

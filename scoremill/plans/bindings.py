@@ -169,7 +169,7 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("child"),
         F.lit(True).alias("child_is_suite"),
     ).distinct()
-    return by_type.unionByName(by_class).unionByName(whole)
+    return stage(by_type.unionByName(by_class).unionByName(whole))
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from scoremill.operators import cells as cell_ops
 from scoremill.operators import coverage
 from scoremill.operators import experiments as exp
 from scoremill.operators.suites import SuiteBook, combine, score_columns
-from scoremill.sources import landing
+from scoremill.sources import export, landing
 
 TIEBREAK = ("experiment_id", "task_idx")
 
@@ -95,6 +95,24 @@ def result_columns(
     return order
 
 
+def report(
+    cells: DataFrame,
+    tasks: Sequence[str],
+    book: SuiteBook,
+    models: Sequence[str] = (),
+    by: str | None = None,
+    ascending: bool = False,
+) -> DataFrame:
+    """Wide results, a row per model, ordered by one column (the first by default), best first.
+
+    Reads ``cells`` twice: once for the header, once for the scores.
+    """
+    columns = result_columns(cells, tasks, book)
+    if not columns:
+        return cells.select("model").limit(0)
+    return export.wide_sorted(results(cells, tasks, book, models), columns, by or columns[0], ascending)
+
+
 def evict_changed(tagged: DataFrame, table: str, batch: int) -> None:
     """Evict the experiments whose tags changed from the landing table, so they are fetched again."""
     landing.evict(tagged.sparkSession, table, tagged.filter("changed"), batch)

@@ -331,6 +331,20 @@ def leaf_closure(spark, d):
     return suites.leaf_closure(b.event_edges(spark, d))
 
 
+@registered(
+    "suites_from_edges",
+    f"""WITH c AS ({EVENT_CELLS}), m AS (SELECT DISTINCT model FROM c),
+      t AS (SELECT DISTINCT event_type AS suite, event_type || ':' || ({K} % 4) AS task FROM events),
+      x AS (SELECT m.model, t.suite, CASE WHEN count(c.score) = count(*) THEN avg(c.score) END AS score
+        FROM m CROSS JOIN t LEFT JOIN c ON c.model = m.model AND c.task = t.task GROUP BY 1, 2)
+    SELECT model, suite, round(score, 9) AS score FROM x UNION ALL
+    SELECT model, 'all', round(CASE WHEN count(score) = count(*) THEN avg(score) END, 9) FROM x GROUP BY 1""",
+)
+def suites_from_edges(spark, d):
+    weights = stage(suites.suite_weights(b.event_edges(spark, d)))
+    return _rounded(suites.score_weights(b.event_cells(spark, d), weights))
+
+
 DASHBOARD_TASKS = ["engage", "board", "extras", "purchase:[12]", "click:0"]
 
 
@@ -361,6 +375,16 @@ def dashboard_for_models(spark, d):
     return _rounded(dashboard.results(cells, ["engage"], b.event_suites(), ["^m1[0-9]$"]))
 
 
+@registered(
+    "dashboard_report",
+    f"""WITH {EVENT_SUITES} SELECT model, round(engage, 9) AS engage, round(error0, 9) AS "error:0",
+      round(click, 9) AS click, round(view_, 9) AS "view", round(signup0, 9) AS "signup:0" FROM s""",
+)
+def dashboard_report(spark, d):
+    report = dashboard.report(stage(b.event_cells(spark, d)), ["engage", "board"], b.event_suites())
+    return report.select("model", *(F.round(F.col(f"`{c}`"), 9).alias(c) for c in report.columns[1:]))
+
+
 @registered(
     "custom_combine",
     f"""WITH c AS ({EVENT_CELLS}) SELECT model, 'best' AS task, max(score) AS score FROM c
@@ -1048,6 +1072,29 @@ def side_folder_counts(spark, d):
     return manifest.side_folder_counts(listed.filter(~in_mixture), listed.filter(in_mixture))
 
 
+@registered(
+    "run_config_folders",
+    """WITH p AS (SELECT 'data' AS side, url AS path FROM pages UNION ALL SELECT 'dataset', url || '/a' FROM pages
+      UNION ALL SELECT 'dataset', url || '/b' FROM pages)
+    SELECT side, regexp_replace(path, '/+[^/]*$', '') AS folder, count(*) AS n FROM p GROUP BY 1, 2""",
+)
+def run_config_folders(spark, d):
+    url = F.col("url")
+    text = F.concat(
+        F.lit('{"lr": 0.1, "data": {"paths": ["'), url,
+        F.lit('"]}, "dataset": {"paths": ["'), url,
+        F.lit('/a"], "source_mixture_config": {"source_configs": [{"name": "x"}, {"paths": ["'), url,
+        F.lit('/b"]}]}}}'),
+    )
+    configs = b.table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("config"), text.alias("text")
+    )
+    listed = stage(manifests.run_config_paths(configs))
+    side = F.when(F.col("origin") == "data", "data").otherwise("dataset").alias("side")
+    plain = listed.filter("origin <> 'mixture'").select(side, "path")
+    return manifest.side_folder_counts(plain, listed.filter("origin = 'mixture'").select(side, "path"))
+
+
 @registered(
     "mix_list_scan",
     """SELECT 'mix' || (page_id % 2) AS config, url || '.npy' AS path FROM pages WHERE page_id % 5 NOT IN (3, 4)""",

@@ -66,6 +66,13 @@ def evict(spark: SparkSession, table: str, experiments: DataFrame, batch: int) -
     ids.write.mode("append").parquet(f"{table}/evicted/batch={batch}")
 
 
+def invalidate(spark: SparkSession, table: str, batch: int) -> None:
+    """Evict everything that has landed up to ``batch``."""
+    before = landed(spark, table)
+    if before is not None:
+        evict(spark, table, before.filter(F.col("batch") <= batch), batch)
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

@@ -95,6 +95,31 @@ def parse_recipes(configs: DataFrame, syntax: str = "yaml") -> DataFrame:
     return configs.select("config", "text").mapInPandas(rows, RECIPE_TYPE)
 
 
+RUN_PATHS = (
+    "data struct<paths:array<string>>, dataset struct<paths:array<string>, "
+    "source_mixture_config:struct<source_configs:array<struct<paths:array<string>>>>>"
+)
+
+
+def run_config_paths(configs: DataFrame) -> DataFrame:
+    """``config, origin, path`` of the path lists in JSON run configurations ``config, text``.
+
+    ``origin`` is ``data`` or ``dataset`` for plain lists and ``mixture`` for those of mixture sources.
+    """
+    parsed = configs.select("config", F.inline(F.array(F.from_json("text", RUN_PATHS))))
+    sources = F.col("dataset.source_mixture_config.source_configs")
+    listed = {
+        "data": F.col("data.paths"),
+        "dataset": F.col("dataset.paths"),
+        "mixture": F.flatten(F.filter(sources["paths"], lambda paths: paths.isNotNull())),
+    }
+    lists = F.array(*(F.struct(F.lit(o).alias("origin"), p.alias("paths")) for o, p in listed.items()))
+    return (
+        parsed.select("config", F.explode(lists).alias("l"))
+        .select("config", "l.origin", F.explode("l.paths").alias("path"))
+    )
+
+
 def recipe_paths(recipes: DataFrame) -> DataFrame:
     """``config, path`` of the token files of recipes, cleaned like the lines of a mix list."""
     return parse_mix_lines(

@@ -76,6 +76,22 @@ def test_flatten(spark):
     assert found["l/0"] == "1" and found["l/1/x"] == "y" and "l" not in found
 
 
+def test_run_config_paths(spark):
+    texts = [
+        {"data": {"paths": ["a/1.npy", "b/2.npy"]}, "lr": 1},
+        {"dataset": {"paths": ["c/3.npy"], "source_mixture_config": {"source_configs": [{"name": "x"}, {"paths": ["d/4.npy", "d/5.npy"]}]}}},
+        {"lr": 2},
+    ]
+    configs = local_table(spark, [(str(i), json.dumps(t)) for i, t in enumerate(texts)], "config string, text string")
+    assert rows(manifests.run_config_paths(configs), "path") == [
+        ("0", "data", "a/1.npy"),
+        ("0", "data", "b/2.npy"),
+        ("1", "dataset", "c/3.npy"),
+        ("1", "mixture", "d/4.npy"),
+        ("1", "mixture", "d/5.npy"),
+    ]
+
+
 def test_files_and_tokens(spark, tmp_path):
     for name, size in (("a/1.npy", 40), ("a/deep/2.npy", 10), ("b/3.npy", 8), ("b/skip.txt", 99)):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -200,6 +200,16 @@ def test_landing(spark):
     assert state(spark, table) == [("a", 9.0), ("b", 5.0), ("c", 3.0)]
 
 
+def test_invalidating(spark):
+    table = shared_dir(spark)
+    landing.invalidate(spark, table, 0)
+    landing.land(spark, table, batch(spark, [("a", 1.0), ("b", 1.0)]), 0)
+    landing.invalidate(spark, table, 0)
+    assert state(spark, table) == []
+    landing.land(spark, table, batch(spark, [("a", 2.0)]), 1)
+    assert state(spark, table) == [("a", 2.0)]
+
+
 def test_changed_experiments_are_evicted(spark, found_experiments):
     table = shared_dir(spark)
     landing.land(spark, table, batch(spark, [("e1", 1.0), ("e2", 1.0), ("e3", 1.0)]), 0)

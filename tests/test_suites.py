@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scoremill.functions.patterns import compile_filters
@@ -195,6 +196,36 @@ def test_list_suites(spark, book):
     assert not any(suite == "extras" for suite, _, _ in found)
 
 
+def test_edge_tables_score_like_the_book(spark, cells, book):
+    edges = book.edges(spark)
+    found = {(r["model"], r["suite"]): r["score"] for r in suites.score_weights(cells, suites.suite_weights(edges)).collect()}
+    expected = {(r["model"], r["suite"]): r["score"] for r in suites.suite_scores(cells, book).collect()}
+    assert set(found) == set(expected) and len(found) == 12
+    for key, score in expected.items():
+        assert found[key] == (None if score is None else pytest.approx(score))
+
+
+def test_edge_tables_with_views_and_lists(spark, cells):
+    book = suites.SuiteBook()
+    book.register_suite("view", "VIEW", ["m1"])
+    book.register_suite("over", "AOA", ["view", "m1"])
+    weights = suites.suite_weights(book.edges(spark))
+    assert {r["score"] for r in suites.score_weights(cells, weights).collect()} == {None}
+    assert book.own_weights("over") is None
+    book.register_suite("list", "LIST", ["m1"])
+    book.register_suite("bad", "AOA", ["list"])
+    with pytest.raises(PySparkException, match="list is a list"):
+        suites.suite_weights(book.edges(spark)).collect()
+
+
+def test_report(cells, book):
+    table = dashboard.report(cells, ["all"], book)
+    assert table.columns == ["model", "math", "code", "qa", "all"]
+    assert table.first()["model"] == "full"
+    assert [r["model"] for r in dashboard.report(cells, ["all"], book, ascending=True).collect()][-1] == "full"
+    assert dashboard.report(cells, ["nothing"], book).count() == 0
+
+
 def test_scoring_reads_the_cells_once(spark, tmp_path, cells, book):
     path = str(tmp_path / "cells")
     cells.write.parquet(path)
