@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 # An integer tie-break spans less than 2e19, so timestamp * 2e19 + tie-break keeps their order.
 TIE_SPAN = "20000000000000000000"
@@ -35,9 +36,21 @@ def newest_score(
     then fixed-width, and Spark plans a hash aggregate without any sort. A null timestamp is older
     than any other. The tie-break must be unique among equal timestamps of a key.
     """
-    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    micros = _micros(records, ts).cast("decimal(18,0)")
     oldest = F.lit("-" + "9" * 18).cast("decimal(18,0)")
     packed = F.coalesce(micros, oldest) * F.lit(TIE_SPAN).cast("decimal(20,0)") + tiebreak.cast(
         "decimal(19,0)"
     )
     return records.groupBy(*keys).agg(F.max_by(score.cast("double"), packed).alias("score"))
+
+
+def _micros(records: DataFrame, ts: Column) -> Column:
+    """Microseconds that order like the timestamps.
+
+    A timestamp without a zone is taken apart by its calendar fields: casting it to an instant would
+    depend on the session's zone, and reorder it around clock changes.
+    """
+    if not isinstance(records.select(ts).schema[0].dataType, TimestampNTZType):
+        return F.unix_micros(ts.cast("timestamp"))
+    seconds = F.unix_date(ts.cast("date")) * F.lit(86400).cast("bigint") + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

@@ -167,6 +167,19 @@ def test_newest_does_not_depend_on_order(spark):
             assert {r["k"]: r["score"] for r in df.collect()} == expected
 
 
+def test_zoneless_times_keep_their_order_in_any_zone(spark):
+    """02:30 does not exist in New York on that day; as an instant it would pass 03:10."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("k", "2024-03-10 02:30:00.000001", 1, 0.1), ("k", "2024-03-10 03:10:00", 2, 0.2), ("k", "1969-12-31 23:59:59.5", 3, 0.3)]
+        frame = local_table(spark, rows, "k string, t string, i bigint, score double")
+        frame = frame.withColumn("ts", F.col("t").cast("timestamp_ntz"))
+        assert newest_score(frame, ["k"], F.col("score"), F.col("ts"), F.col("i")).first()["score"] == 0.2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_newest_reduces_before_the_shuffle(spark):
     frame = spark.range(10).select((F.col("id") % 2).alias("k"), "id", F.col("id").cast("timestamp").alias("ts"))
     plan = newest(frame, ["k"], [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
