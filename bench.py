@@ -42,6 +42,14 @@ HEADLINE = (
 RUNS = 2
 
 
+def scale(sf_dir: str) -> float | str:
+    name = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "scoremill-bench")
@@ -64,7 +72,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": seconds,
-                "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
+                "sf": scale(sf_dir),
             }
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Folder names that are network mounts, wherever a path starts with them.
@@ -26,8 +26,6 @@ MOUNTS = (
 # Fixed value: paths of this corpus group by their tokenizer folder, not by their last folder.
 TOKENIZER_FOLDER = r"(?i)^(.*dclm/.+?tokenizer)(/.*)?$"
 
-LOCATED_TYPE = "struct<prot:string,path:string,bucket:string,prefix:string,local:string,remote:string,hash:string>"
-
 
 def storage_path(path: Column) -> Column:
     """Forward slashes only, without scheme, host, query and leading slashes.
@@ -99,54 +97,62 @@ def base_path(path: Column) -> Column:
     )
 
 
-def locate(path: Column, mounts: Sequence[str] = MOUNTS, strict: bool = True) -> Column:
-    """Struct of protocol, path and derived forms.
+def with_location(
+    frame: DataFrame, path: str = "path", name: str = "located", mounts: Sequence[str] = MOUNTS, strict: bool = True
+) -> DataFrame:
+    """Add a struct of protocol, path and derived forms of a path column.
 
     Mounted folders come first (absolute paths and ``weka://`` links), then local files, then
     ``s3*`` and ``gs``/``gcs`` links. Anything else fails the query, or gives a null struct when
     not ``strict``. A trailing slash is kept once. ``remote``, ``bucket`` and ``prefix`` are null
     for files; ``local`` is null for object stores.
-    """
-    names = "|".join(m.replace(".", r"\.") for m in mounts)
-    scheme = F.lower(F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    rest = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//)?", "")
-    rest = F.regexp_replace(rest, r"(?s)[?#].*$", "")
-    host = F.regexp_extract(rest, r"^([^/]*)", 1)
-    key = F.ltrim(F.regexp_replace(rest, r"^[^/]*", ""), F.lit("/"))
-    object_path = F.concat(host, F.lit("/"), key)
-    rooted = F.regexp_replace(F.concat(F.lit("/"), object_path), "^/+", "/")
-    mounted = F.regexp_replace(F.regexp_replace(path, r"(/\.)+(/|$)", "/"), "/+", "/")
-    mounted = F.regexp_extract(mounted, rf"^(/weka)?(/({names})(/.*)?)$", 2)
 
+    The steps are projections of their own, so that no expression contains another many times.
+    """
+    mount = "|".join(m.replace(".", r"\.") for m in mounts)
+    link = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://)?([^?#]*)"
+    raw, scheme, rest, mounted = F.col(path), F.col("_scheme"), F.col("_rest"), F.col("_mounted")
+    clean = F.regexp_replace(F.regexp_replace(raw, r"(/\.)+(/|$)", "/"), "/+", "/")
+    first = frame.withColumns(
+        {
+            "_scheme": F.lower(F.regexp_extract(raw, link, 1)),
+            "_rest": F.regexp_extract(raw, link, 2),
+            "_mounted": F.regexp_extract(clean, rf"^(/weka)?(/({mount})(/.*)?)$", 2),
+        }
+    )
+    host = F.substring_index(rest, "/", 1)
     prot = (
-        F.when((scheme == "weka") & host.isin(*mounts), F.lit("weka"))
-        .when((scheme == "") & (mounted != ""), F.lit("weka"))
-        .when(scheme.isin("", "file"), F.lit("file"))
-        .when(scheme.startswith("s3"), F.lit("s3"))
-        .when(scheme.isin("gs", "gcs"), F.lit("gs"))
+        F.when(scheme == "", F.when(mounted != "", "weka").otherwise("file"))
+        .when((scheme == "weka") & host.isin(*mounts), "weka")
+        .when(scheme == "file", "file")
+        .when(scheme.startswith("s3"), "s3")
+        .when(scheme.isin("gs", "gcs"), "gs")
     )
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("cannot locate path: "), raw)).cast("string")
+        prot = F.coalesce(prot, problem)
     place = (
-        F.when(scheme.isin("weka", "file"), rooted)
-        .when((scheme == "") & (mounted != ""), mounted)
-        .when(scheme == "", path)
-        .otherwise(object_path)
+        F.when(scheme == "", F.when(mounted != "", mounted).otherwise(raw))
+        .when(scheme.isin("weka", "file"), F.regexp_replace(F.concat(F.lit("/"), rest), "^/+([^/]*)/*", "/$1/"))
+        .otherwise(F.regexp_replace(rest, "^([^/]*)/*", "$1/"))
     )
-    if strict:
-        prot = F.coalesce(
-            prot, F.raise_error(F.concat(F.lit("cannot locate path: "), path)).cast("string")
-        )
-    remote = F.when(prot != "file", F.concat(prot, F.lit("://"), F.ltrim(place, F.lit("/"))))
+    second = first.withColumns({"_prot": prot, "_place": place})
+    prot, place = F.col("_prot"), F.col("_place")
     inner = F.when(prot != "file", F.ltrim(place, F.lit("/")))
+    third = second.withColumn("_inner", inner)
+    inner = F.col("_inner")
     located = F.struct(
         prot.alias("prot"),
         place.alias("path"),
-        F.regexp_extract(inner, r"^([^/]*)", 1).alias("bucket"),
-        F.ltrim(F.regexp_replace(inner, r"^[^/]*", ""), F.lit("/")).alias("prefix"),
+        F.substring_index(inner, "/", 1).alias("bucket"),
+        F.regexp_replace(inner, "^[^/]*/*", "").alias("prefix"),
         F.when(prot.isin("weka", "file"), place).alias("local"),
-        remote.alias("remote"),
+        F.concat(prot, F.lit("://"), inner).alias("remote"),
         F.md5(F.concat(prot, place)).alias("hash"),
     )
-    return F.when(prot.isNotNull(), located)
+    return third.withColumn(name, F.when(prot.isNotNull(), located)).drop(
+        "_scheme", "_rest", "_mounted", "_prot", "_place", "_inner"
+    )
 
 
 def source_path(path: Column) -> Column:

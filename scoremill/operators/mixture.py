@@ -17,6 +17,20 @@ DEFAULT_DTYPE = "uint32"
 DEFAULT_SEED = 42
 
 
+def attach_sizes(source_paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``source, path, length`` of listed paths; the length is null for a path without a file.
+
+    ``source_paths`` is ``name, path``, ``files`` is ``path, length``. Paths meet by protocol and
+    place, so that ``s3a://`` or ``file:`` forms of a listing match the ``s3://`` or plain forms.
+    """
+    def place(frame: DataFrame, *columns) -> DataFrame:
+        at = path_fn.with_location(frame, "path", "_at")
+        return at.select(F.col("_at.prot").alias("_prot"), F.col("_at.path").alias("_place"), *columns)
+
+    listed = place(source_paths, F.col("name").alias("source"), "path")
+    return listed.join(place(files, "length"), ["_prot", "_place"], "left").select("source", "path", "length")
+
+
 def token_counts(files: DataFrame, dtype: str = DEFAULT_DTYPE) -> DataFrame:
     """``source, tokens, n_files, n_failed, ratio, dtype`` from ``files(source, length)``.
 

@@ -951,7 +951,7 @@ def located_paths(spark, d):
     heads = {0: "s3n://", 1: "gcs://", 2: "/", 3: "weka://oe-data-default/"}
     head = F.coalesce(*(F.when(i == n, text) for n, text in heads.items()), F.lit("/weka/oe-data-default/"))
     listed = b.table(spark, d, "pages").select("page_id", F.concat(head, rest).alias("path"))
-    return listed.select("page_id", paths.locate(F.col("path")).alias("l")).select(
+    return paths.with_location(listed, name="l").select(
         "page_id", "l.prot", "l.path", "l.bucket", "l.local", "l.remote", "l.hash"
     )
 
@@ -1211,6 +1211,26 @@ def token_counts(spark, d):
     return _rounded(mixture.token_counts(b.document_files(spark, d)), "ratio")
 
 
+@registered(
+    "token_counts_of_listed_files",
+    """SELECT source, CAST(coalesce(sum(n_chars) FILTER (quality IS NOT NULL), 0) AS BIGINT) AS tokens,
+      count(*) AS n_files, count(*) FILTER (quality IS NULL) AS n_failed
+    FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id GROUP BY 1""",
+)
+def token_counts_of_listed_files(spark, d):
+    documents = b.table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    listed = documents.select(
+        F.col("source").alias("name"), F.concat(F.lit("s3://b/x/"), F.col("doc_id").cast("string")).alias("path")
+    )
+    labelled = documents.join(b.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    found = labelled.select(
+        F.concat(F.lit("s3a://b/x/"), F.col("doc_id").cast("string")).alias("path"),
+        (F.col("n_chars") * 4).alias("length"),
+    )
+    counts = mixture.token_counts(mixture.attach_sizes(listed, found))
+    return counts.select("source", "tokens", "n_files", "n_failed")
+
+
 def _document_sources(spark, d, every: int):
     """Sources of the documents; every ``every``-th by number has no target ratio or 0."""
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")

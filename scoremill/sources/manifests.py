@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 FLAT_TYPE = "config string, key string, value string"
+DEEP = "/**/"
+PIECE = 10_000  # rows per Arrow batch that a text parser hands back
 
 
 def parse_mix_lines(lines: DataFrame) -> DataFrame:
@@ -52,16 +57,13 @@ def flatten(configs: DataFrame, syntax: str = "json", sep: str = ".", include_li
     """
     load = _loader(syntax)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (config, key, None if value is None else value if isinstance(value, str) else json.dumps(value, default=str))
-                for config, text in zip(batch["config"], batch["text"])
-                for key, value in _leaves(load(text), sep, include_lists)
-            ]
-            yield pd.DataFrame(out, columns=["config", "key", "value"], dtype=object)
+    def leaves(config, text):
+        for key, value in _leaves(load(text), sep, include_lists):
+            if value is not None and not isinstance(value, str):
+                value = json.dumps(value, default=str)
+            yield config, key, value
 
-    return configs.select("config", "text").mapInPandas(rows, FLAT_TYPE)
+    return _map_texts(configs, leaves, FLAT_TYPE)
 
 
 RECIPE_TYPE = (
@@ -78,21 +80,17 @@ def parse_recipes(configs: DataFrame, syntax: str = "yaml") -> DataFrame:
     """
     load = _loader(syntax)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for config, text in zip(batch["config"], batch["text"]):
-                recipe = load(text) or {}
-                for path in (recipe.get("data") or {}).get("paths") or []:
-                    out.append((config, None, None, None, None, path))
-                for s in (recipe.get("dataset") or {}).get("sources") or []:
-                    head = (config, s["name"], s.get("target_ratio"))
-                    head += (s.get("repetition_factor", 1.0), s.get("max_source_ratio", 1.0))
-                    out += [(*head, path) for path in s.get("paths") or [None]]
-            frame = pd.DataFrame(out, columns=[field.split()[0] for field in RECIPE_TYPE.split(", ")])
-            yield frame.astype(dict.fromkeys(frame.columns[2:5], "float64"))
+    def paths(config, text):
+        recipe = load(text) or {}
+        for path in (recipe.get("data") or {}).get("paths") or []:
+            yield config, None, None, None, None, path
+        for s in (recipe.get("dataset") or {}).get("sources") or []:
+            target = s.get("target_ratio")
+            factors = float(s.get("repetition_factor", 1)), float(s.get("max_source_ratio", 1))
+            for path in s.get("paths") or [None]:
+                yield config, s["name"], None if target is None else float(target), *factors, path
 
-    return configs.select("config", "text").mapInPandas(rows, RECIPE_TYPE)
+    return _map_texts(configs, paths, RECIPE_TYPE)
 
 
 RUN_PATHS = (
@@ -130,9 +128,13 @@ def recipe_paths(recipes: DataFrame) -> DataFrame:
 def expand_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """``path, length`` of all files of the patterns; a pattern without a match raises.
 
-    Spark lists the files and never opens them: the content column is not selected.
+    Spark lists the files and never opens them: the content column is not selected. All patterns
+    without ``**`` are one listing.
     """
-    found = [_files(spark, p) for p in patterns]
+    flat = [p for p in patterns if DEEP not in p]
+    found = [_files(spark, p) for p in patterns if DEEP in p]
+    if flat:
+        found.append(spark.read.format("binaryFile").load(flat).select("path", "length"))
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)
@@ -165,17 +167,30 @@ def read_domain_weights(spark: SparkSession, path: str, folder_per_mix: bool = F
 
 
 def _files(spark: SparkSession, pattern: str) -> DataFrame:
-    # "**" may stand for no folder at all; Spark's own listing is recursive instead.
-    base, deep, name = pattern.partition("/**/")
-    reader = spark.read.format("binaryFile")
-    if deep:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    files = reader.load(base).select("path", "length")
+    # "**" may stand for no folder at all; Spark's own listing is recursive instead
+    base, _, name = pattern.partition(DEEP)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", name).load(base).select("path", "length")
     if files.isEmpty():
         raise FileNotFoundError(pattern)
     return files
 
 
+def _map_texts(configs: DataFrame, parse: Callable, ddl: str) -> DataFrame:
+    """Rows that ``parse(config, text)`` yields, handed to Spark in pieces of bounded size."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = (row for pair in zip(*(c.to_pylist() for c in batch.columns)) for row in parse(*pair))
+            while piece := list(islice(parsed, PIECE)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, type=field.type) for column, field in zip(zip(*piece), schema)], schema=schema
+                )
+
+    return configs.select("config", "text").mapInArrow(rows, ddl)
+
+
 def _loader(syntax: str):
     if syntax == "json":
         return json.loads

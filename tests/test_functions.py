@@ -112,6 +112,11 @@ def test_base_path(spark):
     assert apply(spark, list(cases), paths.base_path) == list(cases.values())
 
 
+def locate(spark, texts, **options):
+    frame = local_table(spark, [(i, t) for i, t in enumerate(texts)], "i int, path string")
+    return [r["located"] for r in paths.with_location(frame, **options).orderBy("i").collect()]
+
+
 def test_locate(spark):
     cases = {
         "gs://bucket/prefix": ("gs", "bucket/prefix"),
@@ -125,7 +130,7 @@ def test_locate(spark):
         "/home/user/data": ("file", "/home/user/data"),
         "file:///home/user/": ("file", "/home/user/"),
     }
-    found = apply(spark, list(cases), paths.locate)
+    found = locate(spark, list(cases))
     assert [(r["prot"], r["path"]) for r in found] == list(cases.values())
     for row in found:
         assert row["hash"] == hashlib.md5((row["prot"] + row["path"]).encode()).hexdigest()
@@ -139,8 +144,8 @@ def test_locate(spark):
 @pytest.mark.parametrize("path", ["weka://non-existent-bucket/prefix", "azure://bucket/prefix"])
 def test_locate_refuses(spark, path):
     with pytest.raises(PySparkException, match="cannot locate"):
-        apply(spark, [path], paths.locate)
-    assert apply(spark, [path], lambda c: paths.locate(c, strict=False)) == [None]
+        locate(spark, [path])
+    assert locate(spark, [path], strict=False) == [None]
 
 
 def test_source_path(spark):

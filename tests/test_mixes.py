@@ -125,6 +125,19 @@ def test_token_counts_report_failures_and_emptiness(spark):
         mixture.token_counts(files.filter("source = 'b'")).collect()
 
 
+def test_sizes_meet_listed_paths(spark):
+    listed = local_table(spark, [("a", "s3://b/1"), ("a", "/x/2"), ("b", "s3://b/3")], "name string, path string")
+    files = local_table(spark, [("s3a://b/1", 8), ("file:/x/2", 4)], "path string, length bigint")
+    assert rows(mixture.attach_sizes(listed, files), "path") == [("a", "/x/2", 4), ("a", "s3://b/1", 8), ("b", "s3://b/3", None)]
+
+
+def test_parsed_texts_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(manifests, "PIECE", 3)
+    text = json.dumps({f"k{i}": i for i in range(10)})
+    configs = local_table(spark, [("a", text), ("b", "{}"), ("c", text)], "config string, text string")
+    assert manifests.flatten(configs.coalesce(1)).count() == 20
+
+
 SOURCE_TYPE = "name string, target_ratio double, repetition_factor double"
 
 
