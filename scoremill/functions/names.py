@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The run service whose links are accepted, and the number of hash characters
-# that tell apart two configurations of a task without an alias.
-RUN_HOST = "wandb.ai"
+# Marks and patterns in task names.
+BPB = ":bpb"
+MULTIPLE_CHOICE = ":mc($|:)"
+RANKED_CHOICE = ":rc($|:)"
+SUITE_SUFFIX = "(::.+)$"
+PASS_AT = ":pass_at_"
+# Number of hash characters that tell apart configurations of a task without an alias.
 ALIAS_HASH_CHARS = 6
+# Last folder of a checkpoint path, the run service whose links are accepted, and the
+# length and ending of short labels.
+STEP_FOLDER = r"/step[0-9]+[^/]*/?$"
+RUN_HOST = "wandb.ai"
+LABEL_CHARS = 30
+LABEL_END = "..."
 
 
 def bpb_name(alias: Column) -> Column:
     """Name of the bits-per-byte column of a task, null where it must not have one."""
-    return (
-        F.when(alias.contains(":bpb"), F.lit(None).cast("string"))
-        .when(alias.rlike(":mc($|:)"), F.lit(None).cast("string"))
-        .when(alias.rlike(":rc($|:)"), F.regexp_replace(alias, ":rc($|:)", ":bpb$1"))
-        .when(alias.rlike("::.+$"), F.regexp_replace(alias, "(::.+)$", ":bpb$1"))
-        .otherwise(F.concat(alias, F.lit(":bpb")))
+    has_none = alias.contains(BPB) | alias.rlike(MULTIPLE_CHOICE)
+    return F.when(
+        ~has_none,
+        F.when(alias.rlike(RANKED_CHOICE), F.regexp_replace(alias, RANKED_CHOICE, f"{BPB}$1"))
+        .when(alias.rlike(SUITE_SUFFIX), F.regexp_replace(alias, SUITE_SUFFIX, f"{BPB}$1"))
+        .otherwise(F.concat(alias, F.lit(BPB))),
     )
 
 
 def pass_at_name(alias: Column, k: int) -> Column:
-    return F.concat(alias, F.lit(f":pass_at_{k}"))
+    return F.concat(alias, F.lit(f"{PASS_AT}{k}"))
 
 
 def parse_task_config(text: Column) -> Column:
@@ -65,7 +75,7 @@ def eval_run_name(
     bare = F.rtrim(bare, F.lit("/"))
     last = F.regexp_extract(bare, r"([^/]*)$", 1)
     above = F.regexp_extract(bare, r"([^/]*)/+[^/]*$", 1)
-    name = F.when(path.rlike(r"/step[0-9]+[^/]*/?$"), F.concat(above, F.lit("_"), last)).otherwise(last)
+    name = F.when(path.rlike(STEP_FOLDER), F.concat(above, F.lit("_"), last)).otherwise(last)
     tail = ("_bos" if bos else "") + (f"_s{shots}" if shots is not None else "") + (f"_{suffix}" if suffix else "")
     return F.concat(name, F.lit(tail)) if tail else name
 
@@ -87,8 +97,7 @@ def run_path(text: Column, host: str = RUN_HOST, strict: bool = False) -> Column
     )
 
 
-def short_label(text: Column, limit: int = 30) -> Column:
-    """Longer labels keep ``limit - 3`` characters and get three dots."""
-    return F.when(
-        F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))
-    ).otherwise(text)
+def short_label(text: Column, limit: int = LABEL_CHARS) -> Column:
+    """Longer labels are cut, so that they are ``limit`` characters long with their ending."""
+    head = F.substring(text, 1, limit - len(LABEL_END))
+    return F.when(F.length(text) > limit, F.concat(head, F.lit(LABEL_END))).otherwise(text)

@@ -33,7 +33,8 @@ def find_experiments(
     """Newest experiments of a dashboard, a model or both; ``limit=None`` gives all, unordered."""
     if dashboard is None and model_name is None:
         raise ValueError("give a dashboard, a model name or both")
-    found = experiments.filter(F.col("created") >= F.lit(created_from).cast("timestamp_ntz"))
+    first_day = F.lit(created_from).cast(experiments.schema["created"].dataType)
+    found = experiments.filter(F.col("created") >= first_day)
     if dashboard is not None:
         found = found.filter(tag_fn.has_tag(F.col("tags"), DASHBOARD, dashboard))
     if model_name is not None:

@@ -60,10 +60,13 @@ def count_dropped(records: DataFrame) -> DataFrame:
 
 
 def parse_experiments(lines: DataFrame) -> DataFrame:
-    """``experiment_id, model_name, task_name, created, tags`` from a column ``text``."""
+    """``experiment_id, model_name, task_name, created, tags`` from a column ``text``.
+
+    ``created`` is an instant; a text without an offset is read in the session's zone.
+    """
     parsed = lines.select(F.from_json("text", EXPERIMENT_TYPE).alias("e")).select("e.*")
     return parsed.withColumns(
-        {"created": F.col("created").cast("timestamp_ntz"), "tags": parse_tags(F.col("tags"))}
+        {"created": F.col("created").cast("timestamp"), "tags": parse_tags(F.col("tags"))}
     )
 
 

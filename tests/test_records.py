@@ -89,9 +89,9 @@ def test_skip_or_fail(spark, tmp_path):
 
 
 EXPERIMENTS = [
-    ("e1", "m", "a,b", "2025-01-01T00:00:00", "dashboard=main,k=1"),
-    ("e2", "m", "b", "2025-01-03T00:00:00", "dashboard=main,dashboard=other"),
-    ("e3", "m-2", "a", "2025-01-02T00:00:00", "dashboard=other"),
+    ("e1", "m", "a,b", "2025-01-04T01:00:00+09:00", "dashboard=main,k=1"),
+    ("e2", "m", "b", "2025-01-03T18:00:00", "dashboard=main,dashboard=other"),
+    ("e3", "m-2", "a", "2025-01-02T00:00:00+00:00", "dashboard=other"),
     ("e4", "m", "a", "2024-01-02T00:00:00", "dashboard=main"),
 ]
 
