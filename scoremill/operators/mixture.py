@@ -35,15 +35,17 @@ def token_counts(files: DataFrame, dtype: str = DEFAULT_DTYPE) -> DataFrame:
     """``source, tokens, n_files, n_failed, ratio, dtype`` from ``files(source, length)``.
 
     A file holds ``length div item size`` tokens; a file whose length is null could not be read and
-    is counted in ``n_failed``. No tokens at all fails the query. The total is read from the same
-    per-source aggregation, one row per source.
+    is counted in ``n_failed``. No tokens at all fails the query. The total sums all columns of the
+    per-source aggregation: a plan that needs the same columns shares its shuffle, so files are read
+    once.
     """
     counts = files.groupBy("source").agg(
         F.coalesce(F.sum(F.expr(f"length div {ITEM_BYTES[dtype]}")), F.lit(0)).alias("tokens"),
         F.count(F.lit(1)).alias("n_files"),
         F.count_if(F.col("length").isNull()).alias("n_failed"),
     )
-    total = counts.agg(F.sum("tokens")).scalar()
+    sums = [F.sum(column).alias(column) for column in ("tokens", "n_files", "n_failed")]
+    total = counts.agg(F.struct(*sums)).scalar()["tokens"]
     none = F.raise_error(F.lit("no tokens found in any source")).cast("double")
     ratio = F.when(total == 0, none).otherwise(F.col("tokens") / total)
     return counts.select(

@@ -254,3 +254,12 @@ def test_cells_round_trip(spark):
     path = shared_dir(spark)
     export.write_cells(cells, path)
     assert sorted(rows(spark.read.schema(cell_ops.CELL_TYPE).json(path))) == [("a", "t", None), ("b", "t", 0.1)]
+
+
+def test_token_counts_read_files_once(spark, tmp_path):
+    path = str(tmp_path / "files")
+    local_table(spark, [("a", 40), ("b", 8)], "source string, length bigint").write.parquet(path)
+    counts = mixture.token_counts(spark.read.parquet(path))
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan") <= 1
