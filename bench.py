@@ -15,6 +15,7 @@ from scoremill.session import local_session
 
 HEADLINE = (
     "newest_event_scores",
+    "newest_lineitem_scores",
     "newest_lineitem_records",
     "overlay",
     "fill_without_overwrite",

@@ -1,6 +1,6 @@
 """Newest record per key.
 
-Both forms reduce every key to one row per input task before the shuffle, so a key that holds a
+All forms reduce every key to one row per input task before the shuffle, so a key that holds a
 large share of the records moves no more rows than there are input tasks.
 """
 
@@ -27,6 +27,18 @@ def newest(records: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     )
 
 
+def newest_values(
+    records: DataFrame, keys: Sequence[str], rank: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """``keys, values`` of the record with the largest ``rank``; nulls rank lowest.
+
+    For a few narrow values and an order that is descending throughout: input tasks sort by the keys
+    only, not by the order as well. The rank must be total.
+    """
+    best = F.max(F.struct(*rank, *(v for v in values if v not in rank))).alias("_best")
+    return records.groupBy(*keys).agg(best).select(*keys, *(F.col("_best")[v].alias(v) for v in values))
+
+
 def newest_score(
     records: DataFrame, keys: Sequence[str], score: Column, ts: Column, tiebreak: Column
 ) -> DataFrame:

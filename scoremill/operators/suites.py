@@ -143,6 +143,23 @@ class SuiteBook:
         return local_table(spark, rows, EDGE_TYPE)
 
 
+def book_from_edges(edges: DataFrame, limit: int = 100_000) -> SuiteBook:
+    """Book of a stored edge table ``suite, kind, ord, child, child_is_suite``.
+
+    A dashboard names its columns, so its definitions come to the driver. More than ``limit`` edges
+    are refused: :func:`suite_weights` and :func:`score_weights` score suites of any number.
+    """
+    rows = edges.select("suite", "kind", "ord", "child", "child_is_suite").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} edges; score them as a table with score_weights")
+    book = SuiteBook()
+    for row in sorted(rows, key=lambda r: (r["suite"], r["ord"])):
+        known = book.suites.get(row["suite"], Suite(row["suite"], row["kind"], (), frozenset()))
+        nested = known.suites | ({row["child"]} if row["child_is_suite"] else set())
+        book.suites[row["suite"]] = Suite(row["suite"], row["kind"], (*known.children, row["child"]), nested)
+    return book
+
+
 def score_columns(
     cells: DataFrame,
     columns: dict[str, dict[str, float] | None],

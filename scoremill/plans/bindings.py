@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoremill.operators.newest import newest, newest_score
+from scoremill.operators.newest import newest_score, newest_values
 from scoremill.operators.suites import SuiteBook
 from scoremill.session import stage
 
@@ -52,17 +52,18 @@ def nullable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score table with many ties: model is the supplier, task the flag and status."""
-    records = table(spark, sf_dir, "lineitem").select(
+    latest = newest_values(
+        table(spark, sf_dir, "lineitem"),
+        ["l_suppkey", "l_returnflag", "l_linestatus"],
+        ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"],
+        ["l_discount", "l_shipdate"],
+    )
+    return latest.select(
         F.col("l_suppkey").cast("string").alias("model"),
         F.concat("l_returnflag", "l_linestatus").alias("task"),
         F.col("l_discount").alias("score"),
         "l_shipdate",
-        "l_orderkey",
-        "l_linenumber",
-        "l_extendedprice",
     )
-    order = [F.desc(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "score")]
-    return newest(records, ["model", "task"], order).select("model", "task", "score", "l_shipdate")
 
 
 def event_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:

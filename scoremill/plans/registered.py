@@ -16,6 +16,7 @@ from scoremill.functions.patterns import compile_filters
 from scoremill.operators import cells as cell_ops
 from scoremill.operators import coverage, manifest, mixture, ordering, suites
 from scoremill.operators import experiments as exp
+from scoremill.operators.newest import newest
 from scoremill.plans import bindings as b
 from scoremill.plans import dashboard, mixes
 from scoremill.session import shared_dir, stage
@@ -72,11 +73,26 @@ def newest_event_scores(spark, d):
     return b.event_cells(spark, d)
 
 
-@registered("newest_lineitem_records", LINEITEM_CELLS)
-def newest_lineitem_records(spark, d):
+@registered("newest_lineitem_scores", LINEITEM_CELLS)
+def newest_lineitem_scores(spark, d):
     return b.lineitem_cells(spark, d)
 
 
+@registered(
+    "newest_lineitem_records",
+    """SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag
+        ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_extendedprice, l_partkey) AS n FROM lineitem) AS x
+    WHERE n = 1""",
+)
+def newest_lineitem_records(spark, d):
+    items = b.table(spark, d, "lineitem").select(
+        "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"
+    )
+    order = [F.desc("l_shipdate"), *(F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"))]
+    return newest(items, ["l_suppkey", "l_returnflag"], order)
+
+
 @registered(
     "keep_columns",
     f"SELECT * FROM ({EVENT_CELLS}) AS c WHERE task = 'click:0' OR regexp_matches(task, 'err.*[12]$')",
@@ -847,10 +863,10 @@ def newest_stream(spark, d):
     for part in (source.filter(~late), source.filter(late)):
         part.write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(source.schema).parquet(inbox)
-        newest = incremental.newest_stream(
+        updates = incremental.newest_stream(
             stream, ["model", "task"], ["score"], [F.col("ts"), F.col("event_id")]
         )
-        incremental.write_updates(newest, table, f"{base}/checkpoint").awaitTermination()
+        incremental.write_updates(updates, table, f"{base}/checkpoint").awaitTermination()
     return incremental.read_newest(spark, table, ["model", "task"]).select("model", "task", "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoremill.functions.tags import render_tags
 from scoremill.operators import experiments as exp
-from scoremill.operators.newest import newest, newest_score
+from scoremill.operators.newest import newest, newest_score, newest_values
 from scoremill.plans import dashboard
 from scoremill.session import local_table, shared_dir, stage
 from scoremill.sources import landing, records
@@ -163,7 +163,8 @@ def test_newest_does_not_depend_on_order(spark):
         frame = frame.withColumn("ts", F.timestamp_seconds("t"))
         whole = newest(frame, ["k"], [F.desc_nulls_last("ts"), F.desc("i")])
         packed = newest_score(frame, ["k"], F.col("score"), F.col("ts"), F.col("i"))
-        for df in (whole, packed):
+        largest = newest_values(frame, ["k"], ["ts", "i"], ["score"])
+        for df in (whole, packed, largest):
             assert {r["k"]: r["score"] for r in df.collect()} == expected
 
 

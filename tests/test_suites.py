@@ -204,6 +204,13 @@ def test_edge_tables_score_like_the_book(spark, cells, book):
         assert found[key] == (None if score is None else pytest.approx(score))
 
 
+def test_book_from_edges(spark, book):
+    edges = book.edges(spark)
+    assert suites.book_from_edges(edges).suites == book.suites
+    with pytest.raises(ValueError, match="score_weights"):
+        suites.book_from_edges(edges, limit=3)
+
+
 def test_edge_tables_with_views_and_lists(spark, cells):
     book = suites.SuiteBook()
     book.register_suite("view", "VIEW", ["m1"])
