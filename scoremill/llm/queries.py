@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import mixing
+from scoremill.llm import mixing, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ FROM q LEFT JOIN c ON q.doc_id = c.doc_id"""
 @registered("op5_mix_sources", MIX_SQL)
 def op5_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents"))
+
+
+@registered("op4_secret_scan")
+def op4_secret_scan(spark, d):
+    return secrets.report(table(spark, d, "documents"))
