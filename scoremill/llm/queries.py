@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import mixing, secrets
+from scoremill.llm import language, mixing, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op5_mix_sources(spark, d):
 @registered("op4_secret_scan")
 def op4_secret_scan(spark, d):
     return secrets.report(table(spark, d, "documents"))
+
+
+@registered("op6_language_id")
+def op6_language_id(spark, d):
+    return language.identify(table(spark, d, "documents"))
