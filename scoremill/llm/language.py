@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoremill.llm.arrays import bytes_of, small_batches
 from scoremill.llm.words import text_of
 
 ORDER = 3
 SAMPLE_DOCS = 1500  # documents per language aimed at when learning: the documented bound of the sample
 MAX_CELLS = 1 << 23  # costs kept, over all contexts, bytes and languages; rarer contexts fall back on shorter ones
-BATCH_ROWS = 512  # rows per Arrow batch, so that a batch of long texts fits
 PIECE = 1 << 20  # bytes scored at a time
 UNKNOWN = "und"
 START, OTHER = 0, 1  # ranks of the position before a text and of bytes never learned
@@ -39,27 +39,12 @@ class LanguageModel:
     cost: np.ndarray  # bits by (context row * symbols + rank), one column per language
 
 
-def small_batches(df: DataFrame) -> None:
-    """Keep Arrow batches small for the session: texts have no bound on their length."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def remainder(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(column.cast("string").cast("binary")) % 5
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts with A-Z in lower case, and where each text starts (one more at the end)."""
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-    upper = (data >= 65) & (data <= 90)
-    return data + (upper.astype(np.uint8) << 5), offsets - offsets[0]
-
-
 def _before(ranks: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
     """Ranks ``back`` places earlier, START across the start of a text."""
     out = np.empty_like(ranks)
@@ -75,7 +60,7 @@ def _grams(batches):
     """Counts of four-byte strings per language of a batch; byte 0 stands before a text."""
     for batch in batches:
         langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
-        data, starts = _bytes_of(batch.column("text"))
+        data, starts = bytes_of(batch.column("text"))
         key = data.astype(np.int64)
         for back in range(1, ORDER + 1):
             key |= _before(data, starts[:-1], back).astype(np.int64) << (8 * back)
@@ -189,7 +174,7 @@ def build(grams, languages: tuple[str, ...], max_cells: int = MAX_CELLS) -> Lang
 
 def code_lengths(texts: pa.Array, model: LanguageModel) -> np.ndarray:
     """Bits of each text under each language."""
-    data, starts = _bytes_of(texts)
+    data, starts = bytes_of(texts)
     out = np.zeros((len(texts), len(model.languages)))
     if not len(data):
         return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import language, mixing, secrets
+from scoremill.llm import language, mixing, neardup, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op4_secret_scan(spark, d):
 @registered("op6_language_id")
 def op6_language_id(spark, d):
     return language.identify(table(spark, d, "documents"))
+
+
+@registered("op10_near_duplicates")
+def op10_near_duplicates(spark, d):
+    return neardup.near_duplicates(table(spark, d, "documents"))
