@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import language, mixing, neardup, secrets
+from scoremill.llm import fingerprints, language, mixing, neardup, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op6_language_id(spark, d):
 @registered("op10_near_duplicates")
 def op10_near_duplicates(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"))
+
+
+@registered("op7_fingerprints")
+def op7_fingerprints(spark, d):
+    return fingerprints.fingerprint(table(spark, d, "documents"))
