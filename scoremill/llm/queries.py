@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import fingerprints, language, mixing, neardup, secrets
+from scoremill.llm import fingerprints, language, licenses, mixing, neardup, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op10_near_duplicates(spark, d):
 @registered("op7_fingerprints")
 def op7_fingerprints(spark, d):
     return fingerprints.fingerprint(table(spark, d, "documents"))
+
+
+@registered("op2_license_scan", licenses.sql())
+def op2_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
