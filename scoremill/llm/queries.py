@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import fingerprints, language, licenses, mixing, neardup, secrets
+from scoremill.llm import fingerprints, language, licenses, mixing, neardup, pieces, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op7_fingerprints(spark, d):
 @registered("op2_license_scan", licenses.sql())
 def op2_license_scan(spark, d):
     return licenses.scan(table(spark, d, "documents"))
+
+
+@registered("op3_sentence_pieces")
+def op3_sentence_pieces(spark, d):
+    return pieces.encode(table(spark, d, "documents"))
