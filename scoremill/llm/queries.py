@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import fingerprints, language, licenses, mixing, neardup, pieces, secrets
+from scoremill.llm import fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op2_license_scan(spark, d):
 @registered("op3_sentence_pieces")
 def op3_sentence_pieces(spark, d):
     return pieces.encode(table(spark, d, "documents"))
+
+
+@registered("op9_nearest_vectors")
+def op9_nearest_vectors(spark, d):
+    return neighbours.nearest(table(spark, d, "embeddings"))
