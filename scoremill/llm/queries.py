@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets
+from scoremill.llm import fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, warc
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op3_sentence_pieces(spark, d):
 @registered("op9_nearest_vectors")
 def op9_nearest_vectors(spark, d):
     return neighbours.nearest(table(spark, d, "embeddings"))
+
+
+@registered("op1_warc_derivatives")
+def op1_warc_derivatives(spark, d):
+    return warc.derive(warc.responses(table(spark, d, "pages")))
