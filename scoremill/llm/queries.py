@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, warc
+from scoremill.llm import fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op9_nearest_vectors(spark, d):
 @registered("op1_warc_derivatives")
 def op1_warc_derivatives(spark, d):
     return warc.derive(warc.responses(table(spark, d, "pages")))
+
+
+@registered("op8_toxicity_chain")
+def op8_toxicity_chain(spark, d):
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
