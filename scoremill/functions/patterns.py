@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 Filter = str | re.Pattern
 
 
+# Syntax that only Python has, or that means something else in Java.
+FOREIGN = re.compile(r"\(\?(?:P[<=>]|#|\(|[imsLux]*[aLux])|(?<!\\)(?:\\\\)*\\[ZNg]|\{,")
+FLAGS = {re.IGNORECASE: "i", re.MULTILINE: "m", re.DOTALL: "s"}
+
+
 def compile_filter(text: str) -> Filter:
     """A text is a regular expression when escaping it would change it.
 
@@ -58,9 +63,10 @@ def matches_any(col: Column | str, filters: Sequence[Filter]) -> Column:
 
 
 def _java_pattern(pattern: re.Pattern) -> str:
-    flags = "".join(
-        letter
-        for letter, flag in (("i", re.IGNORECASE), ("m", re.MULTILINE), ("s", re.DOTALL))
-        if pattern.flags & flag
-    )
+    """The pattern in Spark's dialect; syntax and flags that it would read otherwise are refused."""
+    if found := FOREIGN.search(pattern.pattern):
+        raise ValueError(f"{found[0]!r} in pattern {pattern.pattern!r} cannot run in Spark")
+    if other := pattern.flags & ~sum(FLAGS) & ~re.UNICODE:
+        raise ValueError(f"flags {re.RegexFlag(other)!r} of pattern {pattern.pattern!r} cannot run in Spark")
+    flags = "".join(letter for flag, letter in FLAGS.items() if pattern.flags & flag)
     return f"(?{flags}){pattern.pattern}" if flags else pattern.pattern

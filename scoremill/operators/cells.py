@@ -53,19 +53,20 @@ def drop_empty(cells: DataFrame) -> DataFrame:
     return cells.join(empty, "task", "left_anti").select(cells.columns)
 
 
-def keep_matching_tasks(cells: DataFrame, patterns: DataFrame, chunks: int = 32) -> DataFrame:
+def keep_matching_tasks(cells: DataFrame, patterns: DataFrame) -> DataFrame:
     """Cells of tasks that match any row of ``patterns(pattern)``. Reads the table twice.
 
-    The patterns meet the distinct task names, never the cells. They are hashed into chunks, and
-    each name is tested once per chunk, so the work spreads evenly and neither side has to be
-    broadcast; a task that several patterns match keeps its cells once.
+    The patterns meet the distinct task names, never the cells. They are dealt to as many chunks as
+    the session has shuffle partitions, and each name visits every chunk, so the tests spread evenly
+    and no task holds all patterns; a task that several patterns match keeps its cells once.
     """
+    chunks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = F.pmod(F.xxhash64("pattern"), F.lit(chunks)).cast("int")
-    groups = patterns.groupBy(chunk.alias("chunk")).agg(F.collect_set("pattern").alias("patterns"))
+    dealt = patterns.distinct().select("pattern", chunk.alias("chunk"))
     every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     tasks = cells.select("task").distinct().select("task", every.alias("chunk"))
-    hit = F.exists("patterns", lambda p: F.rlike(F.col("task"), p))
-    wanted = tasks.join(groups, "chunk").filter(hit).select("task").distinct()
+    hit = (tasks["chunk"] == dealt["chunk"]) & F.rlike(tasks["task"], dealt["pattern"])
+    wanted = tasks.join(dealt, hit, "left_semi").select("task").distinct()
     return cells.join(wanted, "task", "left_semi").select(cells.columns)
 
 

@@ -16,25 +16,24 @@ from scoremill.functions import tags as tag_fn
 from scoremill.operators.newest import newest
 
 DASHBOARD = "dashboard"
-# The first creation date that is searched, and the most experiments one search gives.
-CREATED_FROM = "2024-07-01"
-FIND_LIMIT = 10_000
-
-BROADCAST_IDS = 1_000_000
-
 
 def find_experiments(
     experiments: DataFrame,
     dashboard: str | None = None,
     model_name: str | None = None,
-    limit: int | None = FIND_LIMIT,
-    created_from: str = CREATED_FROM,
+    limit: int | None = None,
+    created_from: str | None = None,
 ) -> DataFrame:
-    """Newest experiments of a dashboard, a model or both; ``limit=None`` gives all, unordered."""
+    """Experiments of a dashboard, a model or both: all of them, unordered.
+
+    With ``limit`` the newest so many, newest first; with ``created_from`` only those of that day or later.
+    """
     if dashboard is None and model_name is None:
         raise ValueError("give a dashboard, a model name or both")
-    first_day = F.lit(created_from).cast(experiments.schema["created"].dataType)
-    found = experiments.filter(F.col("created") >= first_day)
+    found = experiments
+    if created_from is not None:
+        first_day = F.lit(created_from).cast(experiments.schema["created"].dataType)
+        found = found.filter(F.col("created") >= first_day)
     if dashboard is not None:
         found = found.filter(tag_fn.has_tag(F.col("tags"), DASHBOARD, dashboard))
     if model_name is not None:
@@ -44,17 +43,9 @@ def find_experiments(
     return found.orderBy(F.desc("created"), "experiment_id").limit(limit)
 
 
-def metrics_of(records: DataFrame, experiments: DataFrame, limit: int | None = None) -> DataFrame:
-    """Records of the given experiments, each once; no order.
-
-    ``limit`` is the bound of a search that gave the experiments. A bound of up to a million ids
-    (some tens of megabytes) lets them be broadcast, so the records are not shuffled for the join;
-    without one Spark decides by size.
-    """
-    ids = experiments.select("experiment_id")
-    if limit is not None and limit <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return records.join(ids, "experiment_id", "left_semi")
+def metrics_of(records: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Records of the given experiments, each once; no order. Spark picks the join by size."""
+    return records.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
 
 
 def list_experiments(

@@ -39,14 +39,16 @@ def path_table(counts: DataFrame, configs: Sequence[str] | None = None) -> DataF
     """One row per base path and a ``Total`` row last; a column per configuration.
 
     Columns go from the largest total down, rows by the counts in the two largest. ``match`` says
-    that all non-zero counts are equal; a zero prints as null. The counts are staged, and the totals
-    of the configurations (one row each) come to the driver, because they name and order the columns.
+    that all non-zero counts are equal; a zero prints as null. ``configs`` selects configurations; one
+    without paths is a column of nulls, last. The counts are staged, and the totals of the configurations
+    (one row each) come to the driver, because they name and order the columns.
     """
+    if configs is not None:
+        counts = counts.filter(F.col("config").isin(*configs))
     counts = stage(counts)
     totals = counts.groupBy("config").agg(F.sum("n").alias("n"))
-    if configs is not None:
-        totals = totals.filter(F.col("config").isin(*configs))
     largest = [r["config"] for r in totals.orderBy(F.desc("n"), "config").collect()]
+    largest += sorted(set(configs or ()) - set(largest))
     if not largest:
         return counts.groupBy("base_path").count().select("base_path", F.lit(True).alias("match")).limit(0)
     marked = counts.select("base_path", "config", "n").unionByName(

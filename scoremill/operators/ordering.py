@@ -17,26 +17,31 @@ def sort_rows(
 
     ``column``: the score in ``column``, where null, absent and 0.0 sort as minus infinity; an
     unknown column raises, which is checked by a job. ``average``: the mean over all tasks with
-    nulls as 0; reads the table twice. ``name``: the model name. A model's cells come together for
-    the key, one per task.
+    nulls as 0. ``name``: the model name. Keys are partial sums or maxima per model, joined back to
+    the cells, so the table is read twice (three times for the average).
     """
     if by != "column" and column is not None:
         raise ValueError("a column only goes with by='column'")
-    row = Window.partitionBy("model")
     if by == "column":
         if column is None:
             raise ValueError("name the column to sort by")
         if not cell_ops.has_column(cells, column):
             raise ValueError(f"column {column!r} not found")
         wanted = F.when(F.col("task") == column, F.nullif(F.col("score"), F.lit(0.0)))
-        key = F.coalesce(F.max(wanted).over(row), F.lit(float("-inf")))
+        key = F.coalesce(F.max(wanted), F.lit(float("-inf")))
     elif by == "average":
-        key = F.coalesce(F.sum("score").over(row), F.lit(0.0)) / _width(cells)
+        key = F.coalesce(F.sum("score"), F.lit(0.0))
     elif by == "name":
-        key = F.col("model")
+        key = None
     else:
         raise ValueError(f"sort by column, average or name, not {by!r}")
-    keyed = cells.withColumn("sort_key", key)
+    if key is None:
+        keyed = cells.withColumn("sort_key", F.col("model"))
+    else:
+        keys = cells.groupBy(F.col("model").alias("_model")).agg(key.alias("sort_key"))
+        if by == "average":
+            keys = keys.withColumn("sort_key", F.col("sort_key") / _width(cells))
+        keyed = cells.join(keys, F.col("model").eqNullSafe(F.col("_model"))).drop("_model")
     first = F.col("sort_key").asc() if ascending else F.col("sort_key").desc()
     return keyed.orderBy(first, "model", "task")
 
@@ -59,7 +64,8 @@ def column_order(cells: DataFrame, arrival: str) -> DataFrame:
 def row_order(cells: DataFrame, arrival: str) -> DataFrame:
     """``model, column_pos, pos``: models in the order a walk over the columns first meets them."""
     columns = column_order(cells, arrival).withColumnRenamed("pos", "column_pos")
-    seen = cells.join(columns, "task").groupBy("model", "column_pos").agg(F.min(arrival).alias("pos"))
+    first = cells.groupBy("model", "task").agg(F.min(arrival).alias("_first"))
+    seen = first.join(columns, "task").groupBy("model", "column_pos").agg(F.min("_first").alias("pos"))
     return seen.groupBy("model").agg(
         F.min("column_pos").alias("column_pos"), F.min_by("pos", "column_pos").alias("pos")
     )

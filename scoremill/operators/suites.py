@@ -143,15 +143,19 @@ class SuiteBook:
         return local_table(spark, rows, EDGE_TYPE)
 
 
-def book_from_edges(edges: DataFrame, limit: int = 100_000) -> SuiteBook:
-    """Book of a stored edge table ``suite, kind, ord, child, child_is_suite``.
+def book_from_edges(edges: DataFrame, names: Sequence[str]) -> SuiteBook:
+    """Book of the named suites, and those inside them, of an edge table ``suite, kind, ord, child, child_is_suite``.
 
-    A dashboard names its columns, so its definitions come to the driver. More than ``limit`` edges
-    are refused: :func:`suite_weights` and :func:`score_weights` score suites of any number.
+    A dashboard names its columns, so the definitions behind them come to the driver, one nesting level at a
+    time; other suites stay in the table. :func:`suite_weights` and :func:`score_weights` score suites of any
+    number as data.
     """
-    rows = edges.select("suite", "kind", "ord", "child", "child_is_suite").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} edges; score them as a table with score_weights")
+    rows, known, wanted = [], set(), set(names)
+    while wanted:
+        found = edges.filter(F.col("suite").isin(*wanted)).select("suite", "kind", "ord", "child", "child_is_suite").collect()
+        rows += found
+        known |= wanted
+        wanted = {r["child"] for r in found if r["child_is_suite"]} - known
     book = SuiteBook()
     for row in sorted(rows, key=lambda r: (r["suite"], r["ord"])):
         known = book.suites.get(row["suite"], Suite(row["suite"], row["kind"], (), frozenset()))
@@ -321,13 +325,10 @@ def _expand(roots: DataFrame, links: DataFrame) -> DataFrame:
         F.col("child_is_suite").alias("_is_suite"),
         F.col("weight").alias("_weight"),
     )
+    _refuse_cycles(links)
     leaves = roots.filter(~F.col("child_is_suite")).select("suite", F.col("child").alias("task"), "weight")
     pending = roots.filter("child_is_suite").select("suite", "child", "weight")
-    levels = 0
     while not pending.isEmpty():
-        levels += 1
-        if levels > 64:
-            raise ValueError("suites are nested more than 64 deep; is there a cycle?")
         step = pending.join(inner, F.col("child") == F.col("_parent")).groupBy(
             "suite", "_child", "_is_suite"
         ).agg(F.sum(F.col("weight") * F.col("_weight")).alias("weight"))
@@ -339,6 +340,18 @@ def _expand(roots: DataFrame, links: DataFrame) -> DataFrame:
     return leaves
 
 
+def _refuse_cycles(links: DataFrame) -> None:
+    """Raise when a suite reaches itself: suites without open child suites are taken off until none are left."""
+    inner = stage(links.filter("child_is_suite").select("suite", "child").distinct())
+    left = inner.count()
+    while left:
+        opens = inner.select(F.col("suite").alias("_open")).distinct()
+        inner = stage(inner.join(opens, F.col("child") == F.col("_open"), "left_semi"))
+        before, left = left, inner.count()
+        if left == before:
+            raise ValueError(f"suite {inner.first()['suite']} is part of a cycle or holds one")
+
+
 def member_cells(cells: DataFrame, members: DataFrame) -> DataFrame:
     """Inner join of cells with a membership table ``suite, task``; no size is assumed."""
     return cells.join(members, "task").select("suite", "model", "task", "score")

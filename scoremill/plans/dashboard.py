@@ -21,12 +21,12 @@ def dashboard_cells(
     experiments: DataFrame,
     records: DataFrame,
     dashboard: str,
-    limit: int | None = exp.FIND_LIMIT,
-    created_from: str = exp.CREATED_FROM,
+    limit: int | None = None,
+    created_from: str | None = None,
 ) -> DataFrame:
     """Score table of a dashboard: its experiments, their newest records, corrected and derived."""
     found = exp.find_experiments(experiments, dashboard, limit=limit, created_from=created_from)
-    described = exp.describe_records(exp.metrics_of(records, found, limit))
+    described = exp.describe_records(exp.metrics_of(records, found))
     return exp.record_cells(exp.newest_records(described, TIEBREAK), TIEBREAK)
 
 
@@ -105,17 +105,19 @@ def report(
 ) -> DataFrame:
     """Wide results, a row per model, ordered by one column (the first by default), best first.
 
-    Reads ``cells`` twice: once for the header, once for the scores.
+    With ``models`` the header holds what those models have. Reads ``cells`` twice: once for the header, once
+    for the scores.
     """
-    columns = result_columns(cells, tasks, book)
+    mine = cell_ops.keep_rows(cells, compile_filters(models)) if models else cells
+    columns = result_columns(mine, tasks, book)
     if not columns:
         return cells.select("model").limit(0)
     return export.wide_sorted(results(cells, tasks, book, models), columns, by or columns[0], ascending)
 
 
-def evict_changed(tagged: DataFrame, table: str, batch: int) -> None:
+def evict_changed(tagged: DataFrame, table: str) -> None:
     """Evict the experiments whose tags changed from the landing table, so they are fetched again."""
-    landing.evict(tagged.sparkSession, table, tagged.filter("changed"), batch)
+    landing.evict(tagged.sparkSession, table, tagged.filter("changed"))
 
 
 def backfill(

@@ -52,7 +52,6 @@ SELECT CAST(event_id AS VARCHAR) AS experiment_id, 'm' || user_id AS model_name,
        event_type || ':' || ({K} % 4) || ',' || event_type || ':mc,extra:' || ({K} % 3) AS task_name,
        ts AS created, event_id
 FROM events"""
-EARLY = "2024-01-01"  # the events are older than the default search date
 
 
 def registered(name: str, sql: str | None = None):
@@ -671,6 +670,15 @@ def find_experiments(spark, d):
     return found.select("experiment_id", "model_name", "task_name", "created")
 
 
+@registered(
+    "find_all_experiments",
+    f"""SELECT experiment_id, model_name, task_name, created FROM ({EXPERIMENTS}) AS e WHERE event_type = 'click'""",
+)
+def find_all_experiments(spark, d):
+    found = exp.find_experiments(b.event_experiments(spark, d), "click")
+    return found.select("experiment_id", "model_name", "task_name", "created")
+
+
 @registered(
     "metrics_of_experiments",
     f"""WITH e AS (SELECT event_id FROM ({EXPERIMENTS}) AS x WHERE event_type = 'click' AND model_name = 'm3')
@@ -678,7 +686,7 @@ def find_experiments(spark, d):
 )
 def metrics_of_experiments(spark, d):
     found = exp.find_experiments(
-        b.event_experiments(spark, d), "click", "m3", limit=None, created_from=EARLY
+        b.event_experiments(spark, d), "click", "m3"
     )
     recs = b.event_records(spark, d).withColumn("experiment_id", F.col("event_id").cast("string"))
     return exp.metrics_of(recs, found).drop("experiment_id")
@@ -769,9 +777,7 @@ SELECT model, task, score FROM (SELECT *, row_number() OVER (PARTITION BY model,
 @registered("dashboard_cells", DASHBOARD_CELLS)
 def dashboard_cells(spark, d):
     recs = records.accept(records.parse_records(b.event_lines(spark, d)))
-    return dashboard.dashboard_cells(
-        b.event_experiments(spark, d), recs, "click", limit=None, created_from=EARLY
-    )
+    return dashboard.dashboard_cells(b.event_experiments(spark, d), recs, "click")
 
 
 @registered(

@@ -38,9 +38,9 @@ def write_csv(table: DataFrame, path: str) -> None:
     percent_table(table).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def show(table: DataFrame, n: int = 50) -> None:
-    """Print the first rows as percentages."""
-    percent_table(table, " ").show(n, truncate=False)
+def show(table: DataFrame, n: int | None = None) -> None:
+    """Print the table as percentages, all rows or the first ``n``. Without ``n`` the rows are counted first."""
+    percent_table(table, " ").show(table.count() if n is None else n, truncate=False)
 
 
 def json_lines(cells: DataFrame) -> DataFrame:

@@ -26,14 +26,15 @@ def read_records(spark: SparkSession, path: str, skip_on_fail: bool = True) -> D
     """Metric records of landed files (also gzip).
 
     ``skip_on_fail`` passes over files that cannot be read and marks lines that are no records
-    (see :func:`accept` and :func:`count_dropped`); otherwise the first of either fails the query.
+    (see :func:`accept` and :func:`count_dropped`); otherwise the first of either fails the query, and so
+    does a line without a task name.
     """
     reader = spark.read.schema(RECORD_TYPE)
     for key, value in _modes(skip_on_fail).items():
         reader = reader.option(key, value)
     for key in ("ignoreCorruptFiles", "ignoreMissingFiles"):
         reader = reader.option(key, str(skip_on_fail).lower())
-    return _marked(reader.json(path))
+    return _marked(reader.json(path), skip_on_fail)
 
 
 def parse_records(lines: DataFrame, skip_on_fail: bool = True) -> DataFrame:
@@ -43,7 +44,7 @@ def parse_records(lines: DataFrame, skip_on_fail: bool = True) -> DataFrame:
     each line is parsed once.
     """
     parsed = F.inline(F.array(F.from_json("text", RECORD_TYPE, _modes(skip_on_fail))))
-    return _marked(lines.select(*(c for c in lines.columns if c != "text"), parsed))
+    return _marked(lines.select(*(c for c in lines.columns if c != "text"), parsed), skip_on_fail)
 
 
 def accept(records: DataFrame) -> DataFrame:
@@ -81,7 +82,10 @@ def _modes(skip_on_fail: bool) -> dict[str, str]:
     }
 
 
-def _marked(parsed: DataFrame) -> DataFrame:
+def _marked(parsed: DataFrame, skip_on_fail: bool) -> DataFrame:
     # a record without a task is no record, however well its line parses
     bad = F.col(CORRUPT).isNotNull() | F.col("task_name").isNull()
+    if not skip_on_fail:  # a filter, so that no choice of columns takes the test away
+        problem = F.raise_error(F.lit("a metric record names no task")).cast("boolean")
+        parsed = parsed.filter(F.when(bad, problem).otherwise(True))
     return parsed.withColumn("malformed", bad).drop(CORRUPT)

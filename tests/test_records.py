@@ -86,6 +86,12 @@ def test_skip_or_fail(spark, tmp_path):
     lines = local_table(spark, [("{broken",)], "text string")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         records.parse_records(lines, skip_on_fail=False).collect()
+    (tmp_path / "n.json").write_text('{"experiment_id": "e"}\n')
+    nameless = records.read_records(spark, str(tmp_path / "n.json"), skip_on_fail=False)
+    with pytest.raises(PySparkException, match="names no task"):
+        records.accept(nameless).select("experiment_id").collect()
+    lenient = records.read_records(spark, str(tmp_path / "n.json"))
+    assert tuple(records.count_dropped(lenient).first()) == (0, 1)
 
 
 EXPERIMENTS = [
@@ -108,7 +114,9 @@ def ids(df):
 
 
 def test_find(found_experiments):
-    assert ids(exp.find_experiments(found_experiments, "main")) == ["e2", "e1"]  # e4 is too old
+    assert sorted(ids(exp.find_experiments(found_experiments, "main"))) == ["e1", "e2", "e4"]
+    since = exp.find_experiments(found_experiments, "main", limit=10, created_from="2024-07-01")
+    assert ids(since) == ["e2", "e1"]  # e4 is too old
     assert ids(exp.find_experiments(found_experiments, "other", "m")) == ["e2"]
     assert ids(exp.find_experiments(found_experiments, model_name="m", limit=1)) == ["e2"]
     with pytest.raises(ValueError):

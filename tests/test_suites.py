@@ -206,9 +206,18 @@ def test_edge_tables_score_like_the_book(spark, cells, book):
 
 def test_book_from_edges(spark, book):
     edges = book.edges(spark)
-    assert suites.book_from_edges(edges).suites == book.suites
-    with pytest.raises(ValueError, match="score_weights"):
-        suites.book_from_edges(edges, limit=3)
+    assert suites.book_from_edges(edges, book.names()).suites == book.suites
+    nested = suites.book_from_edges(edges, ["all"]).suites
+    assert nested["all"] == book.suites["all"] and set(nested) < set(book.suites)
+
+
+def test_cycles_are_refused_and_depth_is_free(spark, cells):
+    links = [(f"s{i}", "AOA", 0, f"s{i + 1}", True) for i in range(70)] + [("s70", "AVG", 0, "m1", False)]
+    deep = local_table(spark, links, "suite string, kind string, ord int, child string, child_is_suite boolean")
+    assert suites.leaf_closure(deep.filter("suite >= 's66'")).count() == 5
+    loop = deep.unionByName(local_table(spark, [("s70", "AOA", 1, "s68", True)], "suite string, kind string, ord int, child string, child_is_suite boolean"))
+    with pytest.raises(ValueError, match="cycle"):
+        suites.leaf_closure(loop.filter("suite >= 's66'"))
 
 
 def test_edge_tables_with_views_and_lists(spark, cells):
@@ -232,6 +241,11 @@ def test_report(cells, book):
     assert dashboard.report(cells, ["nothing"], book).count() == 0
 
 
+def test_report_of_some_models_has_their_columns_only(spark, book):
+    cells = local_table(spark, [("a", "x", 0.5), ("b", "y", 0.7)], "model string, task string, score double")
+    assert dashboard.report(cells, ["x", "y"], book, models=["a"]).columns == ["model", "x"]
+
+
 def test_scoring_reads_the_cells_once(spark, tmp_path, cells, book):
     path = str(tmp_path / "cells")
     cells.write.parquet(path)
