@@ -816,40 +816,47 @@ def skip_on_fail(spark, d):
     return records.count_dropped(records.read_records(spark, path))
 
 
-LANDED = f"SELECT r.*, r.event_id AS experiment_id FROM ({EVENT_RECORDS}) AS r"
+LANDED = f"SELECT r.*, CAST(floor(r.event_id / 20) AS BIGINT) AS experiment_id, r.event_id AS task_idx FROM ({EVENT_RECORDS}) AS r"
+# experiments with a click or an error; evicting one takes all its records
+CLICKED = f"(SELECT experiment_id FROM ({LANDED}) AS r WHERE task LIKE 'click%')"
+FAILED = f"(SELECT experiment_id FROM ({LANDED}) AS r WHERE task_idx % 97 = 0)"
 
 
 def _landing_source(spark, d):
-    return b.event_records(spark, d).withColumn("experiment_id", F.col("event_id"))
+    """A record per event; twenty events are one experiment, whose records arrive in several batches."""
+    return b.event_records(spark, d).withColumns(
+        {"experiment_id": F.floor(F.col("event_id") / 20), "task_idx": F.col("event_id"), "task_hash": F.lit(None).cast("string")}
+    )
 
 
 @registered(
     "landing",
-    f"""SELECT experiment_id, score, CASE WHEN task LIKE 'click%' OR task LIKE 'view%' THEN 0 ELSE 1 END AS batch
+    f"""SELECT experiment_id, task_idx, score, CASE WHEN task LIKE 'click%' OR task LIKE 'view%' THEN 0 ELSE 1 END AS batch
     FROM ({LANDED}) AS r""",
 )
 def landing_batches(spark, d):
     table, source = shared_dir(spark), _landing_source(spark, d)
     landing.land(spark, table, source.filter(F.col("task").rlike("^(click|view)")), 0)
     landing.land(spark, table, source, 1)
-    return landing.landed(spark, table).select("experiment_id", "score", "batch")
+    return landing.landed(spark, table).select("experiment_id", "task_idx", "score", "batch")
 
 
 @registered(
     "landing_force_and_evict",
-    f"""SELECT experiment_id, score + CASE WHEN task LIKE 'click%' THEN 1 ELSE 0 END AS score,
-      CASE WHEN task LIKE 'click%' THEN 1 ELSE 0 END AS batch FROM ({LANDED}) AS r WHERE task NOT LIKE 'error%'""",
+    f"""SELECT experiment_id, task_idx, score + CASE WHEN task LIKE 'click%' THEN 1 ELSE 0 END AS score,
+      CASE WHEN task LIKE 'click%' THEN 1 ELSE 0 END AS batch FROM ({LANDED}) AS r
+    WHERE experiment_id NOT IN {FAILED} AND (task LIKE 'click%' OR experiment_id NOT IN {CLICKED})""",
 )
 def landing_force_and_evict(spark, d):
     table, source = shared_dir(spark), _landing_source(spark, d)
     landing.land(spark, table, source, 0)
     again = source.filter(F.col("task").startswith("click")).withColumn("score", F.col("score") + 1)
     landing.land(spark, table, again, 1, force=True)
-    landing.evict(spark, table, source.filter(F.col("task").startswith("error")), 1)
-    return landing.landed(spark, table).select("experiment_id", "score", "batch")
+    landing.evict(spark, table, source.filter(F.col("task_idx") % 97 == 0))
+    return landing.landed(spark, table).select("experiment_id", "task_idx", "score", "batch")
 
 
-@registered("landing_stream", f"SELECT experiment_id, score FROM ({LANDED}) AS r")
+@registered("landing_stream", f"SELECT experiment_id, task_idx, score FROM ({LANDED}) AS r")
 def landing_stream(spark, d):
     base, source = shared_dir(spark), _landing_source(spark, d)
     inbox, table = f"{base}/inbox", f"{base}/table"
@@ -858,7 +865,7 @@ def landing_stream(spark, d):
         part.write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(source.schema).parquet(inbox)
         incremental.land_stream(stream, table, f"{base}/checkpoint").awaitTermination()
-    return landing.landed(spark, table).select("experiment_id", "score")
+    return landing.landed(spark, table).select("experiment_id", "task_idx", "score")
 
 
 @registered("newest_stream", EVENT_CELLS)
@@ -876,6 +883,22 @@ def newest_stream(spark, d):
     return incremental.read_newest(spark, table, ["model", "task"]).select("model", "task", "score")
 
 
+@registered("compacted_updates", EVENT_CELLS)
+def compacted_updates(spark, d):
+    base, source = shared_dir(spark), b.event_records(spark, d)
+    inbox, table = f"{base}/inbox", f"{base}/updates"
+    early = F.col("event_id") % 3 != 0
+    for number, part in enumerate((source.filter(early), source.filter(~early))):  # each with a checkpoint of its own
+        part.write.parquet(f"{inbox}/{number}")
+        stream = spark.readStream.schema(source.schema).parquet(f"{inbox}/{number}")
+        updates = incremental.newest_stream(
+            stream, ["model", "task"], ["score"], [F.col("ts"), F.col("event_id")]
+        )
+        incremental.write_updates(updates, table, f"{base}/checkpoint{number}").awaitTermination()
+        incremental.compact(spark, table, ["model", "task"])
+    return spark.read.parquet(table).select("model", "task", "score")
+
+
 # ---- names, paths, tags --------------------------------------------------------------------------
 
 

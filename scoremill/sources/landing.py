@@ -1,17 +1,22 @@
-"""Landing table: records of experiments that were fetched once and are not fetched again.
+"""Landing table: metric records that were fetched once and are not fetched again.
 
-``<table>/records`` is append-only Parquet in one folder per batch; ``<table>/evicted`` lists
-``(experiment_id, batch)``: records of that experiment in that or an earlier batch no longer count.
-A batch folder is replaced as a whole when its write is repeated, so a lost job leaves no duplicates.
+``<table>/records`` is append-only Parquet in one folder per writer and batch; ``<table>/evicted`` lists
+``(experiment_id, writer, batch)``: records of that experiment in that folder no longer count. A batch folder
+is replaced as a whole when its writer repeats it, so a lost job leaves no duplicates, and never by another
+writer. A record is known by its identity columns, not by its experiment, so an experiment may arrive in parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 ID = "experiment_id"
+IDENTITY = (ID, "task_idx", "task_hash")
+FOLDER = ("writer", "batch")
 
 
 def landed(spark: SparkSession, table: str) -> DataFrame | None:
@@ -22,9 +27,7 @@ def landed(spark: SparkSession, table: str) -> DataFrame | None:
     evicted = _read(spark, f"{table}/evicted")
     if evicted is None:
         return records
-    last = evicted.groupBy(ID).agg(F.max("batch").alias("_evicted"))
-    stale = (records[ID] == last[ID]) & (records["batch"] <= last["_evicted"])
-    return records.join(last, stale, "left_anti")
+    return records.join(evicted.select(ID, *FOLDER).distinct(), [ID, *FOLDER], "left_anti")
 
 
 def land(
@@ -34,43 +37,62 @@ def land(
     batch: int,
     force: bool = False,
     keep: bool = True,
+    identity: Sequence[str] = IDENTITY,
+    writer: str = "batch",
 ) -> DataFrame:
-    """Land the incoming records of experiments that are not landed yet, and return them.
+    """Land the incoming records that are not landed yet, and return them.
 
-    An experiment lands as a whole, in the batch that first brings it. ``force`` evicts the
-    experiments of this batch first, so they land again. ``keep=False`` returns the incoming records
-    without writing anything.
+    Two records are the same if their ``identity`` columns are; nulls are equal. Of the same records in one
+    batch all land. ``force`` first evicts what the batch's experiments have landed before, so they land again.
+    ``keep=False`` returns the incoming records without writing anything. ``writer`` names who numbers the
+    batches: a batch number that comes again replaces the folder of that writer only.
     """
+    new = incoming.drop(*FOLDER)
     if not keep:
-        return incoming.withColumn("batch", F.lit(batch))
+        return new.withColumn("batch", F.lit(batch))
     before = landed(spark, table)
-    new = incoming.drop("batch")
-    if force and before is not None:
-        evict(spark, table, incoming, batch - 1)
-    elif before is not None:
-        # only the ids of this batch are looked for, so a small batch never shuffles the whole table
-        earlier = before.filter(F.col("batch") < batch).select(ID)
-        seen = earlier.join(incoming.select(ID).distinct(), ID, "left_semi").distinct()
-        new = new.join(seen, ID, "left_anti")
-    path = f"{table}/records/batch={batch}"
+    if before is not None:
+        before = before.filter((F.col("writer") != writer) | (F.col("batch") != batch))
+        if force:
+            _evict(before, incoming, table)
+        else:
+            # only the identities of this batch are looked for, so a small batch never shuffles the whole table
+            wanted = incoming.select(*identity).distinct()
+            seen = before.select(*identity).join(wanted, _same(before, wanted, identity), "left_semi").distinct()
+            new = new.join(seen, _same(new, seen, identity), "left_anti")
+    path = f"{table}/records/writer={writer}/batch={batch}"
     new.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).withColumn("batch", F.lit(batch))
+    return spark.read.parquet(path).withColumns({"writer": F.lit(writer), "batch": F.lit(batch)})
 
 
-def evict(spark: SparkSession, table: str, experiments: DataFrame, batch: int) -> None:
-    """Make the records that these experiments have up to ``batch`` no longer count.
+def evict(spark: SparkSession, table: str, experiments: DataFrame) -> None:
+    """Make the records that these experiments have landed so far no longer count.
 
     Entries are only ever added; listing an experiment twice changes nothing.
     """
-    ids = experiments.select(ID).distinct()
-    ids.write.mode("append").parquet(f"{table}/evicted/batch={batch}")
+    before = landed(spark, table)
+    if before is not None:
+        _evict(before, experiments, table)
 
 
-def invalidate(spark: SparkSession, table: str, batch: int) -> None:
-    """Evict everything that has landed up to ``batch``."""
+def invalidate(spark: SparkSession, table: str) -> None:
+    """Evict everything that has landed so far."""
     before = landed(spark, table)
     if before is not None:
-        evict(spark, table, before.filter(F.col("batch") <= batch), batch)
+        _evict(before, before, table)
+
+
+def _evict(before: DataFrame, experiments: DataFrame, table: str) -> None:
+    folders = before.select(ID, *FOLDER).distinct()
+    gone = folders.join(experiments.select(ID).distinct(), ID, "left_semi")
+    gone.write.mode("append").parquet(f"{table}/evicted")
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]):
+    test = F.lit(True)
+    for name in columns:
+        test = test & left[name].eqNullSafe(right[name])
+    return test
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:

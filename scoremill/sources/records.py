@@ -85,7 +85,9 @@ def _modes(skip_on_fail: bool) -> dict[str, str]:
 def _marked(parsed: DataFrame, skip_on_fail: bool) -> DataFrame:
     # a record without a task is no record, however well its line parses
     bad = F.col(CORRUPT).isNotNull() | F.col("task_name").isNull()
-    if not skip_on_fail:  # a filter, so that no choice of columns takes the test away
+    if not skip_on_fail:
+        # tested in a filter too, so that no choice of columns takes the test away
         problem = F.raise_error(F.lit("a metric record names no task")).cast("boolean")
-        parsed = parsed.filter(F.when(bad, problem).otherwise(True))
+        bad = F.when(bad, problem).otherwise(False)
+        parsed = parsed.filter(~bad)
     return parsed.withColumn("malformed", bad).drop(CORRUPT)

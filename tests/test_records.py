@@ -198,63 +198,85 @@ def test_newest_reduces_before_the_shuffle(spark):
 
 
 def batch(spark, rows):
-    return local_table(spark, rows, "experiment_id string, score double")
+    """Records (experiment, task, score)."""
+    full = [(e, i, None, score) for e, i, score in rows]
+    return local_table(spark, full, "experiment_id string, task_idx int, task_hash string, score double")
 
 
 def state(spark, table):
-    return sorted((r["experiment_id"], r["score"]) for r in landing.landed(spark, table).collect())
+    return sorted((r["experiment_id"], r["task_idx"], r["score"]) for r in landing.landed(spark, table).collect())
 
 
 def test_landing(spark):
     table = shared_dir(spark)
     assert landing.landed(spark, table) is None
-    landing.land(spark, table, batch(spark, [("a", 1.0), ("a", 2.0), ("b", 1.0)]), 0)
-    new = landing.land(spark, table, batch(spark, [("a", 9.0), ("c", 3.0)]), 1)
+    landing.land(spark, table, batch(spark, [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 1.0)]), 0)
+    new = landing.land(spark, table, batch(spark, [("a", 0, 9.0), ("c", 0, 3.0)]), 1)
     assert ids(new) == ["c"]
-    assert state(spark, table) == [("a", 1.0), ("a", 2.0), ("b", 1.0), ("c", 3.0)]
-    landing.land(spark, table, batch(spark, [("a", 9.0), ("c", 3.0)]), 1)  # a repeated job
-    assert state(spark, table) == [("a", 1.0), ("a", 2.0), ("b", 1.0), ("c", 3.0)]
-    landing.land(spark, table, batch(spark, [("a", 9.0)]), 2, force=True)
-    assert state(spark, table) == [("a", 9.0), ("b", 1.0), ("c", 3.0)]
-    landing.evict(spark, table, batch(spark, [("b", 0.0)]), 2)
-    assert state(spark, table) == [("a", 9.0), ("c", 3.0)]
-    landing.land(spark, table, batch(spark, [("b", 5.0)]), 3)
-    assert state(spark, table) == [("a", 9.0), ("b", 5.0), ("c", 3.0)]
+    both = [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 1.0), ("c", 0, 3.0)]
+    assert state(spark, table) == both
+    landing.land(spark, table, batch(spark, [("a", 0, 9.0), ("c", 0, 3.0)]), 1)  # a repeated job
+    assert state(spark, table) == both
+    for _ in range(2):  # the second time is a repeated job
+        landing.land(spark, table, batch(spark, [("a", 0, 9.0)]), 2, force=True)
+        assert state(spark, table) == [("a", 0, 9.0), ("b", 0, 1.0), ("c", 0, 3.0)]
+    landing.evict(spark, table, batch(spark, [("b", 0, 0.0)]))
+    assert state(spark, table) == [("a", 0, 9.0), ("c", 0, 3.0)]
+    landing.land(spark, table, batch(spark, [("b", 0, 5.0)]), 3)
+    assert state(spark, table) == [("a", 0, 9.0), ("b", 0, 5.0), ("c", 0, 3.0)]
+
+
+def test_an_experiment_may_arrive_in_parts(spark):
+    table = shared_dir(spark)
+    landing.land(spark, table, batch(spark, [("a", 0, 1.0)]), 0)
+    landing.land(spark, table, batch(spark, [("a", 0, 1.0), ("a", 1, 2.0)]), 1)
+    assert state(spark, table) == [("a", 0, 1.0), ("a", 1, 2.0)]
+
+
+def test_writers_keep_to_their_folders(spark):
+    table = shared_dir(spark)
+    landing.land(spark, table, batch(spark, [("a", 0, 1.0)]), 0, writer="one")
+    landing.land(spark, table, batch(spark, [("b", 0, 1.0)]), 0, writer="two")
+    assert state(spark, table) == [("a", 0, 1.0), ("b", 0, 1.0)]
 
 
 def test_invalidating(spark):
     table = shared_dir(spark)
-    landing.invalidate(spark, table, 0)
-    landing.land(spark, table, batch(spark, [("a", 1.0), ("b", 1.0)]), 0)
-    landing.invalidate(spark, table, 0)
+    landing.invalidate(spark, table)
+    landing.land(spark, table, batch(spark, [("a", 0, 1.0), ("b", 0, 1.0)]), 0)
+    landing.invalidate(spark, table)
     assert state(spark, table) == []
-    landing.land(spark, table, batch(spark, [("a", 2.0)]), 1)
-    assert state(spark, table) == [("a", 2.0)]
+    landing.land(spark, table, batch(spark, [("a", 0, 2.0)]), 1)
+    assert state(spark, table) == [("a", 0, 2.0)]
 
 
 def test_changed_experiments_are_evicted(spark, found_experiments):
     table = shared_dir(spark)
-    landing.land(spark, table, batch(spark, [("e1", 1.0), ("e2", 1.0), ("e3", 1.0)]), 0)
-    dashboard.evict_changed(exp.remove_from_dashboard(found_experiments, "m", "other"), table, 0)
-    assert state(spark, table) == [("e1", 1.0), ("e3", 1.0)]
+    landing.land(spark, table, batch(spark, [("e1", 0, 1.0), ("e2", 0, 1.0), ("e3", 0, 1.0)]), 0)
+    dashboard.evict_changed(exp.remove_from_dashboard(found_experiments, "m", "other"), table)
+    assert state(spark, table) == [("e1", 0, 1.0), ("e3", 0, 1.0)]
 
 
 def test_landing_without_keeping(spark):
     table = shared_dir(spark)
-    passed = landing.land(spark, table, batch(spark, [("a", 1.0)]), 0, keep=False)
+    passed = landing.land(spark, table, batch(spark, [("a", 0, 1.0)]), 0, keep=False)
     assert ids(passed) == ["a"] and landing.landed(spark, table) is None
 
 
-def test_stream_lands_like_batches(spark):
-    batches = [[("a", 1.0), ("b", 1.0)], [("b", 2.0), ("c", 2.0)], [("a", 3.0), ("d", 3.0)]]
-    base, by_batch = shared_dir(spark), shared_dir(spark)
-    for number, rows in enumerate(batches):
+def test_stream_lands_like_one_batch(spark):
+    batches = [[("a", 0, 1.0), ("b", 0, 1.0)], [("b", 1, 2.0), ("c", 0, 2.0)], [("a", 1, 3.0), ("a", 0, 1.0)]]
+    base, whole = shared_dir(spark), shared_dir(spark)
+    for rows in batches:
         frame = batch(spark, rows)
         frame.write.mode("append").parquet(f"{base}/inbox")
         stream = spark.readStream.schema(frame.schema).parquet(f"{base}/inbox")
         incremental.land_stream(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-        landing.land(spark, by_batch, frame, number)
-    assert state(spark, f"{base}/table") == state(spark, by_batch) == [("a", 1.0), ("b", 1.0), ("c", 2.0), ("d", 3.0)]
+    landing.land(spark, whole, batch(spark, list(dict.fromkeys(r for rows in batches for r in rows))), 0)
+    assert state(spark, f"{base}/table") == state(spark, whole)
+    # a new checkpoint reads everything anew, from batch 0, and neither loses nor repeats a record
+    stream = spark.readStream.schema(frame.schema).parquet(f"{base}/inbox")
+    incremental.land_stream(stream, f"{base}/table", f"{base}/other").awaitTermination()
+    assert state(spark, f"{base}/table") == state(spark, whole)
 
 
 def test_stream_keeps_the_newest(spark):
@@ -269,12 +291,15 @@ def test_stream_keeps_the_newest(spark):
         updates = incremental.newest_stream(stream, ["k"], ["score"], [F.col("t"), F.col("i")])
         incremental.write_updates(updates, f"{base}/updates", f"{base}/checkpoint").awaitTermination()
     found = {r["k"]: r["score"] for r in incremental.read_newest(spark, f"{base}/updates", ["k"]).collect()}
-    expected = newest(whole, ["k"], [F.desc("t"), F.desc("i")])
-    assert found == {r["k"]: r["score"] for r in expected.collect()}
+    expected = {r["k"]: r["score"] for r in newest(whole, ["k"], [F.desc("t"), F.desc("i")]).collect()}
+    assert found == expected
+    incremental.compact(spark, f"{base}/updates", ["k"])
+    assert spark.read.parquet(f"{base}/updates").count() == len(expected)
+    assert {r["k"]: r["score"] for r in incremental.read_newest(spark, f"{base}/updates", ["k"]).collect()} == expected
 
 
 def test_staged_table(spark):
-    frame = batch(spark, [("a", 1.0)])
+    frame = batch(spark, [("a", 0, 1.0)])
     staged = stage(frame)
     assert staged.schema == frame.schema and ids(staged) == ["a"]
     assert staged.inputFiles()[0].startswith("file:") and spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]
