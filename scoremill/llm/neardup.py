@@ -3,15 +3,16 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles; its sketch the ``SKETCH`` smallest.
 Documents with equal sets form a class, and only classes are compared.
 
-1. Inverted lists hold the classes by each of their ``LISTED`` smallest values (upper halves). Of two sets with a similarity of
-   0.75, each of the smallest values of the union is shared with probability 0.75: they meet in no list with
-   probability 0.25 ** 12, and in one at most with 2e-6. Full sets are made of classes with two shared lists.
-2. In each list all classes are proposed to one hub, the class whose values are the most common; pairs proposed by
-   three lists or more are verified. A group of thousands of copies becomes one component without its pairs.
-3. What is left are pairs of different components within a list. Short lists emit their pairs, and pairs of two
-   lists or more are kept. Long lists are cut into blocks of classes; a task compares two blocks
-   by the union sketches in numpy and emits only pairs that may be links. Blocks within a list's largest component
-   are not compared among themselves.
+1. Inverted lists hold the classes by each of their ``LISTED`` smallest values (upper halves), the head. Of two sets
+   with a similarity of 0.75, each of the smallest values of the union is shared with probability 0.75: of 16 they
+   share fewer than ``SHARED`` with 4e-6. Pairs with fewer are dropped, and full sets are made only of classes with
+   that many shared lists.
+2. In each list all classes are proposed to one hub, the class whose values are the most common, and verified. A
+   group of thousands of copies becomes one component without its pairs.
+3. What is left are pairs of different components within a list. Short lists emit their pairs. Long lists, of the
+   first ``LONG_PLACES`` values (none is shared with 1e-6), are cut into blocks of classes; a task compares two
+   blocks by the union sketches in numpy and emits only pairs that may be links. Blocks within a list's largest
+   component are not compared among themselves.
 4. Every pair is verified on the full sets, and links become components.
 
 No list, class or component is gathered in one task; lists of any length are worked off.
@@ -33,10 +34,11 @@ from scoremill.session import stage
 SHINGLE = 5
 PERCENT = 75
 SKETCH = 256
-LISTED = 12
-HUB_LISTS = 3  # lists that must propose a pair of class and hub
+LISTED = 16
+SHARED = 4  # values of the heads that a linked pair shares
+LONG_PLACES = 10
 SHORT_LIST = 64  # classes in a list whose pairs are emitted
-BLOCK = 256  # classes of a long list compared with as many others in one task
+BLOCK = 512  # classes of a long list compared with as many others in one task
 SIGMAS = 4.5  # standard errors by which an estimate may fall short
 CHUNK = 4 << 20  # bytes of text hashed at a time
 
@@ -178,6 +180,16 @@ def _similar_size(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _least_shared(n: Column) -> Column:
+    """Values that the heads of a link must share, at least, if the larger set has ``n``."""
+    return F.least(F.lit(SHARED), F.ceil(n * PERCENT / 100))
+
+
+def _may_link(head_a: str, head_b: str, n_a: str, n_b: str) -> Column:
+    shared = F.size(F.array_intersect(head_a, head_b))
+    return _similar_size(n_a, n_b) & (shared >= _least_shared(F.greatest(n_a, n_b)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are links, by their full sets."""
     left = sets.toDF("class_a", "n_a", "set_a")
@@ -198,13 +210,15 @@ def _weigh(mine: list[np.ndarray], other: list[np.ndarray], own_size, other_size
     Up to the smaller of two sketches' largest values both sketches are complete, so the values there are the
     sketch of the union; the share of common ones estimates the similarity, exactly if both sets fit.
     """
-    values, places = np.unique(np.concatenate([*mine, *other]), return_inverse=True)
-    grid = np.zeros((len(mine) + len(other), len(values)), np.float32)
+    values, places, counts = np.unique(np.concatenate([*mine, *other]), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1  # values of one sketch only are common to none
+    grid = np.zeros((len(mine) + len(other), int(column[-1]) + 1 if len(column) else 0), np.float32)
     rows = np.repeat(np.arange(len(grid)), [len(s) for s in (*mine, *other)])
-    grid[rows, places] = 1
+    twice = counts[places] > 1
+    grid[rows[twice], column[places[twice]]] = 1
     common = (grid[: len(mine)] @ grid[len(mine) :].T).astype(np.int64)
-    whole = np.uint64(_M)
-    top = lambda s, n: np.where(n > SKETCH, np.array([x[-1] for x in s], np.uint64), whole)
+    whole = np.int64(1) << 40
+    top = lambda s, n: np.where(n > SKETCH, [int(x[-1]) for x in s], whole)
     limit = np.minimum(top(mine, own_size)[:, None], top(other, other_size)[None, :])
     mine_in = np.array([np.searchsorted(s, limit[i], "right") for i, s in enumerate(mine)])
     other_in = np.array([np.searchsorted(s, limit[:, j], "right") for j, s in enumerate(other)]).T
@@ -221,7 +235,7 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
     labels = np.array(table.column("label").to_pylist(), dtype=object)
     sizes = table.column("n_shingles").to_numpy()
     sides = table.column("side").to_numpy()
-    sets = [np.asarray(s, np.int64).view(np.uint64) for s in table.column("sketch").to_pylist()]
+    sets = [np.asarray(s, np.int32).view(np.uint32) for s in table.column("sketch").to_pylist()]
     left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
     out_a, out_b = [], []
     if len(left) and len(right):
@@ -235,23 +249,25 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
 
 
 def _hub_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between classes and the hubs of their lists. ``entries``: value, class, n_shingles, weight."""
-    hubs = entries.groupBy(F.col("value").alias("hub_value")).agg(
-        F.max(F.struct("weight", F.col("class").alias("hub"), F.col("n_shingles").alias("hub_size"))).alias("h")
-    )
+    """Links between classes and the hubs of their lists. ``entries``: value, class, n_shingles, head, weight."""
+    hub = F.struct("weight", F.col("class").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("head").alias("hub_head"))
+    hubs = entries.groupBy(F.col("value").alias("hub_value")).agg(F.max(hub).alias("h")).select("hub_value", "h.*")
     pairs = (
-        entries.join(hubs, F.col("value") == F.col("hub_value"))
-        .select(F.col("h.hub").alias("a"), F.col("class").alias("b"), F.col("h.hub_size").alias("n_a"), "n_shingles")
-        .where((F.col("a") != F.col("b")) & _similar_size("n_a", "n_shingles"))
-        .groupBy("a", "b")
-        .count()
-        .where(F.col("count") >= HUB_LISTS)
+        entries.drop("weight")
+        .join(hubs, F.col("value") == F.col("hub_value"))
+        .where((F.col("class") != F.col("hub")) & _may_link("hub_head", "head", "hub_size", "n_shingles"))
+        .select(F.col("hub").alias("a"), F.col("class").alias("b"))
+        .distinct()
     )
-    return _verified(pairs.select("a", "b"), sets)
+    return _verified(pairs, sets)
+
+
+def _upper_halves(shingles: Column) -> Column:
+    return F.transform(shingles, lambda s: F.shiftright(s, 32).cast("int"))
 
 
 def _rest_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that may be links. ``entries``: value, class, n_shingles, label."""
+    """Pairs of different components that may be links. ``entries``: value, place, class, n_shingles, head, label."""
     by_label = entries.groupBy("value", "label").agg(F.count("*").alias("n"))
     lists = (
         by_label.groupBy("value")
@@ -261,14 +277,12 @@ def _rest_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
     )
     open_entries = stage(entries.join(lists, F.col("value") == F.col("list")).drop("list"))
 
-    short = open_entries.where(F.col("members") <= SHORT_LIST).select("value", "class", "n_shingles", "label")
+    short = open_entries.where(F.col("members") <= SHORT_LIST).select("value", "class", "n_shingles", "head", "label")
     pairs = (
-        short.toDF("value", "a", "n_a", "label_a")
-        .join(short.toDF("value", "b", "n_b", "label_b"), "value")
-        .where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _similar_size("n_a", "n_b"))
-        .groupBy("a", "b")
-        .count()
-        .where("count > 1")
+        short.toDF("value", "a", "n_a", "head_a", "label_a")
+        .join(short.toDF("value", "b", "n_b", "head_b", "label_b"), "value")
+        .where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+        .where(_may_link("head_a", "head_b", "n_a", "n_b"))
         .select("a", "b")
     )
 
@@ -302,14 +316,14 @@ def _rest_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
         )
     )
     long_lists = (
-        open_entries.where(F.col("members") > SHORT_LIST)
+        open_entries.where((F.col("members") > SHORT_LIST) & (F.col("place") < LONG_PLACES))
         .withColumn("n_out", blocks(F.col("members") - F.col("n_core")))
         .withColumn("n_in", blocks(F.col("n_core")))
         .withColumn("block", mine)
         .withColumn("task", F.explode(tasks))
         .select("value", "class", "n_shingles", "label", "task.first", "task.second", "task.side")
     )
-    sketches = sets.select(F.col("class").alias("of_class"), F.slice("shingles", 1, SKETCH).alias("sketch"))
+    sketches = sets.select(F.col("class").alias("of_class"), _upper_halves(F.slice("shingles", 1, SKETCH)).alias("sketch"))
     compared = (
         long_lists.join(sketches, F.col("class") == F.col("of_class"))
         .drop("of_class")
@@ -334,11 +348,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("class")
         .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("head").alias("head"))
     )
-    listed = classes.select("class", "n_shingles", F.explode("head").alias("value"))
+    listed = classes.select("class", "n_shingles", "head", F.posexplode("head").alias("place", "value"))
     shared = listed.groupBy(F.col("value").alias("list")).agg(F.count("*").alias("members")).where("members > 1")
     entries = stage(listed.join(shared, F.col("value") == F.col("list")).drop("list"))
-    suspects = entries.groupBy(F.col("class").alias("suspect")).agg(F.sum("members").alias("weight"), F.count("*").alias("n"))
-    suspects = stage(suspects.where("n > 1").drop("n"))
+    suspects = entries.groupBy(F.col("class").alias("suspect")).agg(
+        F.sum("members").alias("weight"), F.count("*").alias("n"), F.first("n_shingles").alias("size")
+    )
+    suspects = stage(suspects.where(F.col("n") >= _least_shared(F.col("size"))).drop("n", "size"))
     entries = stage(entries.join(suspects, F.col("class") == F.col("suspect")).drop("suspect", "members"))
     wanted = classes.join(suspects, F.col("class") == F.col("suspect"), "left_semi")
     sets = stage(full_sets(docs, wanted))

@@ -85,8 +85,9 @@ def test_hot_groups(spark, monkeypatch):
 
 def test_estimate_is_exact_for_small_sets():
     rng = np.random.default_rng(0)
-    base = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(30)]
+    base = np.unique(rng.integers(0, 1 << 32, 100, dtype=np.uint32))
+    more = lambda k: rng.integers(0, 1 << 32, k, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], more(k)])) for k in range(30)]
     size = np.array([len(s) for s in sets])
     got = neardup._weigh(sets, sets, size, size)
     for i, a in enumerate(sets):
