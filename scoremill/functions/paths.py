@@ -155,6 +155,27 @@ def with_location(
     )
 
 
+GLOB = r"[*?\[]"
+
+
+def is_glob(path: Column) -> Column:
+    return path.rlike(GLOB)
+
+
+def glob_regex(pattern: Column) -> Column:
+    """Regular expression of a whole path for a glob: ``**`` spans folders, ``*`` and ``?`` stay within one."""
+    quoted = F.regexp_replace(pattern, r"([.+^$(){}|\\])", r"\\$1")
+    steps = (("**/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("?", "[^/]"), ("[!", "[^"), ("\x01", "(?:[^/]+/)*"), ("\x02", ".*"))
+    for glob, regex in steps:
+        quoted = F.replace(quoted, F.lit(glob), F.lit(regex))
+    return F.concat(F.lit("^"), quoted, F.lit("$"))
+
+
+def glob_root(pattern: Column) -> Column:
+    """The folders in front of the first component with a wildcard."""
+    return F.regexp_replace(F.regexp_extract(pattern, r"^([^*?\[]*)", 1), "[^/]*$", "")
+
+
 def source_path(path: Column) -> Column:
     """Path a job can read: mounts by folder, ``s3`` and ``gs`` as they are, other links refused."""
     scheme = F.lower(F.regexp_extract(path, r"^([A-Za-z0-9]+)://", 1))

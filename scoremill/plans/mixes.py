@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoremill.functions import paths as path_fn
 from scoremill.operators import manifest, mixture
+from scoremill.session import stage
 
 
 def recipe_sources(recipes: DataFrame) -> DataFrame:
@@ -20,6 +21,12 @@ def recipe_sources(recipes: DataFrame) -> DataFrame:
     )
 
 
+def recipe_patterns(recipes: DataFrame) -> list[str]:
+    """Paths and patterns of the recipes, on the driver, which lists their files."""
+    named = recipes.filter(F.col("source").isNotNull() & F.col("path").isNotNull())
+    return [r["path"] for r in named.select("path").distinct().orderBy("path").collect()]
+
+
 def recipe_plan(
     recipes: DataFrame,
     files: DataFrame,
@@ -28,12 +35,22 @@ def recipe_plan(
     seed: int = mixture.DEFAULT_SEED,
     dtype: str = mixture.DEFAULT_DTYPE,
 ) -> DataFrame:
-    """Mix plan of one recipe; ``files(source, length)`` gives the natural ratios."""
+    """Mix plans of all recipes, a row per recipe, source and file.
+
+    ``files(path, length)`` lists the files of all patterns (``manifests.expand_files``); patterns are expanded
+    from it, and natural ratios come from the lengths of a recipe's own files. Fails the query for a source without
+    files, with several URL schemes, or without a target ratio where others have one.
+    """
     sources = mixture.validate_sources(recipe_sources(recipes))
-    priors = mixture.token_counts(files, dtype)
-    ratios = mixture.resolve_ratios(sources, priors)
-    paths = recipes.filter(F.col("path").isNotNull()).select(
-        F.col("source").alias("name"), path_fn.source_path(F.col("path")).alias("path")
+    listed = recipes.filter(F.col("source").isNotNull() & F.col("path").isNotNull()).select(
+        "config", F.col("source").alias("name"), "path"
+    )
+    one_scheme = mixture.validate_schemes(listed).select("config", "name")
+    listed = listed.join(one_scheme, ["config", "name"], "left_semi")
+    sized = stage(mixture.attach_sizes(listed, files))
+    ratios = mixture.resolve_ratios(sources, mixture.token_counts(sized, dtype))
+    paths = sized.filter(F.col("length").isNotNull()).select(
+        "config", F.col("source").alias("name"), path_fn.source_path(F.col("path")).alias("path")
     )
     return mixture.mix_plan(ratios, paths, max_tokens, sequence_length, seed, dtype)
 

@@ -1181,10 +1181,21 @@ def recipe_scan(spark, d):
     return manifests.parse_recipes(_recipe_texts(spark, d))
 
 
-@registered("file_tokens")
+@registered(
+    "file_tokens",
+    """SELECT source, CAST(sum(n_chars // 2) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS n_failed,
+      round(sum(n_chars // 2) / (SELECT sum(n_chars // 2) FROM documents), 9) AS ratio FROM documents GROUP BY 1""",
+)
 def file_tokens(spark, d):
-    files = manifests.source_files(spark, {"tables": [f"{d.rstrip('/')}/*.parquet"]})
-    return mixture.token_counts(files)
+    """Every document becomes lines of a file of its source, n_chars bytes less the line end, at any depth."""
+    path = shared_dir(spark)
+    rows = b.table(spark, d, "documents").select(
+        "source", F.col("doc_id").alias("part"), F.repeat(F.lit("x"), (F.col("n_chars") - 1).cast("int")).alias("value")
+    )
+    rows.write.partitionBy("source", "part").text(path)
+    names = [r["source"] for r in rows.select("source").distinct().collect()]
+    files = manifests.source_files(spark, {name: [f"{path}/source={name}/**/*.txt"] for name in names})
+    return _rounded(mixture.token_counts(files, "uint16").select("source", "tokens", "n_failed", "ratio"), "ratio")
 
 
 @registered(
@@ -1319,17 +1330,42 @@ def mix_plan(spark, d):
     return _rounded(mixture.mix_plan(ratios, listed, 1_000_000, 2048), "ratio")
 
 
+def _listed_files(spark, d):
+    """A token file per source and language, four bytes per character."""
+    path = F.concat(F.lit("s3a://bucket/"), "source", F.lit("/"), "lang", F.lit(".npy"))
+    return b.table(spark, d, "documents").groupBy(path.alias("path")).agg((F.sum("n_chars") * 4).alias("length"))
+
+
+PLAN_TAIL = """CAST(1 AS DOUBLE) AS max_repetition_ratio, CAST(5000 AS BIGINT) AS max_tokens, 1024 AS sequence_length,
+      7 AS seed, 'uint32' AS dtype"""
+
+
 @registered(
     "recipe_plan",
-    """WITH w AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1)
-    SELECT source AS name, 's3://bucket/' || source || '/*.npy' AS path, true AS is_fractional, CAST(0.05 AS DOUBLE) AS ratio,
-      CAST(1 AS DOUBLE) AS max_repetition_ratio, CAST(5000 AS BIGINT) AS max_tokens, 1024 AS sequence_length, 7 AS seed,
-      'uint32' AS dtype FROM w""",
+    f"""WITH p AS (SELECT DISTINCT source, lang FROM documents)
+    SELECT c.lang AS config, c.source AS name, 's3://bucket/' || p.source || '/' || p.lang || '.npy' AS path,
+      true AS is_fractional, CAST(0.05 AS DOUBLE) AS ratio, {PLAN_TAIL} FROM p AS c JOIN p USING (source)""",
 )
 def recipe_plan(spark, d):
     recipes = manifests.parse_recipes(_recipe_texts(spark, d))
-    merged = recipes.withColumn("config", F.lit("all")).distinct()
-    return mixes.recipe_plan(merged, b.document_files(spark, d), 5000, 1024, seed=7)
+    plan = mixes.recipe_plan(recipes, _listed_files(spark, d), 5000, 1024, seed=7)
+    return plan.withColumn("path", F.regexp_replace("path", "^s3a:", "s3:"))
+
+
+@registered(
+    "recipe_plan_many",
+    f"""WITH p AS (SELECT DISTINCT source, lang FROM documents), n AS (SELECT source, sum(n_chars) AS n FROM documents GROUP BY 1),
+      total AS (SELECT sum(n) AS n FROM n WHERE source IN (SELECT source FROM p WHERE lang = 'de'))
+    SELECT c.lang AS config, c.source AS name, 's3://bucket/' || p.source || '/' || p.lang || '.npy' AS path,
+      true AS is_fractional, round(CASE WHEN c.lang = 'de' THEN n.n / (SELECT n FROM total) ELSE ascii(c.lang) / 1000 END, 9) AS ratio,
+      {PLAN_TAIL} FROM p AS c JOIN p ON p.source = c.source JOIN n ON n.source = c.source""",
+)
+def recipe_plan_many(spark, d):
+    """The same source names in every recipe, each with a ratio of its own; one recipe uses the natural ones."""
+    recipes = manifests.parse_recipes(_recipe_texts(spark, d))
+    target = F.when(F.col("config") == "de", F.lit(0.0)).otherwise(F.ascii("config") / 1000)
+    plan = mixes.recipe_plan(recipes.withColumn("target_ratio", target), _listed_files(spark, d), 5000, 1024, seed=7)
+    return _rounded(plan.withColumn("path", F.regexp_replace("path", "^s3a:", "s3:")), "ratio")
 
 
 @registered(

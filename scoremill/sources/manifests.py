@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from scoremill.functions import paths as path_fn
+from scoremill.operators.mixture import attach_sizes
+from scoremill.session import local_table
+
 FLAT_TYPE = "config string, key string, value string"
-DEEP = "/**/"
+DEEP = "**"
 PIECE = 10_000  # rows per Arrow batch that a text parser hands back
 
 
@@ -129,27 +133,29 @@ def expand_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
     """``path, length`` of all files of the patterns; a pattern without a match raises.
 
     Spark lists the files and never opens them: the content column is not selected. All patterns
-    without ``**`` are one listing.
+    without ``**`` are one listing, all others a second, recursive one below the folders in front of ``**``.
+    ``**`` stands for any number of folders, and at the end for all files below. A file is listed once, whatever
+    patterns it matches.
     """
     flat = [p for p in patterns if DEEP not in p]
-    found = [_files(spark, p) for p in patterns if DEEP in p]
-    if flat:
-        found.append(spark.read.format("binaryFile").load(flat).select("path", "length"))
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
+    deep = [p for p in patterns if DEEP in p]
+    found = [spark.read.format("binaryFile").load(flat).select("path", "length")] if flat else []
+    if deep:
+        found.append(_deep_files(spark, deep))
+    return found[0].distinct() if len(found) == 1 else found[0].unionByName(found[1]).distinct()
 
 
 def source_files(spark: SparkSession, sources: dict[str, list[str]]) -> DataFrame:
-    """``source, path, length`` of the files of named sources; a source without files raises."""
-    result = None
+    """``source, path, length`` of the files of named sources; a source without files raises.
+
+    All sources share one listing, whose files meet the sources' patterns in a join.
+    """
     for name, patterns in sources.items():
         if not patterns:
             raise ValueError(f"no paths found for source {name}")
-        part = expand_files(spark, patterns).select(F.lit(name).alias("source"), "path", "length")
-        result = part if result is None else result.unionByName(part)
-    return result
+    listed = [(name, pattern) for name, patterns in sources.items() for pattern in patterns]
+    files = expand_files(spark, sorted({p for _, p in listed}))
+    return attach_sizes(local_table(spark, listed, "name string, path string"), files)
 
 
 def read_domain_weights(spark: SparkSession, path: str, folder_per_mix: bool = False) -> DataFrame:
@@ -166,14 +172,21 @@ def read_domain_weights(spark: SparkSession, path: str, folder_per_mix: bool = F
     return reader.option("multiLine", "true").json(path).select(mix.alias("mix"), "domain", "weight")
 
 
-def _files(spark: SparkSession, pattern: str) -> DataFrame:
-    # "**" may stand for no folder at all; Spark's own listing is recursive instead
-    base, _, name = pattern.partition(DEEP)
+def _deep_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    # folders in front of the component with "**", which may hold other wildcards
+    roots = sorted({p[: p.index(DEEP)].rpartition("/")[0] or "/" for p in patterns})
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.option("pathGlobFilter", name).load(base).select("path", "length")
-    if files.isEmpty():
-        raise FileNotFoundError(pattern)
-    return files
+    files = reader.load(roots).select("path", "length")
+    place = F.regexp_replace("path", "^file:(//)?", "")
+    hits = [F.rlike(place, path_fn.glob_regex(F.lit(p.removeprefix("file:")))) for p in patterns]
+    counts = files.agg(*(F.count_if(hit).alias(str(i)) for i, hit in enumerate(hits))).first()
+    for pattern, n in zip(patterns, counts):
+        if not n:
+            raise FileNotFoundError(pattern)
+    any_hit = hits[0]
+    for hit in hits[1:]:
+        any_hit = any_hit | hit
+    return files.filter(any_hit)
 
 
 def _map_texts(configs: DataFrame, parse: Callable, ddl: str) -> DataFrame:

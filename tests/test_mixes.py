@@ -53,13 +53,27 @@ def test_recipes(spark, tmp_path):
     assert ("r.yaml", "s3://b/old/1.npy") in rows(manifests.recipe_paths(recipes))
     sources = rows(mixes.recipe_sources(recipes), "name")
     assert sources == [("r.yaml", "code", 0.25, 2.0, 1.0), ("r.yaml", "web", 0.75, 1.0, 1.0)]
-    files = local_table(spark, [("web", 400), ("code", 40)], "source string, length bigint")
+    listing = [("s3://b/web/1.npy", 300), ("s3://b/web/2.npy", 60), ("s3://b/web/x/3.npy", 9), ("s3://b/web2/1.npy", 40)]
+    files = local_table(spark, [*listing, ("s3://b/code/1.npy", 40)], "path string, length bigint")
+    assert mixes.recipe_patterns(recipes) == ["s3://b/code/*.npy", "s3://b/web/*.npy", "s3://b/web2/1.npy"]
     plan = mixes.recipe_plan(recipes, files, 1000, 128)
-    assert rows(plan.select("name", "path", "ratio", "max_repetition_ratio", "max_tokens"), "path") == [
-        ("code", "s3://b/code/*.npy", 0.25, 2.0, 1000),
-        ("web", "s3://b/web/*.npy", 0.75, 1.0, 1000),
-        ("web", "s3://b/web2/1.npy", 0.75, 1.0, 1000),
+    assert rows(plan.select("config", "name", "path", "ratio", "max_repetition_ratio", "max_tokens"), "path") == [
+        ("r.yaml", "code", "s3://b/code/1.npy", 0.25, 2.0, 1000),
+        ("r.yaml", "web", "s3://b/web/1.npy", 0.75, 1.0, 1000),
+        ("r.yaml", "web", "s3://b/web/2.npy", 0.75, 1.0, 1000),
+        ("r.yaml", "web", "s3://b/web2/1.npy", 0.75, 1.0, 1000),
     ]
+    with pytest.raises(Exception, match="no paths found for source code"):
+        mixes.recipe_plan(recipes, files.filter("path NOT LIKE '%code%'"), 1000, 128).count()
+    mixed = recipes.withColumn("path", F.regexp_replace("path", "s3://b/web2", "gs://b/web2"))
+    with pytest.raises(Exception, match="mixed URL schemes in source web"):
+        mixes.recipe_plan(mixed, files, 1000, 128).count()
+    # another recipe with the same source names keeps its own ratios and files
+    other = recipes.withColumns({"config": F.lit("o"), "target_ratio": F.lit(0.5)}).filter("path NOT LIKE '%web2%'")
+    both = mixes.recipe_plan(recipes.unionByName(other), files, 1000, 128)
+    assert Counter((r["config"], r["name"], r["ratio"]) for r in both.collect()) == {
+        ("r.yaml", "web", 0.75): 3, ("r.yaml", "code", 0.25): 1, ("o", "web", 0.5): 2, ("o", "code", 0.5): 1,
+    }
 
 
 def test_flatten(spark):
@@ -105,6 +119,12 @@ def test_files_and_tokens(spark, tmp_path):
         ("a", 12, 2, pytest.approx(12 / 14)),
         ("b", 2, 1, pytest.approx(2 / 14)),
     ]
+    (tmp_path / "a/deep/c").mkdir()
+    (tmp_path / "a/deep/c/4.npy").write_bytes(bytes(4))
+    length = lambda *patterns: sorted(r["length"] for r in manifests.expand_files(spark, list(patterns)).collect())
+    assert length(f"{tmp_path}/a/**") == [4, 10, 40]
+    assert length(f"{tmp_path}/**/c/*.npy") == [4]
+    assert length(f"{tmp_path}/*/**/[0-2].npy", f"{tmp_path}/b/*.npy", f"{tmp_path}/**/3.npy") == [8, 10, 40]
     halves = mixture.token_counts(files, "uint16").select("source", "tokens")
     assert rows(halves, "source") == [("a", 25), ("b", 4)]
     with pytest.raises(Exception, match="(?i)not.*(exist|found)|nothing"):
@@ -129,6 +149,15 @@ def test_sizes_meet_listed_paths(spark):
     listed = local_table(spark, [("a", "s3://b/1"), ("a", "/x/2"), ("b", "s3://b/3")], "name string, path string")
     files = local_table(spark, [("s3a://b/1", 8), ("file:/x/2", 4)], "path string, length bigint")
     assert rows(mixture.attach_sizes(listed, files), "path") == [("a", "/x/2", 4), ("a", "s3://b/1", 8), ("b", "s3://b/3", None)]
+    globs = local_table(spark, [("a", "s3://b/*"), ("a", "/x/**/?.npy"), ("b", "/y/[!a]*")], "name string, path string")
+    listing = [("s3a://b/1", 8), ("s3a://b/d/1", 9), ("/x/1.npy", 1), ("/x/y/z/2.npy", 2), ("/x/22.npy", 3), ("/y/ab", 4)]
+    more = local_table(spark, listing, "path string, length bigint")
+    assert rows(mixture.attach_sizes(globs, more), "path") == [
+        ("a", "/x/1.npy", 1),
+        ("a", "/x/y/z/2.npy", 2),
+        ("b", "/y/[!a]*", None),
+        ("a", "s3a://b/1", 8),
+    ]
 
 
 def test_parsed_texts_come_in_pieces(spark, monkeypatch):
@@ -155,13 +184,13 @@ def test_validation(spark):
     good = local_table(spark, [("a", None, 1.0), ("b", None, 1.0)], SOURCE_TYPE)
     assert mixture.validate_sources(good).count() == 2 and len(rows(mixture.validate_sources(good))) == 2
     mixed = local_table(spark, [("a", 0.5, 1.0), ("b", None, 1.0)], SOURCE_TYPE)
-    with pytest.raises(PySparkException, match="missing for b"):
-        mixture.validate_sources(mixed).collect()
+    with pytest.raises(Exception, match="missing for b"):
+        mixture.validate_sources(mixed).count()
     schemes = local_table(spark, [("a", "s3://x/1"), ("a", "s3://y/2"), ("b", "/x")], "name string, path string")
     assert rows(mixture.validate_schemes(schemes), "name") == [("a", 2, "s3"), ("b", 1, "")]
     bad = local_table(spark, [("a", "s3://x/1"), ("a", "gs://y/2")], "name string, path string")
     with pytest.raises(PySparkException, match="mixed URL schemes in source a"):
-        mixture.validate_schemes(bad).collect()
+        mixture.validate_schemes(bad).select("name").collect()
 
 
 def test_plan_without_fractions_concatenates(spark):
@@ -193,6 +222,9 @@ def test_path_table(spark):
     assert table.columns == ["base_path", "one", "two", "match"]
     assert rows(table) == [("x", 2, 1, False), ("y", 1, 1, True), ("Total", 3, 2, None)]
     assert rows(manifest.path_table(manifest.path_counts(paths).limit(0))) == []
+    chosen = mixes.compare_path_lists(paths, ["two", "none"])
+    assert chosen.columns == ["base_path", "two", "none", "match"]
+    assert rows(mixes.compare_path_lists(paths.filter("config = 'one' OR path LIKE '/y/%'"), ["two"])) == [("y", 1, True), ("Total", 1, None)]
     folders = rows(manifest.folder_counts(paths))
     assert folders[0][:2] == ("/y", 3) and folders[0][2] == 0.5
 
