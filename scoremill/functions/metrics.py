@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,8 @@ class ScoreRule:
     arg: str | float | None = None
 
 
-# The known corrections, in the order they apply.
+# The known corrections, in the order they apply. A caller adds the rules of its own tasks.
 SCORE_RULES = (
-    ScoreRule(("minerva_math", "hamish_zs_reasoning"), "extra", "exact_match_flex"),
     ScoreRule(("alpaca",), "divide", 100.0),
     ScoreRule(("styled_math500", "tulu"), "extra", "exact_match_flex"),
     ScoreRule(("wildchat_masked_ppl-67b0e9", "ultrachat_masked_ppl-831470"), "unhash"),
@@ -81,7 +82,7 @@ def pass_at(metrics: Column, k: int) -> Column:
     return extra_metric(metrics, f"pass_at_{k}")
 
 
-def fix_scores(records: DataFrame, rules: tuple[ScoreRule, ...] = SCORE_RULES) -> DataFrame:
+def fix_scores(records: DataFrame, rules: Sequence[ScoreRule] = SCORE_RULES) -> DataFrame:
     """Apply the rules to ``alias`` and ``metrics``; adds ``score`` and ``fix_missing``.
 
     ``fix_missing`` marks records whose rule asked for an extra metric they do not have: their

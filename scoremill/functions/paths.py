@@ -7,22 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Folder names that are network mounts, wherever a path starts with them.
-MOUNTS = (
-    "ai1-default",
-    "climate-default",
-    "dfive-default",
-    "mosaic-default",
-    "nora-default",
-    "nsf-uchicago-apto",
-    "oe-adapt-default",
-    "oe-data-default",
-    "oe-eval-default",
-    "oe-training-default",
-    "prior-default",
-    "reviz-default",
-    "skylight-default",
-)
 # Fixed value: paths of this corpus group by their tokenizer folder, not by their last folder.
 TOKENIZER_FOLDER = r"(?i)^(.*dclm/.+?tokenizer)(/.*)?$"
 
@@ -98,11 +82,11 @@ def base_path(path: Column) -> Column:
 
 
 def with_location(
-    frame: DataFrame, path: str = "path", name: str = "located", mounts: Sequence[str] = MOUNTS, strict: bool = True
+    frame: DataFrame, path: str = "path", name: str = "located", mounts: Sequence[str] = (), strict: bool = True
 ) -> DataFrame:
     """Add a struct of protocol, path and derived forms of a path column.
 
-    Mounted folders come first (absolute paths and ``weka://`` links), then local files, then
+    ``mounts`` names the folders that are network mounts. They come first (absolute paths and ``weka://`` links), then local files, then
     ``s3*`` and ``gs``/``gcs`` links. Anything else fails the query, or gives a null struct when
     not ``strict``. A trailing slash is kept once. ``remote``, ``bucket`` and ``prefix`` are null
     for files; ``local`` is null for object stores.
@@ -117,13 +101,13 @@ def with_location(
         {
             "_scheme": F.lower(F.regexp_extract(raw, link, 1)),
             "_rest": F.regexp_extract(raw, link, 2),
-            "_mounted": F.regexp_extract(clean, rf"^(/weka)?(/({mount})(/.*)?)$", 2),
+            "_mounted": F.regexp_extract(clean, rf"^(/weka)?(/({mount})(/.*)?)$", 2) if mounts else F.lit(""),
         }
     )
     host = F.substring_index(rest, "/", 1)
     prot = (
         F.when(scheme == "", F.when(mounted != "", "weka").otherwise("file"))
-        .when((scheme == "weka") & host.isin(*mounts), "weka")
+        .when((scheme == "weka") & (host.isin(*mounts) if mounts else F.lit(False)), "weka")
         .when(scheme == "file", "file")
         .when(scheme.startswith("s3"), "s3")
         .when(scheme.isin("gs", "gcs"), "gs")

@@ -133,7 +133,9 @@ def newest_records(described: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
     )
 
 
-def record_cells(latest: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
+def record_cells(
+    latest: DataFrame, tiebreak: Sequence[str], rules: Sequence[metric_fn.ScoreRule] = metric_fn.SCORE_RULES
+) -> DataFrame:
     """Score table of the newest records, whose ``metrics`` text is parsed here.
 
     Aggregate records are skipped, a record without a model name fails the query, known bad scores
@@ -142,7 +144,7 @@ def record_cells(latest: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
     """
     usable = metric_fn.with_metrics(latest.filter(~F.col("is_aggregate")))
     nameless = F.raise_error(F.lit("a metric record names no model")).cast("string")
-    fixed = metric_fn.fix_scores(usable).withColumn("model", F.coalesce("model", nameless))
+    fixed = metric_fn.fix_scores(usable, rules).withColumn("model", F.coalesce("model", nameless))
     cells = fixed.select(
         "model",
         "ts",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoremill.functions import metrics as metric_fn
 from scoremill.functions.patterns import compile_filters, matches_any
 from scoremill.operators import cells as cell_ops
 from scoremill.operators import coverage
@@ -23,11 +24,12 @@ def dashboard_cells(
     dashboard: str,
     limit: int | None = None,
     created_from: str | None = None,
+    rules: Sequence[metric_fn.ScoreRule] = metric_fn.SCORE_RULES,
 ) -> DataFrame:
-    """Score table of a dashboard: its experiments, their newest records, corrected and derived."""
+    """Score table of a dashboard: its experiments, their newest records, corrected by ``rules`` and derived."""
     found = exp.find_experiments(experiments, dashboard, limit=limit, created_from=created_from)
     described = exp.describe_records(exp.metrics_of(records, found))
-    return exp.record_cells(exp.newest_records(described, TIEBREAK), TIEBREAK)
+    return exp.record_cells(exp.newest_records(described, TIEBREAK), TIEBREAK, rules)
 
 
 def results(

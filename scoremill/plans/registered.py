@@ -782,7 +782,7 @@ def dashboard_cells(spark, d):
 
 @registered(
     "score_fixes",
-    f"""SELECT event_id, CASE {K} % 4 WHEN 0 THEN 'minerva_math_' || event_type || '::hamish_zs_reasoning'
+    f"""SELECT event_id, CASE {K} % 4 WHEN 0 THEN 'minerva_math_' || event_type || '::zero_shot'
         WHEN 1 THEN 'alpaca_' || event_type || '::tulu' WHEN 2 THEN 'styled_math500_' || event_type || '::tulu'
         ELSE 'wildchat_masked_ppl' END AS alias,
       round(CASE {K} % 4 WHEN 0 THEN CASE WHEN {K} % 3 = 0 THEN 0.5 END WHEN 1 THEN value / 100
@@ -792,7 +792,7 @@ def dashboard_cells(spark, d):
 def score_fixes(spark, d):
     k, kind = F.col("k"), F.col("event_type")
     alias = (
-        F.when(k % 4 == 0, F.concat(F.lit("minerva_math_"), kind, F.lit("::hamish_zs_reasoning")))
+        F.when(k % 4 == 0, F.concat(F.lit("minerva_math_"), kind, F.lit("::zero_shot")))
         .when(k % 4 == 1, F.concat(F.lit("alpaca_"), kind, F.lit("::tulu")))
         .when(k % 4 == 2, F.concat(F.lit("styled_math500_"), kind, F.lit("::tulu")))
         .otherwise("wildchat_masked_ppl-67b0e9")
@@ -802,7 +802,9 @@ def score_fixes(spark, d):
     recs = metrics.with_metrics(
         b.events(spark, d).select("event_id", alias.alias("alias"), text.alias("metrics"))
     )
-    return _rounded(metrics.fix_scores(recs).select("event_id", "alias", "score", "fix_missing"))
+    own = metrics.ScoreRule(("minerva_math", "zero_shot"), "extra", "exact_match_flex")
+    fixed = metrics.fix_scores(recs, [own, *metrics.SCORE_RULES])
+    return _rounded(fixed.select("event_id", "alias", "score", "fix_missing"))
 
 
 @registered(
@@ -985,19 +987,20 @@ def storage_paths(spark, d):
       x AS (SELECT page_id,
         CASE page_id % 5 WHEN 0 THEN 's3' WHEN 1 THEN 'gs' WHEN 2 THEN 'file' ELSE 'weka' END AS prot,
         CASE page_id % 5 WHEN 0 THEN bare WHEN 1 THEN bare WHEN 2 THEN '/' || rest
-          ELSE '/oe-data-default/' || CASE WHEN page_id % 5 = 3 THEN bare ELSE rest END END AS path FROM q)
+          ELSE '/shared-data/' || CASE WHEN page_id % 5 = 3 THEN bare ELSE rest END END AS path FROM q)
     SELECT page_id, prot, path, CASE WHEN prot <> 'file' THEN split_part(ltrim(path, '/'), '/', 1) END AS bucket,
+      CASE WHEN prot <> 'file' THEN regexp_replace(ltrim(path, '/'), '^[^/]*/*', '') END AS prefix,
       CASE WHEN prot IN ('file', 'weka') THEN path END AS local,
       CASE WHEN prot <> 'file' THEN prot || '://' || ltrim(path, '/') END AS remote, md5(prot || path) AS hash FROM x""",
 )
 def located_paths(spark, d):
     rest = F.regexp_replace("url", "^https?://", "")
     i = F.col("page_id") % 5
-    heads = {0: "s3n://", 1: "gcs://", 2: "/", 3: "weka://oe-data-default/"}
-    head = F.coalesce(*(F.when(i == n, text) for n, text in heads.items()), F.lit("/weka/oe-data-default/"))
+    heads = {0: "s3n://", 1: "gcs://", 2: "/", 3: "weka://shared-data/"}
+    head = F.coalesce(*(F.when(i == n, text) for n, text in heads.items()), F.lit("/weka/shared-data/"))
     listed = b.table(spark, d, "pages").select("page_id", F.concat(head, rest).alias("path"))
-    return paths.with_location(listed, name="l").select(
-        "page_id", "l.prot", "l.path", "l.bucket", "l.local", "l.remote", "l.hash"
+    return paths.with_location(listed, name="l", mounts=["shared-data"]).select(
+        "page_id", "l.prot", "l.path", "l.bucket", "l.prefix", "l.local", "l.remote", "l.hash"
     )
 
 

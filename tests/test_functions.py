@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from scoremill.functions import display, metrics, names, paths, tags
+from scoremill.functions.patterns import matches_any
 from scoremill.session import local_table
 
 
@@ -130,7 +131,7 @@ def test_locate(spark):
         "/home/user/data": ("file", "/home/user/data"),
         "file:///home/user/": ("file", "/home/user/"),
     }
-    found = locate(spark, list(cases))
+    found = locate(spark, list(cases), mounts=["oe-training-default"])
     assert [(r["prot"], r["path"]) for r in found] == list(cases.values())
     for row in found:
         assert row["hash"] == hashlib.md5((row["prot"] + row["path"]).encode()).hexdigest()
@@ -141,11 +142,18 @@ def test_locate(spark):
     assert (home["remote"], home["bucket"], home["local"]) == (None, None, "/home/user/data")
 
 
+@pytest.mark.parametrize("pattern", ["(?P<x>a)", r"a\Z", "(?x)a b", "a{,3}", re.compile("a", re.VERBOSE), re.compile("a", re.ASCII)])
+def test_foreign_patterns_are_refused(pattern):
+    with pytest.raises(ValueError, match="cannot run in Spark"):
+        matches_any("task", [re.compile(pattern)])
+
+
 @pytest.mark.parametrize("path", ["weka://non-existent-bucket/prefix", "azure://bucket/prefix"])
 def test_locate_refuses(spark, path):
     with pytest.raises(PySparkException, match="cannot locate"):
         locate(spark, [path])
     assert locate(spark, [path], strict=False) == [None]
+    assert locate(spark, [path], strict=False, mounts=["other"]) == [None]
 
 
 def test_source_path(spark):
@@ -186,7 +194,7 @@ def test_zero_bits_per_byte_falls_through(spark, text, expected):
 def test_score_rules(spark):
     flex = '{"primary_score": 0.5, "exact_match_flex": 0.25}'
     rows = [
-        ("minerva_math_algebra::hamish_zs_reasoning", flex),
+        ("minerva_math_algebra::zero_shot", flex),
         ("minerva_math_algebra", flex),
         ("alpaca_eval::tulu", '{"primary_score": 50}'),
         ("styled_math500_x::tulu", '{"primary_score": 0.5}'),
@@ -194,9 +202,10 @@ def test_score_rules(spark):
         ("wildchat_masked_ppl-000000", '{"primary_score": 2}'),
     ]
     frame = metrics.with_metrics(local_table(spark, rows, "alias string, metrics string"))
-    found = [(r["alias"], r["score"], r["fix_missing"]) for r in metrics.fix_scores(frame).collect()]
+    own = metrics.ScoreRule(("minerva_math", "zero_shot"), "extra", "exact_match_flex")
+    found = [(r["alias"], r["score"], r["fix_missing"]) for r in metrics.fix_scores(frame, [own, *metrics.SCORE_RULES]).collect()]
     assert found == [
-        ("minerva_math_algebra::hamish_zs_reasoning", 0.25, False),
+        ("minerva_math_algebra::zero_shot", 0.25, False),
         ("minerva_math_algebra", 0.5, False),
         ("alpaca_eval::tulu", 0.5, False),
         ("styled_math500_x::tulu", None, True),
