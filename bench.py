@@ -11,7 +11,7 @@ import os
 import time
 
 from scoremill.plans.registered import QUERIES
-from scoremill.session import local_session
+from scoremill.session import drop_staged, local_session
 
 HEADLINE = (
     "newest_event_scores",
@@ -64,6 +64,7 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         seconds[name] = round(min(runs), 3)
+    drop_staged(spark)
     spark.stop()
     total = round(sum(seconds.values()), 3)
     print(

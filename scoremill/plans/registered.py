@@ -1214,6 +1214,18 @@ def domain_weight_scan(spark, d):
     return _rounded(read.withColumn("mix", F.regexp_replace("mix", "^mix=", "")), "weight")
 
 
+@registered(
+    "domain_split",
+    """SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size, CAST(sum(doc_id) AS BIGINT) AS ids
+    FROM documents GROUP BY 1""",
+)
+def domain_split(spark, d):
+    path = shared_dir(spark)
+    export.write_domains(b.table(spark, d, "documents"), "source", path)
+    read = spark.read.parquet(path).groupBy("source")
+    return read.agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"), F.sum("doc_id").alias("ids"))
+
+
 def _event_settings(spark, d):
     """Settings per k class: a key per user and event type, its value the largest k."""
     events = b.events(spark, d).select("user_id", "event_type", "k")

@@ -33,18 +33,29 @@ LOCAL_DIR = "scoremill.local.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """New folder for written intermediate tables, below ``spark.checkpoint.dir``.
+    """New folder for written intermediate tables, below ``spark.checkpoint.dir`` and a folder of the application.
 
-    That setting names storage all executors can reach. Only a local master may run without it; the
+    :func:`drop_staged` removes them all. That setting names storage all executors can reach. Only a local master may run without it; the
     session then gets a folder under the system's temporary one, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR, None)
+    base = _base(spark)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="scoremill-")
         spark.conf.set(LOCAL_DIR, base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. Call it when their results are written or collected."""
+    if base := _base(spark):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _base(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR, None)
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -78,5 +78,13 @@ def write_cells(cells: DataFrame, path: str) -> None:
     ).json(path)
 
 
+def write_domains(rows: DataFrame, domain: str, path: str) -> None:
+    """Rows in one folder per domain, as Parquet; ``spark.read.parquet(path)`` has the domain as a column again.
+
+    Rows of a domain come together for few files, and Spark splits a domain that is much larger than others.
+    """
+    rows.hint("rebalance", domain).write.mode("overwrite").partitionBy(domain).parquet(path)
+
+
 def _json_text(name: str) -> Column:
     return F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r'^\{"v":(.*)\}$', 1)
