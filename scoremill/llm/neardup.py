@@ -7,8 +7,8 @@ Documents with equal sets form a class, and only classes are compared.
    with a similarity of 0.75, each of the smallest values of the union is shared with probability 0.75: of 16 they
    share fewer than ``SHARED`` with 4e-6. Pairs with fewer are dropped, and full sets are made only of classes with
    that many shared lists.
-2. In each list all classes are proposed to one hub, the class whose values are the most common, and verified. A
-   group of thousands of copies becomes one component without its pairs.
+2. In each list all classes are proposed to one hub, the class whose values are the most common (then with the
+   most copies), and verified. A group of thousands of copies becomes one component without its pairs.
 3. What is left are pairs of different components within a list. Short lists emit their pairs. Long lists, of the
    first ``LONG_PLACES`` values (none is shared with 1e-6), are cut into blocks of classes; a task compares two
    blocks by the union sketches in numpy and emits only pairs that may be links. Blocks within a list's largest
@@ -204,11 +204,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _weigh(mine: list[np.ndarray], other: list[np.ndarray], own_size, other_size) -> np.ndarray:
-    """Whether each pair of sketches (sorted, unsigned) may belong to a link.
+def _weigh(mine: list[np.ndarray], other: list[np.ndarray], own_size, other_size) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sketches (sorted, unsigned) may belong to a link, and which surely do.
 
     Up to the smaller of two sketches' largest values both sketches are complete, so the values there are the
-    sketch of the union; the share of common ones estimates the similarity, exactly if both sets fit.
+    sketch of the union; the share of common ones estimates the similarity, exactly if both sets fit. Then a pair is
+    sure if it stays a link without one of the common values, should two shingles have met in it.
     """
     values, places, counts = np.unique(np.concatenate([*mine, *other]), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1  # values of one sketch only are common to none
@@ -226,11 +227,32 @@ def _weigh(mine: list[np.ndarray], other: list[np.ndarray], own_size, other_size
     share = PERCENT / 100
     spare = np.where(limit == whole, 0.01, SIGMAS * np.sqrt(share * (1 - share) / np.maximum(union, 1)) + 0.01)
     sizes = np.minimum(own_size[:, None], other_size[None, :]) >= share * np.maximum(own_size[:, None], other_size)
-    return (common >= (share - spare) * union) & sizes
+    sure = (limit == whole) & ((common - 1) * 100 >= (union + 1) * PERCENT)
+    return (common >= (share - spare) * union) & sizes, sure & sizes
+
+
+def _joining(pairs: list[tuple[int, int]], group: list[int]):
+    """The pairs that join two groups; ``group`` is a forest over the labels and is changed."""
+    for at, (x, y) in enumerate(pairs):
+        x, y = _root(group, x), _root(group, y)
+        if x != y:
+            group[y] = x
+            yield at
+
+
+def _root(group: list[int], node: int) -> int:
+    while group[node] != node:
+        group[node] = group[group[node]]
+        node = group[node]
+    return node
 
 
 def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Pairs of two blocks of one list that lie in different components and may be links."""
+    """Pairs of two blocks of one list that may be links and join different components.
+
+    Sure links are given only as far as they join components that earlier ones have not joined, and others only
+    between what the sure ones leave apart: a block gives no more sure pairs than it has components.
+    """
     names = np.array(table.column("class").to_pylist(), dtype=object)
     labels = np.array(table.column("label").to_pylist(), dtype=object)
     sizes = table.column("n_shingles").to_numpy()
@@ -239,21 +261,33 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
     left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
     out_a, out_b = [], []
     if len(left) and len(right):
-        may = _weigh([sets[i] for i in left], [sets[i] for i in right], sizes[left], sizes[right])
-        may &= labels[left][:, None] != labels[right][None, :]
-        for i, j in zip(*np.nonzero(may)):
-            a, b = sorted((names[left[i]], names[right[j]]))
-            out_a.append(a)
-            out_b.append(b)
+        may, sure = _weigh([sets[i] for i in left], [sets[i] for i in right], sizes[left], sizes[right])
+        _, label = np.unique(labels.astype("S16"), return_inverse=True)
+        apart = label[left][:, None] != label[right][None, :]
+        group = list(range(int(label.max()) + 1))
+        for some, joins in ((sure & apart, True), (may & ~sure & apart, False)):
+            i, j = np.nonzero(some)
+            ends = np.stack([label[left[i]], label[right[j]]], 1)
+            if joins:  # one pair for each two components is enough
+                _, first = np.unique(ends, axis=0, return_index=True)
+                chosen = [first[n] for n in _joining(ends[first].tolist(), group)]
+            else:
+                root = np.array([_root(group, n) for n in range(len(group))])
+                chosen = np.flatnonzero(root[ends[:, 0]] != root[ends[:, 1]])
+            for n in chosen:
+                a, b = sorted((names[left[i[n]]], names[right[j[n]]]))
+                out_a.append(a)
+                out_b.append(b)
     return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
 def _hub_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between classes and the hubs of their lists. ``entries``: value, class, n_shingles, head, weight."""
-    hub = F.struct("weight", F.col("class").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("head").alias("hub_head"))
-    hubs = entries.groupBy(F.col("value").alias("hub_value")).agg(F.max(hub).alias("h")).select("hub_value", "h.*")
+    """Links between classes and the hubs of their lists. ``entries``: value, class, n_shingles, head, weight, copies."""
+    hub = F.struct("weight", "copies", F.col("class").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("head").alias("hub_head"))
+    hubs = entries.groupBy(F.col("value").alias("hub_value")).agg(F.max(hub).alias("h"))
+    hubs = hubs.select("hub_value", "h.hub", "h.hub_size", "h.hub_head")
     pairs = (
-        entries.drop("weight")
+        entries.drop("weight", "copies")
         .join(hubs, F.col("value") == F.col("hub_value"))
         .where((F.col("class") != F.col("hub")) & _may_link("hub_head", "head", "hub_size", "n_shingles"))
         .select(F.col("hub").alias("a"), F.col("class").alias("b"))
@@ -346,9 +380,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(
         rows.where("class IS NOT NULL")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("head").alias("head"))
+        .agg(
+            F.min("doc_id").alias("least_id"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("head").alias("head"),
+            F.count("*").alias("copies"),
+        )
     )
-    listed = classes.select("class", "n_shingles", "head", F.posexplode("head").alias("place", "value"))
+    listed = classes.select("class", "n_shingles", "head", "copies", F.posexplode("head").alias("place", "value"))
     shared = listed.groupBy(F.col("value").alias("list")).agg(F.count("*").alias("members")).where("members > 1")
     entries = stage(listed.join(shared, F.col("value") == F.col("list")).drop("list"))
     suspects = entries.groupBy(F.col("class").alias("suspect")).agg(
@@ -364,7 +403,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = (
         entries.join(labels, F.col("class") == F.col("node"), "left")
         .withColumn("label", F.coalesce("label", "class"))
-        .drop("node", "weight")
+        .drop("node", "weight", "copies")
     )
     more = stage(_verified(_rest_pairs(labelled, sets), sets))
     found = components(links.union(more))
