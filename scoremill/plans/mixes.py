@@ -49,8 +49,10 @@ def recipe_plan(
     listed = listed.join(one_scheme, ["config", "name"], "left_semi")
     sized = stage(mixture.attach_sizes(listed, files))
     ratios = mixture.resolve_ratios(sources, mixture.token_counts(sized, dtype))
+    # a listing may name the same store in another way than the recipe
+    plain = F.regexp_replace(F.regexp_replace("path", "^s3[an]://", "s3://"), "^file:(//)?", "")
     paths = sized.filter(F.col("length").isNotNull()).select(
-        "config", F.col("source").alias("name"), path_fn.source_path(F.col("path")).alias("path")
+        "config", F.col("source").alias("name"), path_fn.source_path(plain).alias("path")
     )
     return mixture.mix_plan(ratios, paths, max_tokens, sequence_length, seed, dtype)
 

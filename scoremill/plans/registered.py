@@ -1363,8 +1363,7 @@ PLAN_TAIL = """CAST(1 AS DOUBLE) AS max_repetition_ratio, CAST(5000 AS BIGINT) A
 )
 def recipe_plan(spark, d):
     recipes = manifests.parse_recipes(_recipe_texts(spark, d))
-    plan = mixes.recipe_plan(recipes, _listed_files(spark, d), 5000, 1024, seed=7)
-    return plan.withColumn("path", F.regexp_replace("path", "^s3a:", "s3:"))
+    return mixes.recipe_plan(recipes, _listed_files(spark, d), 5000, 1024, seed=7)
 
 
 @registered(
@@ -1380,7 +1379,7 @@ def recipe_plan_many(spark, d):
     recipes = manifests.parse_recipes(_recipe_texts(spark, d))
     target = F.when(F.col("config") == "de", F.lit(0.0)).otherwise(F.ascii("config") / 1000)
     plan = mixes.recipe_plan(recipes.withColumn("target_ratio", target), _listed_files(spark, d), 5000, 1024, seed=7)
-    return _rounded(plan.withColumn("path", F.regexp_replace("path", "^s3a:", "s3:")), "ratio")
+    return _rounded(plan, "ratio")
 
 
 @registered(
