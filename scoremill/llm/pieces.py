@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,7 @@ CACHED = 400_000  # chunks a worker remembers before it starts anew; changes no
 CHUNK = 2 << 20  # characters of text worked on at a time
 UNIT = 1_000_000
 PENALTY = 10 * UNIT
+NEVER = 1 << 60
 CHUNKS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 MARK = "▁"  # a blank in the vocabulary file
 ENCODED = (
@@ -46,6 +48,7 @@ ENCODED = (
 @dataclass(frozen=True)
 class Vocabulary:
     pieces: dict[str, tuple[int, int]]  # text -> id, cost
+    costs: dict[str, int]  # of every piece, and -1 for the beginnings of pieces that are none themselves
     byte_ids: tuple[int, ...]
     spelt: int  # cost of a character in byte pieces
     longest: int
@@ -78,36 +81,26 @@ def load(path: str = MODEL) -> Vocabulary:
     spelt = tuple(byte_ids[b] for b in range(256))
     # runs of blanks cost as much as the most frequent piece
     pieces = {p: (i, max(c, round(UNIT * math.log(2)))) for p, (i, c) in pieces.items()}
-    return Vocabulary(pieces, spelt, top + PENALTY, max(map(len, pieces)), tuple(text))
-
-
-def lattice(chunk: str, v: Vocabulary) -> tuple[list[list[tuple[int, int, str]]], list[int], list[int | None]]:
-    """Edges (start, cost, text) by their end, longest first, and the least and second least cost up to each position."""
-    n, pieces, longest = len(chunk), v.pieces, v.longest
-    edges: list = [()]
-    best, second = [0], [None]
-    for end in range(1, n + 1):
-        here, least, next_least = [], None, None
-        for start in range(max(0, end - longest), end):
-            found = pieces.get(chunk[start:end])
-            if found is None:
-                if end - start > 1:
-                    continue
+    costs = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | {p: c for p, (_, c) in pieces.items()}
+    return Vocabulary(pieces, costs, spelt, top + PENALTY, max(map(len, pieces)), tuple(text))
+
+
+def lattice(chunk: str, v: Vocabulary) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """Edges (start, cost) by their end, longest first, and the least cost up to each position."""
+    n = len(chunk)
+    edges: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    best = [0] + [NEVER] * n
+    for start in range(n):
+        for end in range(start + 1, min(n, start + v.longest) + 1):
+            cost = v.costs.get(chunk[start:end])
+            if cost is None:
+                if end > start + 1:
+                    break
                 cost = v.spelt
-            else:
-                cost = found[1]
-            here.append((start, cost))
-            total = best[start] + cost
-            if least is None or total < least:
-                least, next_least = total, least
-            elif next_least is None or total < next_least:
-                next_least = total
-            if second[start] is not None and (next_least is None or second[start] + cost < next_least):
-                next_least = second[start] + cost
-        edges.append(here)
-        best.append(least)
-        second.append(next_least)
-    return edges, best, second
+            if cost >= 0:
+                edges[end].append((start, cost))
+                best[end] = min(best[end], best[start] + cost)
+    return edges, best
 
 
 def _ids(chunk: str, cuts: list[int], v: Vocabulary) -> list[int]:
@@ -122,14 +115,34 @@ def _ids(chunk: str, cuts: list[int], v: Vocabulary) -> list[int]:
 
 
 def best_of(chunk: str, v: Vocabulary) -> tuple[list[int], int, int | None]:
-    """Ids and cost of the best segmentation, and how much more the second best costs (None: there is none)."""
-    edges, best, second = lattice(chunk, v)
-    cuts = [len(chunk)]
+    """Ids and cost of the best segmentation, and how much more the second best costs (None: there is none).
+
+    The forward pass alone, with the least two costs of every position; of equal costs the longer last piece counts.
+    """
+    n, get, longest, spelt = len(chunk), v.costs.get, v.longest, v.spelt
+    best, second, back = [0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1)
+    for start in range(n):
+        here, next_here, last = best[start], second[start], start + longest
+        for end in range(start + 1, (last if last < n else n) + 1):
+            cost = get(chunk[start:end])
+            if cost is None:
+                if end > start + 1:
+                    break
+                cost = spelt
+            elif cost < 0:
+                continue
+            total = here + cost
+            if total < best[end]:
+                other = next_here + cost
+                second[end] = best[end] if best[end] < other else other
+                best[end] = total
+                back[end] = start
+            elif total < second[end]:
+                second[end] = total
+    cuts = [n]
     while cuts[-1]:
-        end = cuts[-1]
-        cuts.append(next(start for start, cost in edges[end] if best[start] + cost == best[end]))
-    more = None if second[-1] is None else second[-1] - best[-1]
-    return _ids(chunk, cuts[::-1], v), best[-1], more
+        cuts.append(back[cuts[-1]])
+    return _ids(chunk, cuts[::-1], v), best[n], second[n] - best[n] if second[n] < NEVER else None
 
 
 def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, list[int]]]:
@@ -139,7 +152,7 @@ def n_best(chunk: str, n: int, v: Vocabulary) -> list[tuple[int, list[int]]]:
     is the cost of its best completion. Of equal totals the one found last is expanded first, and longer pieces
     before shorter ones, so the first result is that of ``best_of``.
     """
-    edges, best, _ = lattice(chunk, v)
+    edges, best = lattice(chunk, v)
     heap = [(best[-1], 0, len(chunk), 0, None)]
     pushed, out = 0, []
     while heap and len(out) < n:
@@ -177,7 +190,8 @@ class Encoder:
                 encoder.more.append(-1 if more is None else more)
                 return row
 
-        self.rows, self.ids, self.starts, self.costs, self.more = Rows(), [], [0], [], []
+        self.rows = Rows()
+        self.ids, self.starts, self.costs, self.more = array("i"), array("q", [0]), array("q"), array("q")
         self.searched: dict[str, list] = {}
 
     def others(self, chunks: list[str], more: np.ndarray, places: np.ndarray) -> list[tuple[int, list]]:
@@ -219,13 +233,12 @@ class Encoder:
         counts = np.array([len(c) for c in chunks], np.int64)
         get = self.rows.__getitem__
         rows = np.fromiter((get(c) for text in chunks for c in text), np.int64, counts.sum())
-        starts = np.array(self.starts, np.int64)
+        starts = np.array(self.starts)
         lengths = starts[rows + 1] - starts[rows]
         places = np.concatenate([[0], np.cumsum(lengths)])
         pick = np.repeat(starts[rows] - places[:-1], lengths) + np.arange(places[-1])
-        ids = np.array(self.ids, np.int32)[pick]
-        costs = np.array(self.costs, np.int64)[rows]
-        more = np.array(self.more, np.int64)[rows]
+        ids = np.frombuffer(self.ids, np.int32)[pick] if len(pick) else np.zeros(0, np.int32)
+        costs, more = (np.frombuffer(x, np.int64)[rows] if len(rows) else rows for x in (self.costs, self.more))
         ends = np.concatenate([[0], np.cumsum(counts)])
         sums = np.concatenate([[0], np.cumsum(costs)])
         scores, others = [], []
