@@ -34,12 +34,13 @@ TAG = r"<[A-Za-z/!?][^>]*>"
 
 def digest(text: Column) -> Column:
     """SHA-1 of the UTF-8 bytes in base 32, as WARC headers carry it."""
-    quarters = [F.lpad(F.conv(F.substring(F.sha1(text), 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
-    # base 32 there counts 0-9 and then letters, here letters and then 2-7
-    return F.concat(
-        F.lit("sha1:"),
-        F.translate(F.upper(F.concat(*quarters)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    )
+    def coded(h: Column) -> Column:
+        quarters = [F.lpad(F.conv(F.substring(h, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
+        # base 32 there counts 0-9 and then letters, here letters and then 2-7
+        digits, letters = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+        return F.concat(F.lit("sha1:"), F.translate(F.upper(F.concat(*quarters)), digits, letters))
+
+    return F.transform(F.array(F.sha1(text)), coded)[0]  # the text is hashed once
 
 
 def identifier(*parts: Column) -> Column:
