@@ -22,8 +22,12 @@ DATE = "2026-01-01T00:00:00Z"
 CRLF = "\r\n"
 HTML = r"(?i)^\s*(text/html|application/xhtml\+xml)"
 PLAIN = r"(?i)^\s*text/plain"
-# Elements without text for a reader, and comments; an element that is never closed runs to the end.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\z)"
+# Elements without text for a reader, and comments; an element that is never closed runs to the end. A name ends at white
+# space, a slash or >, so <svg-icon> is none of them, and <svg/> has no content.
+HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<svg(?:\s[^>]*)?/>"
+    r"|<(script|style|noscript|template|svg)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
+)
 BLOCKS = (
     "address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|"
     "header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"

@@ -99,3 +99,16 @@ def test_whole_table(spark):
     texts = {r["page_id"]: r["html"] for r in pages.collect()}
     out = warc.derive(warc.responses(pages)).where("warc_type = 'conversion'").collect()
     assert {r["page_id"]: r["block"] for r in out} == {i: plain(t) for i, t in texts.items()}
+
+
+def test_custom_elements_and_empty_svg(spark):
+    pages = {
+        1: "<p>a <svg-icon name='x'></svg-icon>b</p><p>c</p>",
+        2: "<p>a <svg viewBox='0 0 1 1' />b<svg/>c</p><svg\nwidth='1'\n/>d",
+        3: "<template-card>a</template-card> <style-guide>b</style-guide> c",
+        4: "a<svg><path d='M0'/><text>drawn</text></svg>b<SCRIPT src='x/'>s</SCRIPT >c<style\n>t</style>d",
+        5: "a<svg class='x'>drawn, never closed",
+    }
+    rows = spark.createDataFrame([(i, "u", t) for i, t in pages.items()], "page_id long, url string, html string")
+    out = warc.derive(warc.responses(rows)).where("warc_type = 'conversion'").collect()
+    assert {r["page_id"]: r["block"] for r in out} == {1: "a b\nc", 2: "a bc\nd", 3: "a b c", 4: "abcd", 5: "a"}
