@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
+from scoremill.llm import alignment, fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op1_warc_derivatives(spark, d):
 @registered("op8_toxicity_chain")
 def op8_toxicity_chain(spark, d):
     return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@registered("op13_token_alignment")
+def op13_token_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"))
