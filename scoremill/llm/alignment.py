@@ -36,6 +36,7 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 LANE = 1000  # characters of a lane at least, where a text is longer
 BORDER = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 UNBROKEN = re.compile(r"\S{2000}|\s{2000}")
+COMPACT = 16  # steps between two compactions
 GROUP = 1 << 16  # links of a group that are listed one by one; larger groups are counted by distinct ids
 BITS = 20  # of an id of B within the code of a pair
 # Fixed value: the byte-level pre-tokenizer's pattern.
@@ -88,11 +89,12 @@ class ByteLevel:
         tokenizer.encode_special_tokens = True
         return tokenizer
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a blank and the text."""
         # the fast one needs quadratic time for a long string without a break; both give the same ids
         if UNBROKEN.search(text):
-            return self._slow.encode(text, add_special_tokens=False).ids
-        return self._fast.encode_ordinary(text)
+            return np.array(self._slow.encode(f" {text}", add_special_tokens=False).ids, np.int64)
+        return self._fast.encode_to_numpy(f" {text}", disallowed_special=())
 
 
 class Pieces:
@@ -109,8 +111,9 @@ class Pieces:
             if re.search("[^▁]▁", piece):
                 raise ValueError(f"piece {piece!r} goes over the border of a lane")
 
-    def encode(self, text: str) -> list[int]:
-        return self._model.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a blank and the text."""
+        return np.array(self._model.encode(text), np.int64)
 
 
 def lanes(text: str, least: int = LANE) -> list[str]:
@@ -134,24 +137,29 @@ class Tokens:
 def lockstep(a: Tokens, b: Tokens) -> np.ndarray:
     """Groups of all lanes: columns first and last A token (end exclusive), first and last B token, in text order.
 
-    Both sides of every lane hold the same bytes and offsets run on over the lanes. A lane without tokens has no group.
+    Both sides of every lane hold the same bytes, and offsets run on over the lanes. So a lane that is done may run on
+    into the next, whose cuts it repeats, until it is compacted away.
     """
-    state = np.stack([a.starts[:-1], b.starts[:-1], a.starts[:-1], b.starts[:-1], a.starts[1:]])
-    state = state[:, state[0] < state[4]]
-    emitted = [np.zeros((4, 0), np.int64)]
-    while state.shape[1]:
-        end_a, end_b = a.ends[state[0]], b.ends[state[1]]
-        state[0] += end_a <= end_b
-        state[1] += end_b <= end_a
-        cut = np.flatnonzero(end_a == end_b)
-        if len(cut):
-            closed = state[:, cut]
-            emitted.append(closed[[2, 0, 3, 1]])
-            state[2:4, cut] = closed[:2]
-            if (closed[0] == closed[4]).any():
-                state = state[:, state[0] < state[4]]
-    groups = np.concatenate(emitted, axis=1)
-    return groups[:, np.argsort(groups[0])]
+    at_a, at_b, stop = a.starts[:-1], b.starts[:-1], a.starts[1:]
+    room = np.full(COMPACT, np.iinfo(np.int64).max)
+    ends_a, ends_b = np.concatenate([a.ends, room]), np.concatenate([b.ends, room])
+    cuts_a, cuts_b = np.zeros(len(ends_a) + 1, bool), np.zeros(len(ends_b) + 1, bool)
+    while True:
+        left = np.flatnonzero(at_a < stop)
+        if not len(left):
+            break
+        at_a, at_b, stop = at_a[left], at_b[left], stop[left]
+        for _ in range(COMPACT):
+            end_a, end_b = ends_a[at_a], ends_b[at_b]
+            move_a, move_b = end_a <= end_b, end_b <= end_a
+            at_a += move_a
+            at_b += move_b
+            cut = move_a & move_b
+            cuts_a[at_a[cut]] = True
+            cuts_b[at_b[cut]] = True
+    last_a, last_b = np.flatnonzero(cuts_a[: len(a.ends) + 1]), np.flatnonzero(cuts_b[: len(b.ends) + 1])
+    first = lambda last: np.concatenate([np.zeros(1, np.int64), last])[:-1]
+    return np.stack([first(last_a), last_a, first(last_b), last_b])
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -184,45 +192,52 @@ class Aligner:
     def __init__(self, a_file: str, b_file: str):
         self.a, self.b = ByteLevel(a_file), Pieces(b_file)
         self.long = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.a, self.b)]
-        # every token's number with what may follow it
-        self.names = [[f"{i}{mark}" for i in range(len(side.bytes)) for mark in marks] for side, marks in ((self.a, ",|"), (self.b, ",;"))]
+        # every token's number with what may follow it; zero bytes behind are taken away when they are joined
+        names = [f"{i}{mark}" for side, marks in ((self.a, ",|"), (self.b, ",;")) for i in range(len(side.bytes)) for mark in marks]
+        self.names = np.array(names, "S8")
+        flat = [np.frombuffer(b"".join(side.bytes), np.uint8) for side in (self.a, self.b)]
+        self.flat = [(f, np.cumsum(long) - long) for f, long in zip(flat, self.long)]
 
     def tokens(self, texts: list[str | None]) -> tuple[Tokens, Tokens, np.ndarray]:
         """Tokens of both sides by lanes, and the document of each lane. Documents that differ have no lanes."""
-        kept, owner = ([], []), []
-        for d, text in enumerate(texts):
-            sides = ([], [])
-            for part in lanes(text) if text else ():
-                raw = b" " + part.encode()
-                a, b = self.a.encode(" " + part), self.b.encode(part)
-                if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
-                    break
-                sides[0].append(np.array(a, np.int64))
-                sides[1].append(np.array(b, np.int64))
-            else:
-                kept[0].extend(sides[0])
-                kept[1].extend(sides[1])
-                owner += [d] * len(sides[0])
+        parts = [lanes(t) if t else [] for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        raw = [b" " + part.encode() for p in parts for part in p]
+        lengths = np.array([len(r) for r in raw], np.int64)
+        whole = np.frombuffer(b"".join(raw), np.uint8)
+        sides, same = [], np.ones(len(raw), bool)
+        for side, long, (flat, first) in zip((self.a, self.b), self.long, self.flat):
+            found = [side.encode(part) for p in parts for part in p]
+            starts = np.cumsum([0, *map(len, found)])
+            ids = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
+            sizes = blocks.totals(long[ids], np.diff(starts))
+            same &= sizes == lengths
+            fits = np.flatnonzero(sizes == lengths)
+            mine = np.repeat(sizes == lengths, np.diff(starts))
+            spelt = flat[spread(first[ids[mine]], long[ids[mine]])]
+            meant = whole if len(fits) == len(raw) else whole[np.repeat(sizes == lengths, lengths)]
+            wrong = np.flatnonzero(spelt != meant)
+            same[fits[np.searchsorted(np.cumsum(lengths[fits]), wrong, "right")]] = False
+            sides.append((ids, starts))
+        differ = np.unique(owner[~same])
+        kept = ~np.isin(owner, differ)
         out = []
-        for long, parts in zip(self.long, kept):
-            ids = np.concatenate([np.zeros(0, np.int64), *parts])
-            starts = np.cumsum([0, *map(len, parts)])
-            out.append(Tokens(ids, np.cumsum(long[ids]), starts))
-        return out[0], out[1], np.array(owner, np.int64)
-
-    def written(self, groups: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Tokens of all groups in the order of the written form, each with the mark behind it; their places for A."""
+        for long, (ids, starts) in zip(self.long, sides):
+            counts = np.diff(starts)
+            ids = ids[np.repeat(kept, counts)]
+            out.append(Tokens(ids, np.cumsum(long[ids]), np.cumsum(np.concatenate([np.zeros(1, np.int64), counts[kept]]))))
+        return out[0], out[1], owner[kept]
+
+    def written(self, groups: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens of all groups in the order of the written form, each with the mark behind it."""
         n_a, n_b = groups[1] - groups[0], groups[3] - groups[2]
         at_a = np.arange(len(a)) + np.repeat(groups[2], n_a)
         at_b = np.arange(len(b)) + np.repeat(groups[1], n_b)
         number = np.zeros(len(a) + len(b), np.int64)
-        number[at_a], number[at_b] = a * 2, b * 2
+        number[at_a], number[at_b] = a * 2, (b + len(self.a.bytes)) * 2
         number[groups[1] - 1 + groups[2]] += 1
         number[groups[3] - 1 + groups[1]] += 1
-        side = np.zeros(len(number), bool)
-        side[at_b] = True
-        number[side] += len(self.names[0])
-        return list(map((self.names[0] + self.names[1]).__getitem__, number.tolist())), at_a
+        return self.names[number]
 
     def align(self, block: pa.RecordBatch, number: int) -> Iterator[pa.RecordBatch]:
         """Rows of the documents of a block, and one with its distinct pairs and the documents that hold each."""
@@ -235,10 +250,10 @@ class Aligner:
         n_a, n_b = groups[1] - groups[0], groups[3] - groups[2]
         count = lambda weights=None: np.bincount(of_group, weights, n).astype(np.int64)
         sums = {"n_a": count(n_a), "n_b": count(n_b), "n_groups": count(), "n_links": count(n_a * n_b)}
-        names, _ = self.written(groups, a.ids, b.ids)
+        names = self.written(groups, a.ids, b.ids)
         ends = np.cumsum(sums["n_a"] + sums["n_b"])
         digests = [
-            hashlib.sha256("".join(names[e - k : e])[:-1].encode()).hexdigest() if k else ""
+            hashlib.sha256(names[e - k : e].tobytes().translate(None, b"\0")[:-1]).hexdigest() if k else ""
             for e, k in zip(ends.tolist(), (sums["n_a"] + sums["n_b"]).tolist())
         ]
         group, code, times = linked(groups, a.ids, b.ids)

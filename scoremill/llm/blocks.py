@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 8 << 20  # bytes of text of a block; a longer text is a block by itself
+BLOCK = 2 << 20  # bytes of text of a block; a longer text is a block by itself
 
 
 def numbers() -> Iterator[int]:

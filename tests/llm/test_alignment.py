@@ -109,7 +109,7 @@ def test_lanes_keep_tokens(tokenizers):
     assert [i for p in parts for i in a.encode(" " + p).ids] == a.encode(" " + text).ids
     assert [i for p in parts for i in b.encode(p)] == b.encode(text)
     side = alignment.ByteLevel(alignment.A_FILE)
-    assert side.encode(" " + text) == a.encode(" " + text).ids
+    assert side.encode(text).tolist() == a.encode(" " + text).ids
 
 
 def test_large_groups_by_distinct_ids(monkeypatch):
