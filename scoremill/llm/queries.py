@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import alignment, fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
+from scoremill.llm import alignment, filter_audit, fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op8_toxicity_chain(spark, d):
 @registered("op13_token_alignment")
 def op13_token_alignment(spark, d):
     return alignment.align(table(spark, d, "documents"))
+
+
+@registered("op11_filter_audit", filter_audit.SQL)
+def op11_filter_audit(spark, d):
+    return filter_audit.audit(spark, f"{d}/documents.parquet", table(spark, d, "labels"))
