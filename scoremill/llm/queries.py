@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoremill.llm import alignment, filter_audit, fingerprints, language, licenses, mixing, neardup, neighbours, pieces, secrets, toxicity, warc
+from scoremill.llm import (
+    alignment,
+    attention,
+    filter_audit,
+    fingerprints,
+    language,
+    licenses,
+    mixing,
+    neardup,
+    neighbours,
+    pieces,
+    secrets,
+    toxicity,
+    warc,
+)
 from scoremill.llm.words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +122,8 @@ def op13_token_alignment(spark, d):
 @registered("op11_filter_audit", filter_audit.SQL)
 def op11_filter_audit(spark, d):
     return filter_audit.audit(spark, f"{d}/documents.parquet", table(spark, d, "labels"))
+
+
+@registered("op12_attention_scores")
+def op12_attention_scores(spark, d):
+    return attention.score(table(spark, d, "documents"))
