@@ -68,5 +68,5 @@ def give_back(documents: DataFrame, values: DataFrame, work, schema: str) -> Dat
         return work(left, right.sort_by("place"))
 
     # renamed, as both sides come from one written table
-    documents, values = documents.withColumnRenamed("block", "_mine"), values.withColumnRenamed("block", "_theirs")
+    documents, values = documents.withColumn("_mine", F.col("block")), values.withColumnRenamed("block", "_theirs")
     return documents.groupBy("_mine").cogroup(values.groupBy("_theirs")).applyInArrow(both, schema)
