@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from scoremill.functions import display, metrics, names, paths, tags
 from scoremill.functions.patterns import compile_filters
 from scoremill.operators import cells as cell_ops
-from scoremill.operators import coverage, manifest, mixture, ordering, suites
+from scoremill.operators import contamination, coverage, manifest, mixture, ordering, quality, sequences, suites
 from scoremill.operators import experiments as exp
 from scoremill.operators.newest import newest
 from scoremill.plans import bindings as b
 from scoremill.plans import dashboard, mixes
-from scoremill.session import shared_dir, stage
+from scoremill.session import local_table, shared_dir, stage
 from scoremill.sources import export, landing, manifests, records
 from scoremill.streaming import incremental
 
@@ -1413,6 +1413,129 @@ def weight_comparison(spark, d):
     return _rounded(mixture.compare_weights(natural, target), "natural", "target")
 
 
+# ---- documents for training ----------------------------------------------------------------------
+
+GRAMS = r"""
+WITH t AS (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM {table}),
+s AS (SELECT *, unnest(range(1, CAST(len(w) AS INTEGER) - 11)) AS i FROM t)
+SELECT DISTINCT {id}, array_to_string(w[i:i + 12], ' ') AS gram FROM s"""
+HITS = f"""
+WITH d AS ({GRAMS.format(id="doc_id", table="documents")}), b AS ({GRAMS.format(id="item_id", table="benchmark")}),
+  n AS (SELECT item_id, count(*) AS item_grams FROM b GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS hits, max(item_grams) AS item_grams, count(*) / max(item_grams) AS ratio
+FROM d JOIN b USING (gram) JOIN n USING (item_id) GROUP BY doc_id, item_id"""
+
+
+@registered("contamination", HITS)
+def contaminated_pairs(spark, d):
+    return contamination.contamination(b.table(spark, d, "documents"), b.table(spark, d, "benchmark"))
+
+
+@registered("decontaminate", f"SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({HITS}) AS h)")
+def decontaminated(spark, d):
+    return contamination.decontaminate(b.table(spark, d, "documents"), b.table(spark, d, "benchmark"))
+
+
+@registered("decontaminate_half", f"SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({HITS}) AS h WHERE ratio > 0.5)")
+def decontaminated_half(spark, d):
+    """Only documents that hold more than half of an item go."""
+    return contamination.decontaminate(b.table(spark, d, "documents"), b.table(spark, d, "benchmark"), least=0.5)
+
+
+LAID = """SELECT doc_id, text, coalesce(n_chars, 0) AS size,
+  CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents"""
+
+
+@registered("size_shards", f'SELECT doc_id, size, start, start // 100000 AS shard FROM ({LAID}) AS l')
+def size_shards(spark, d):
+    laid = sequences.lay_out(b.table(spark, d, "documents"), F.col("n_chars"))
+    return sequences.shards(laid, 100_000).select("doc_id", "size", "start", "shard")
+
+
+PIECES = f"""
+WITH l AS ({LAID}), s AS (SELECT *, unnest(range(start // 2048, (start + size - 1) // 2048 + 1)) AS sequence FROM l WHERE size > 0)
+SELECT sequence, greatest(start, sequence * 2048) - sequence * 2048 AS at, doc_id, greatest(start, sequence * 2048) - start AS "begin",
+  least(start + size, (sequence + 1) * 2048) - greatest(start, sequence * 2048) AS size FROM s"""
+
+
+@registered("sequence_pieces", PIECES)
+def sequence_pieces(spark, d):
+    """Which part of which document lies where in sequences of 2,048, the short one at the end included."""
+    laid = stage(sequences.lay_out(b.table(spark, d, "documents"), F.col("n_chars")))
+    return sequences.pieces(laid, 2048, tail=True).drop("key", "copy")
+
+
+@registered(
+    "packed_sequences",
+    """WITH whole AS (SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents),
+    s AS (SELECT t, unnest(range(0, length(t) // 2048)) AS sequence FROM whole)
+    SELECT sequence, md5(substring(t, sequence * 2048 + 1, 2048)) AS value FROM s""",
+)
+def packed_sequences(spark, d):
+    packed = sequences.pack(b.table(spark, d, "documents"), "text", 2048)
+    return packed.select("sequence", F.md5("value").alias("value"))
+
+
+@registered(
+    "padded_documents",
+    r"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'), lambda x: unicode(x)) AS w FROM documents)
+    SELECT doc_id, array_to_string(list_resize(w[1:256], 256, 0), ',') AS ids, CAST(least(len(w), 256) AS INTEGER) AS n FROM w""",
+)
+def padded_documents(spark, d):
+    """First code points of tokens as ids, one row of 256 per document."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"), F.lit(0))
+    ids = b.table(spark, d, "documents").select("doc_id", F.transform(found, F.ascii).alias("w"))
+    padded = sequences.pad(F.col("w"), 256, F.lit(0))
+    return ids.select("doc_id", F.array_join(padded, ",").alias("ids"), F.least(F.size("w"), F.lit(256)).alias("n"))
+
+
+RULES = (
+    ("empty", "text IS NULL OR text = ''"),
+    ("short", "n_chars < 200"),
+    ("long", "n_chars > 20000"),
+    ("no sentence", r"NOT text LIKE '%.%'"),
+    ("shouting", "length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) * 10 < length(text) * 9"),
+    ("symbols", "length(translate(text, '#{}<>|*', '')) * 50 < length(text) * 49"),
+)
+REASONS = "SELECT doc_id, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in RULES) + " END AS reason FROM documents"
+
+
+@registered("rule_reasons", REASONS)
+def rule_reasons(spark, d):
+    return quality.with_reason(b.table(spark, d, "documents"), RULES).select("doc_id", "reason")
+
+
+@registered("rule_counts", f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM ({REASONS}) AS r GROUP BY 1")
+def rule_counts(spark, d):
+    """Counted while the rows are written: the documents are read once."""
+    rows, watch = quality.counted(quality.with_reason(b.table(spark, d, "documents"), RULES), RULES)
+    stage(rows.where("reason IS NULL").drop("reason"))
+    return local_table(spark, [(k, n) for k, n in watch.get.items() if n], "reason string, n long")
+
+
+@registered(
+    "best_share",
+    """SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r,
+      count(*) OVER (PARTITION BY source) AS n FROM documents) AS x WHERE r <= ceil(n * 0.3)""",
+)
+def best_share(spark, d):
+    """The 30 percent of every source with the longest documents."""
+    docs = b.table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return quality.best_share(docs, 0.3, score="n_chars")
+
+
+@registered(
+    "best_labelled",
+    """SELECT doc_id, quality FROM (SELECT d.doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY quality DESC, d.doc_id) AS r,
+      count(*) OVER (PARTITION BY source) AS n FROM documents AS d JOIN labels USING (doc_id) WHERE quality IS NOT NULL) AS x
+    WHERE r <= ceil(n * 0.5)""",
+)
+def best_labelled(spark, d):
+    """The better half of every source by a score of two values, so that nearly all are ties."""
+    docs = b.table(spark, d, "documents").select("doc_id", "source").join(b.table(spark, d, "labels"), "doc_id")
+    return quality.best_share(docs, 0.5, score="quality").select("doc_id", "quality")
+
+
 # ---- sinks ---------------------------------------------------------------------------------------
 
 
