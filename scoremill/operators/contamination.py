@@ -97,4 +97,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, least: float =
     grams = stage(item_grams(items, n))
     hits = shared_grams(docs, grams, n).distinct().groupBy("doc_id", "key", "item_id", "item_grams").agg(F.count("*").alias("hits"))
     bad = hits.where(F.col("hits") / F.col("item_grams") > least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(bad, F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_key") == text_key(docs["text"])), "left_anti")
+    return docs.join(bad, bad["_id"].eqNullSafe(docs["doc_id"]) & (bad["_key"] == text_key(docs["text"])), "left_anti")

@@ -20,7 +20,7 @@ from scoremill.operators.newest import newest
 from scoremill.plans import bindings as b
 from scoremill.plans import dashboard, mixes
 from scoremill.session import local_table, shared_dir, stage
-from scoremill.sources import export, landing, manifests, records
+from scoremill.sources import export, landing, manifests, records, token_shards
 from scoremill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1489,6 +1489,23 @@ def padded_documents(spark, d):
     return ids.select("doc_id", F.array_join(padded, ",").alias("ids"), F.least(F.size("w"), F.lit(256)).alias("n"))
 
 
+@registered(
+    "token_shards",
+    r"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'), lambda x: unicode(x)) AS w FROM documents)
+    SELECT doc_id, len(w) AS n, coalesce(CAST(list_sum(w) AS BIGINT), 0) AS total, md5(array_to_string(w[1:50], ',')) AS head FROM w""",
+)
+def written_token_shards(spark, d):
+    """Tokens of all documents written as shards in the order of ids, and read back."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"), F.lit(0))
+    tokens = b.table(spark, d, "documents").select("doc_id", F.transform(found, F.ascii).alias("tokens"))
+    path = shared_dir(spark)
+    token_shards.write(tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path, 100_000)
+    back = token_shards.read(spark, path)
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x)
+    head = F.md5(F.array_join(F.slice("tokens", 1, 50), ","))
+    return back.select("doc_id", F.size("tokens").cast("long").alias("n"), total.alias("total"), head.alias("head"))
+
+
 RULES = (
     ("empty", "text IS NULL OR text = ''"),
     ("short", "n_chars < 200"),
