@@ -233,6 +233,33 @@ def test_an_experiment_may_arrive_in_parts(spark):
     assert state(spark, table) == [("a", 0, 1.0), ("a", 1, 2.0)]
 
 
+def test_evicted_experiment_lands_again_in_the_same_batch(spark):
+    table = shared_dir(spark)
+    landing.land(spark, table, batch(spark, [("e1", 0, 1.0), ("e2", 0, 1.0)]), 0)
+    landing.evict(spark, table, batch(spark, [("e1", 0, 0.0)]))
+    landing.land(spark, table, batch(spark, [("e1", 0, 1.0), ("e2", 0, 1.0)]), 0)
+    assert state(spark, table) == [("e1", 0, 1.0), ("e2", 0, 1.0)]
+
+
+def test_repeated_records_land_once_however_cut(spark):
+    one, two = shared_dir(spark), shared_dir(spark)
+    rows = [("a", 0, 1.0), ("a", 0, 1.0), ("b", 0, 2.0), ("b", 0, 3.0)]
+    landing.land(spark, one, batch(spark, rows), 0)
+    landing.land(spark, two, batch(spark, rows[:3]), 0)
+    landing.land(spark, two, batch(spark, rows[3:]), 1)
+    assert state(spark, one) == state(spark, two) == [("a", 0, 1.0), ("b", 0, 2.0)]
+
+
+def test_lost_load_leaves_nothing(spark):
+    table = shared_dir(spark)
+    landing.land(spark, table, batch(spark, [("a", 0, 1.0)]), 0)
+    # records that were written, by a job lost before its entry in the log
+    batch(spark, [("b", 0, 1.0)]).write.parquet(f"{table}/records/load=l-lost")
+    assert state(spark, table) == [("a", 0, 1.0)]
+    landing.land(spark, table, batch(spark, [("b", 0, 1.0)]), 1)
+    assert state(spark, table) == [("a", 0, 1.0), ("b", 0, 1.0)]
+
+
 def test_writers_keep_to_their_folders(spark):
     table = shared_dir(spark)
     landing.land(spark, table, batch(spark, [("a", 0, 1.0)]), 0, writer="one")
