@@ -90,16 +90,15 @@ def pack(docs: DataFrame, text: str, length: int, tail: bool = False, doc_id: st
     """
     is_array = docs.schema[text].dataType.typeName() == "array"
     column = F.col(text)
-    size = F.size(column) if is_array else F.length(column)
+    size_of = F.size if is_array else F.length
     digest = F.array_join(column.cast("array<string>"), ",", "null") if is_array else column
-    own = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("text"), column.alias("value"), size.alias("size"))
-    own = stage(own)
+    own = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("text"), column.alias("value"), size_of(column).alias("size"))
     laid = stage(lay_out(own, F.col("size")))
-    # one row of each group of copies carries the value to all of them
-    values = own.select("doc_id", row_key().alias("key"), "value").dropDuplicates(["doc_id", "key"])
-    values = values.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "value")
-    cut = pieces(laid, length, tail).withColumnRenamed("size", "n")
-    joined = cut.join(values, cut["doc_id"].eqNullSafe(F.col("_id")) & (cut["key"] == F.col("_key")))
+    # one key without nulls, so that copies are dropped and joined in one exchange; a row carries its value to all copies
+    joint = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key").alias("joint")
+    values = own.select("doc_id", row_key().alias("key"), "value").where(size_of("value") > 0).select(joint, "value").dropDuplicates(["joint"])
+    cut = pieces(laid, length, tail).select("sequence", "at", "begin", F.col("size").alias("n"), joint)
+    joined = cut.join(values, "joint")
     part = F.slice("value", F.col("begin") + 1, F.col("n")) if is_array else F.expr("substring(value, cast(begin as int) + 1, cast(n as int))")
     listed = F.sort_array(F.collect_list(F.struct("at", part.alias("part"))))
     whole = F.flatten(F.transform("listed", lambda x: x["part"])) if is_array else F.concat_ws("", F.transform("listed", lambda x: x["part"]))
