@@ -94,3 +94,15 @@ def best_share(rows: DataFrame, share: float, source: str = "source", score: str
     stays = (value < F.col("cut")) | ((value == F.col("cut")) & own.isNotNull() & (F.col("last").isNull() | (own <= F.col("last"))))
     joined = rows.join(cuts, F.col(source).eqNullSafe(F.col("_source")))
     return joined.where(finite & own.isNotNull() & stays).select(*(rows[c] for c in rows.columns))
+
+
+def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, first_id, copies) for every row: the smallest id with the same text, and how many rows have it.
+
+    Texts are compared by a 256-bit digest, counted before the shuffle, so a text of a third of all rows is one row per
+    task. A null text is a text of its own; null ids are never the smallest unless there is no other.
+    """
+    digest = F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return rows.join(texts, "digest").select("doc_id", "first_id", "copies")

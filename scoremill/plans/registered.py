@@ -1553,6 +1553,14 @@ def best_labelled(spark, d):
     return quality.best_share(docs, 0.5, score="quality").select("doc_id", "quality")
 
 
+@registered(
+    "exact_copies",
+    "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies FROM documents",
+)
+def exact_copies(spark, d):
+    return quality.exact_copies(b.table(spark, d, "documents"))
+
+
 # ---- sinks ---------------------------------------------------------------------------------------
 
 

@@ -151,6 +151,17 @@ def test_best_share(spark):
     assert quality.best_share(df.limit(0), 0.5).count() == 0
 
 
+def test_exact_copies(spark):
+    rows = [(3, "a"), (1, "a"), (None, "a"), (2, "A"), (None, None), (7, None), (8, ""), (1, "a")] + [(10 + i, "hot") for i in range(200)]
+    got = Counter(tuple(r) for r in quality.exact_copies(docs_of(spark, rows)).collect())
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[t].append(i)
+    least = {t: min((i for i in ids if i is not None), default=None) for t, ids in texts.items()}
+    assert got == Counter((i, least[t], len(texts[t])) for i, t in rows)
+    assert quality.exact_copies(docs_of(spark, [])).count() == 0
+
+
 def test_token_shards_round_trip(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i, [rng.randrange(70_000) for _ in range(rng.choice([0, 2, 40, 400]))]) for i in range(300)] + [(None, [1]), (7, None)]
