@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoremill.llm.arrays import bytes_of, small_batches
@@ -374,8 +374,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles, or the whole sequence of a shorter text. Rows are linked if their sets share 75 percent of their
     union. ``component_id`` is the smallest doc_id a row reaches, ``kept`` marks the row that has it. A null or
     empty text has no shingles, is linked with nothing and is kept. A component without any doc_id keeps its rows.
-    Repeated rows are copies of each other and share one component. Extra columns are ignored.
+    Repeated rows are copies of each other and share one component. Extra columns are ignored. An empty table gives
+    an empty result; texts of any length are read whole.
     """
+    return _decided(docs).drop("class")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """What :func:`near_duplicates` returns, with each row's class."""
     rows = stage(heads(docs))
     classes = stage(
         rows.where("class IS NOT NULL")
@@ -422,19 +428,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(
             "doc_id",
             "n_shingles",
+            "class",
             F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         )
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
 
 
+def _classes(texts: pa.Array) -> pa.Array:
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return pa.array([_class(s) for _, _, sets in _sets(batch) for s in sets], pa.binary())
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, all columns unchanged.
 
-    The row with the smallest doc_id of its group stays. Of rows that repeat both doc_id and text one stays.
+    Every row's own decision counts: the row with the smallest doc_id of its group stays, and rows without a doc_id go
+    where their group has one. In a group without any doc_id one row of each set of shingles stays. Of rows that repeat
+    a doc_id with the same set, or the same text without words, one stays. Texts are read whole; an empty table gives
+    an empty result, and extra columns go along, whatever their names.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"))
-    stays = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    same = Window.partitionBy("id", F.md5("doc.text")).orderBy(F.lit(0))
-    return stays.withColumn("no", F.row_number().over(same)).where("no = 1").select("doc.*")
+    kept = _decided(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("class").alias("kept_class"))
+    class_of = F.arrow_udf(_classes, "binary").asNondeterministic()
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        docs["doc_id"].alias("id"),
+        class_of(docs["text"]).alias("set"),
+    )
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & F.col("set").eqNullSafe(F.col("kept_class"))
+    stays = whole.join(kept.distinct(), same, "left_semi")
+    wordless = F.when(F.col("set").isNull(), F.md5(F.col("doc.text").cast("binary")))
+    return stays.groupBy("id", "set", wordless).agg(F.first("doc").alias("doc")).select("doc.*")
