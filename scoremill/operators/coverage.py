@@ -11,8 +11,8 @@ from scoremill.functions.patterns import Filter, compile_filters, matches_any
 from scoremill.operators.suites import SuiteBook
 from scoremill.session import local_table
 
-# Tasks computed along with others, which are never launched on their own.
-NOT_LAUNCHED = (r"^mmlu_.*:bpb::olmes$", r"^lambada:bpb$", r"^.*:pass_at_.*$")
+# Tasks computed along with others, which are never launched on their own.
+NOT_LAUNCHED = (r"^.*:pass_at_.*$",)
 # Launch class by the first text a task name contains; the last class is the rest.
 LAUNCH_CLASSES = ((":rc::", "rc"), (":mc::", "mc"), ("fim_", "fim"))
 OTHER_CLASS = "gen"
@@ -84,14 +84,16 @@ def launch_class(task: Column) -> Column:
     return F.coalesce(*found, F.lit(OTHER_CLASS))
 
 
-def work_list(missing: DataFrame, partition_size: int = 0) -> DataFrame:
+def work_list(
+    missing: DataFrame, partition_size: int = 0, not_launched: Sequence[str] = NOT_LAUNCHED
+) -> DataFrame:
     """``model, launch_class, chunk, task``: what to run, in chunks of ``partition_size``.
 
-    Tasks are distinct and sorted within a model and class; size 0 makes one chunk. Tasks that are
-    never launched alone are left out.
+    Tasks are distinct and sorted within a model and class; size 0 makes one chunk. Tasks that
+    match a pattern of ``not_launched`` are computed along with others and left out.
     """
     excluded = F.lit(False)
-    for pattern in NOT_LAUNCHED:
+    for pattern in not_launched:
         excluded = excluded | F.col("task").rlike(pattern)
     todo = missing.filter(~excluded).select("model", "task").distinct()
     todo = todo.withColumn("launch_class", launch_class(F.col("task")))

@@ -129,13 +129,14 @@ def backfill(
     book: SuiteBook,
     columns: Sequence[str],
     partition_size: int = 0,
+    not_launched: Sequence[str] = coverage.NOT_LAUNCHED,
 ) -> DataFrame:
     """Work list of the scores that one model lacks among the result columns.
 
     The model name selects by exact name, although a name with a hyphen would match more as a pattern.
     """
     mine = results(cells, tasks, book, [model]).filter(F.col("model") == model)
-    return coverage.work_list(coverage.missing_tasks(mine, columns, book), partition_size)
+    return coverage.work_list(coverage.missing_tasks(mine, columns, book), partition_size, not_launched)
 
 
 def _matched(filters, book: SuiteBook) -> list[str]:
