@@ -4,6 +4,7 @@ import heapq
 import itertools
 import os
 import random
+import tracemalloc
 
 import pytest
 
@@ -46,6 +47,42 @@ def test_chunk_n_best(vocabulary, chunk):
         assert b"".join(vocabulary.text[x] for x in i).decode() == chunk
 
 
+def test_many_chunks_at_once(vocabulary, monkeypatch):
+    rng = random.Random(3)
+    chunks = [" " + "".join(rng.choice("abet ☃éz_1A"[:k]) for _ in range(rng.randint(0, 40))) for k in (3, 9, 11) for _ in range(150)]
+    chunks += [*CHUNKS, "ist", " ist", "\x00", "\ud800"]
+    monkeypatch.setattr(pieces, "TOGETHER", 64)
+    assert pieces.best_of_many(chunks, vocabulary) == [pieces.best_of(c, vocabulary) for c in chunks]
+    assert pieces.best_of_many([], vocabulary) == []
+
+
+def test_blank_stays_with_its_word(vocabulary):
+    ids, _, _ = pieces.best_of(" ist", vocabulary)
+    assert ids == [vocabulary.pieces[" ist"][0]]
+
+
+def test_about_as_many_pieces_as_merging_gives(spark):
+    import sentencepiece
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    merged = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode([t or "" for t in texts])
+    found = pieces.Encoder(pieces.load()).encode([t or "" for t in texts])[0]
+    assert len(found) == pytest.approx(sum(map(len, merged)), rel=0.05)
+
+
+def test_long_text_without_blanks(vocabulary):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghij") for _ in range(150_000))
+    tracemalloc.start()
+    ids, _, scores, others = pieces.Encoder(vocabulary).encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"".join(vocabulary.text[i] for i in ids.tolist()).decode() == f" {text}"
+    assert len(others[0]) == pieces.BEST - 1 and all(o["score"] <= scores[0] for o in others[0])
+    assert all(len(e["ids"]) < 50 for e in others[0][0]["edits"])
+    assert peak < 200 * len(text)
+
+
 def price(ids, v):
     by_id = {i: c for i, c in v.pieces.values()}
     out, spelt = 0, b""
