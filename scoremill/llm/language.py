@@ -6,8 +6,10 @@ seen in a context costs the escape probability q / (n + q), with n bytes and q d
 coded in the context one byte shorter; below the empty context all 256 bytes are equally likely. Statistics are
 frozen after learning. The language with the shortest code wins.
 
-As statistics are frozen, the cost of every (context, byte) is worked out beforehand for all languages at once;
-a text is then one table lookup per byte in numpy, over the bytes of a whole Arrow batch.
+As statistics are frozen, the cost of every byte seen in a context and of every context's escape is worked out
+beforehand. Both lie in sorted arrays, one row per string seen in any language, so the model is as large as its sample
+has different strings of up to four bytes, and nothing is left out. A text is a binary search per byte in numpy, over the
+bytes of a whole Arrow batch; bytes not seen after three others go on to the context one byte shorter.
 """
 
 from __future__ import annotations
@@ -24,19 +26,25 @@ from scoremill.llm.words import text_of
 
 ORDER = 3
 SAMPLE_DOCS = 1500  # documents per language aimed at when learning: the documented bound of the sample
-MAX_CELLS = 1 << 23  # costs kept, over all contexts, bytes and languages; rarer contexts fall back on shorter ones
-PIECE = 1 << 20  # bytes scored at a time
+PIECE = 1 << 18  # bytes scored at a time
 UNKNOWN = "und"
-START, OTHER = 0, 1  # ranks of the position before a text and of bytes never learned
+START = 0  # stands before a text; a byte 0 inside a text looks the same to the bytes behind it
+
+
+@dataclass(frozen=True)
+class Order:
+    """What was seen with contexts of one length; strings of bytes are numbers with the last byte lowest."""
+
+    strings: np.ndarray  # context and byte, sorted
+    cost: np.ndarray  # bits of the byte, one column per language
+    contexts: np.ndarray  # sorted
+    escape: np.ndarray  # bits of leaving the context; 0 where a language never saw it
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    ranks: np.ndarray  # of 256 bytes
-    symbols: int
-    context_of: np.ndarray  # row of the longest known context, by ranks of the three bytes before
-    cost: np.ndarray  # bits by (context row * symbols + rank), one column per language
+    orders: tuple[Order, ...]  # from the empty context on
 
 
 def remainder(doc_id: Column | str = "doc_id") -> Column:
@@ -45,25 +53,31 @@ def remainder(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(column.cast("string").cast("binary")) % 5
 
 
-def _before(ranks: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
-    """Ranks ``back`` places earlier, START across the start of a text."""
-    out = np.empty_like(ranks)
+def _before(data: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
+    """Bytes ``back`` places earlier, START across the start of a text."""
+    out = np.empty_like(data)
     out[:back] = START
-    out[back:] = ranks[: len(ranks) - back]
+    out[back:] = data[: len(data) - back]
     for shift in range(back):
         at = starts + shift
         out[at[at < len(out)]] = START
     return out
 
 
+def _strings(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Every byte with the ``ORDER`` before it, as a number with the byte itself lowest."""
+    key = data.astype(np.int64)
+    for back in range(1, ORDER + 1):
+        key |= _before(data, starts[:-1], back).astype(np.int64) << (8 * back)
+    return key
+
+
 def _grams(batches):
     """Counts of four-byte strings per language of a batch; byte 0 stands before a text."""
     for batch in batches:
         langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
         data, starts = bytes_of(batch.column("text"))
-        key = data.astype(np.int64)
-        for back in range(1, ORDER + 1):
-            key |= _before(data, starts[:-1], back).astype(np.int64) << (8 * back)
+        key = _strings(data, starts)
         row_lang, names = np.unique(langs.astype(str), return_inverse=True)
         lang_of = np.repeat(names, np.diff(starts))
         for no, lang in enumerate(row_lang):
@@ -74,7 +88,7 @@ def _grams(batches):
             )
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_cells: int = MAX_CELLS) -> LanguageModel:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Model of the languages in ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing.
 
     About ``sample_docs`` documents per language are taken by a hash of their id, whole texts each; fewer where a
@@ -84,7 +98,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_cells: int = MAX_
     usable = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel((), np.zeros(256, np.int64), 2, np.zeros(8, np.int32), np.zeros((2, 0), np.float32))
+        return LanguageModel((), ())
     parts = 1_000_000
     limit = F.lit(None).cast("bigint")
     for lang, n in sorted(sizes.items()):
@@ -98,78 +112,59 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_cells: int = MAX_
         .agg(F.sum("seen").alias("seen"))
         .toPandas()
     )
-    return build(grams, tuple(sorted(sizes)), max_cells)
+    return build(grams, tuple(sorted(sizes)))
 
 
-def build(grams, languages: tuple[str, ...], max_cells: int = MAX_CELLS) -> LanguageModel:
+def build(grams, languages: tuple[str, ...]) -> LanguageModel:
     """Model from counts of four-byte strings (pandas columns lang, gram, seen)."""
     gram = grams["gram"].to_numpy(np.int64)
     seen = grams["seen"].to_numpy(np.int64)
     lang = np.searchsorted(np.array(languages, dtype=object), grams["lang"].to_numpy(object))
-    taught = np.unique(gram & 255)
-    ranks = np.full(256, OTHER, np.int64)
-    ranks[taught] = np.arange(2, 2 + len(taught))
-    symbols, count = 2 + len(taught), len(languages)
-    base = symbols
-    # Rank of each of the four bytes, the last one first; byte 0 before a text is START.
-    part = [np.where((b := (gram >> (8 * k)) & 255) == 0, START if k else ranks[0], ranks[b]) for k in range(ORDER + 1)]
-
-    # Contexts of all orders with their counts; the most frequent fit, and a context's parent is at least as frequent.
-    contexts = []
+    orders: list[Order] = []
     for order in range(ORDER + 1):
-        code = np.zeros(len(gram), np.int64)
-        for k in range(order, 0, -1):
-            code = code * base + part[k]
-        codes, inverse = np.unique(code, return_inverse=True)
-        contexts.append((codes, inverse, np.bincount(inverse, seen).astype(np.int64)))
-    orders = np.concatenate([np.full(len(c[0]), o) for o, c in enumerate(contexts)])
-    totals = np.concatenate([c[2] for c in contexts])
-    room = max(1, max_cells // (symbols * max(1, count)))
-    kept = np.zeros(len(orders), bool)
-    kept[np.lexsort((orders, -totals))[:room]] = True
-
-    rows = 0
-    blocks, context_of = [], np.zeros((base,) * ORDER, np.int32)
-    uniform = np.full((1, symbols, count), 8.0)
-    first = 0
-    for order, (codes, inverse, _) in enumerate(contexts):
-        keep = kept[first : first + len(codes)]
-        first += len(codes)
-        number = np.cumsum(keep) - 1
-        use = keep[inverse]
-        n = int(keep.sum())
-        if not n:
-            break
-        counts = np.zeros((n, symbols, count))
-        np.add.at(counts, (number[inverse[use]], part[0][use], lang[use]), seen[use])
-        total = counts.sum(1, keepdims=True)
-        kinds = (counts > 0).sum(1, keepdims=True)
-        own = codes[keep]
-        places = [own // base**k % base for k in range(order)]  # the byte just before comes first
-        if order == 0:
-            parent = uniform
-        else:
-            shorter = [np.zeros(n, np.int64)] * (ORDER - order + 1) + places[: order - 1][::-1]
-            index = np.zeros(n, np.int64)
-            for p in shorter:
-                index = index * base + p
-            parent = np.concatenate(blocks)[context_of.reshape(-1)[index]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = -np.log2(kinds / (total + kinds)) + parent
-            coded = np.where(counts > 0, -np.log2(counts / (total + kinds)), escape)
-        blocks.append(np.where(total > 0, coded, np.broadcast_to(parent, coded.shape)))
-        ids = np.arange(rows, rows + n, dtype=np.int32)
-        if order == 0:
-            context_of[...] = ids[0]
-        elif order == 1:
-            context_of[:, :, places[0]] = ids
-        elif order == 2:
-            context_of[:, places[1], places[0]] = ids
-        else:
-            context_of[places[2], places[1], places[0]] = ids
-        rows += n
-    cost = np.concatenate(blocks).reshape(-1, count).astype(np.float32)
-    return LanguageModel(languages, ranks, symbols, context_of.reshape(-1), np.ascontiguousarray(cost))
+        strings, string_of = np.unique(gram & ((1 << (8 * order + 8)) - 1), return_inverse=True)
+        contexts, context_of = np.unique(strings >> 8, return_inverse=True)
+        cost = np.empty((len(strings), len(languages)), np.float32)
+        escape = np.zeros((len(contexts), len(languages)), np.float32)
+        if order:  # every string was counted without its first byte too
+            shorter = np.searchsorted(orders[-1].strings, strings & ((1 << (8 * order)) - 1))
+        for no in range(len(languages)):
+            counts = np.bincount(string_of, seen * (lang == no), len(strings))
+            total = np.bincount(context_of, counts, len(contexts))
+            kinds = np.bincount(context_of, counts > 0, len(contexts))
+            known = total > 0
+            escape[known, no] = -np.log2(kinds[known] / (total + kinds)[known])
+            cost[:, no] = escape[context_of, no] + (orders[-1].cost[shorter, no] if order else 8.0)
+            here = counts > 0
+            cost[here, no] = -np.log2(counts[here] / (total + kinds)[context_of[here]])
+        orders.append(Order(strings, cost, contexts, escape))
+    return LanguageModel(languages, tuple(orders))
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stands in the sorted ``known``, and whether it does."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def _costs(strings: np.ndarray, model: LanguageModel) -> np.ndarray:
+    """Bits of the last byte of every string under each language."""
+    out = np.zeros((len(strings), len(model.languages)), np.float32)
+    left = np.arange(len(strings))
+    for order in range(ORDER, -1, -1):
+        table = model.orders[order]
+        wanted = strings[left] & ((1 << (8 * order + 8)) - 1)
+        at, found = _places(table.strings, wanted)
+        out[left[found]] += table.cost[at[found]]
+        left, wanted = left[~found], wanted[~found]
+        if not len(left):
+            return out
+        at, found = _places(table.contexts, wanted >> 8)
+        out[left[found]] += table.escape[at[found]]
+    out[left] += 8.0
+    return out
 
 
 def code_lengths(texts: pa.Array, model: LanguageModel) -> np.ndarray:
@@ -178,16 +173,12 @@ def code_lengths(texts: pa.Array, model: LanguageModel) -> np.ndarray:
     out = np.zeros((len(texts), len(model.languages)))
     if not len(data):
         return out
-    ranks = model.ranks.astype(np.int32)[data]
-    base = np.int32(model.symbols)
-    code = _before(ranks, starts[:-1], 3) * base
-    code += _before(ranks, starts[:-1], 2)
-    code *= base
-    code += _before(ranks, starts[:-1], 1)
+    strings = _strings(data, starts)
     for at in range(0, len(data), PIECE):
         end = min(at + PIECE, len(data))
-        rows = model.context_of[code[at:end]].astype(np.int64) * model.symbols + ranks[at:end]
-        cost = model.cost[rows]
+        # common strings repeat: each different one is looked up once
+        different, which = np.unique(strings[at:end], return_inverse=True)
+        cost = _costs(different, model)[which]
         low, high = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, end, "left")
         bounds = np.maximum(starts[low:high], at) - at
         filled = np.diff(np.append(bounds, end - at)) > 0
@@ -231,7 +222,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     The model learns from the rows that are not held out; a row is held out if crc32 of its id as text modulo 5 is
     0. A null id is not held out. Empty tables, repeated rows and extra columns need no care: each row is
-    predicted from its text alone.
+    predicted from its whole text alone, which is scored ``PIECE`` bytes at a time.
     """
     held_out = F.coalesce(remainder() == 0, F.lit(False))
     model = learn(docs.where(~held_out))

@@ -1,6 +1,7 @@
 """Code lengths against a plain coder, held-out accuracy, and odd inputs."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,6 +65,23 @@ def test_pieces_do_not_matter(model, monkeypatch):
     assert np.allclose(whole, language.code_lengths(texts, model))
 
 
+def test_many_languages_and_bytes_lose_no_context():
+    """30 languages over many bytes: every context of three bytes is kept."""
+    rng = random.Random(2)
+    letters = "".join(chr(c) for c in range(97, 123)) + "äöüßéèñçøåабвгд "
+    teaching = {f"l{i:02d}": ["".join(rng.choices(letters, k=400)) for _ in range(4)] for i in range(30)}
+    rows = pa.RecordBatch.from_pydict(
+        {"lang": [k for k, v in teaching.items() for _ in v], "text": [t for v in teaching.values() for t in v]}
+    )
+    grams = pd.concat([b.to_pandas() for b in language._grams([rows])])
+    model = language.build(grams.groupby(["lang", "gram"], as_index=False)["seen"].sum(), tuple(sorted(teaching)))
+    assert len(model.orders[-1].strings) == grams["gram"].nunique()
+    texts = [teaching["l07"][1][50:200], "zß☃ и"]
+    bits = language.code_lengths(pa.array(texts), model)
+    for row, text in zip(bits, texts):
+        assert row == pytest.approx([plain_bits(text, teaching[k]) for k in sorted(teaching)], rel=1e-5)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
