@@ -7,7 +7,8 @@ Entropy: candidate strings are unbroken runs of ``CANDIDATE`` characters. Each h
 own threshold. A window of ``WINDOW`` characters slides over it; counts per character and the sum of
 ``c * log2(c)`` change by the character that enters and the one that leaves. That sum is held in whole
 millionths of a bit, so that it never drifts. Overlapping windows above the threshold form one span.
-Strings that match the allow-list (identifiers, placeholders, alphabets) are left out.
+Strings that match the allow-list (identifiers, paths of words) are left out. Names in camel case, placeholders and
+alphabets are judged by path segment: what lies between two slashes is blanked, and the rest of the string is scanned.
 """
 
 from __future__ import annotations
@@ -39,15 +40,18 @@ class EntropyRules:
 
     classes: tuple[tuple[str, str, float], ...] = (
         ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0),
-        ("letters", r"^([a-z]+|[A-Z]+|[A-Z][a-z]+)$", 4.2),
+        ("letters", r"^([a-z]+|[A-Z]+|[A-Z][a-z]+)$", 3.8),
         ("alnum", r"^[A-Za-z0-9]+$", 3.7),
         ("symbols", r"", 3.9),
     )
     allow: tuple[str, ...] = (
-        r"(?i)example|sample|placeholder|changeme|your[_-]",
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+        r"^[A-Za-z]{1,20}([/_-]([A-Za-z]{1,20}|[0-9]{1,4}))+$",
+    )
+    allow_segments: tuple[str, ...] = (
+        r"(?i)example|sample|placeholder|changeme|your[_-]",
         r"(?i)abcdefghij|0123456789",
-        r"^[A-Za-z]+([/_-][A-Za-z]+)+$",
+        r"^([a-z]+|[A-Z][a-z]+)([A-Z][a-z]+)+[0-9]{0,3}$",
     )
     window: int = field(default=WINDOW)
 
@@ -183,8 +187,21 @@ def _entropy_spans(text: Column, rules: EntropyRules) -> Column:
             ),
         )
 
-    allowed = lambda m: F.greatest(*[m.rlike(p) for p in rules.allow], F.lit(False))
-    found = F.filter(matches(text, CANDIDATE), lambda m: ~allowed(m["match"]))
+    allowed = lambda m, patterns: F.greatest(*[m.rlike(p) for p in patterns], F.lit(False), F.lit(False))
+
+    def blanked(m: Column) -> Column:
+        """The match with slashes in place of the characters of allowed segments."""
+        if not rules.allow_segments:
+            return m
+        segment = lambda s: F.when(
+            allowed(s, rules.allow_segments), F.repeat(F.lit("/"), F.char_length(s))
+        ).otherwise(s)
+        return F.array_join(F.transform(F.split(m, "/"), segment), "/")
+
+    found = F.filter(matches(text, CANDIDATE), lambda m: ~allowed(m["match"], rules.allow))
+    found = F.transform(
+        found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), blanked(m["match"]).alias("match"))
+    )
     return F.when(text.rlike(CANDIDATE), F.flatten(F.transform(found, within))).otherwise(
         F.array().cast("array<struct<start:int,kind:int,end:int>>")
     )
@@ -195,7 +212,7 @@ def scan(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataFrame:
 
     ``kind`` is a place in ``KINDS``. The base scan finds assigned values, access keys and long hex runs, per
     kind leftmost and without overlap. An entropy span that lies within a base span is left out; base spans are
-    never changed. A null or empty text has no spans. Rows are independent: repeated rows get equal spans, extra
+    never changed. A null or empty text has no spans; a text of any length is scanned whole. Rows are independent: repeated rows get equal spans, extra
     columns pass through, an empty table stays empty. Needs ``text``.
     """
     text = text_of("text")

@@ -2,9 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoremill.llm import secrets
 
@@ -29,10 +32,13 @@ def entropy_spans(text, rules=secrets.EntropyRules()):
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
         if any(re.search(p, m[0]) for p in rules.allow):
             continue
-        limit = next(t for _, p, t in rules.classes if re.search(p, m[0]))
+        segments = m[0].split("/")
+        segments = ["/" * len(x) if any(re.search(p, x) for p in rules.allow_segments) else x for x in segments]
+        match = "/".join(segments)
+        limit = next(t for _, p, t in rules.classes if re.search(p, match))
         spans = []
-        for i in range(len(m[0]) - rules.window + 1):
-            part = m[0][i : i + rules.window]
+        for i in range(len(match) - rules.window + 1):
+            part = match[i : i + rules.window]
             cost = sum(round(c * math.log2(c) * secrets.UNIT) for c in map(part.count, set(part)))
             if cost <= secrets.entropy_limit(limit, rules.window):
                 if spans and spans[-1][1] >= i:
@@ -74,6 +80,38 @@ def test_scan_matches_plain_python(spark):
     assert rows == {i: expected(t) for i, t in enumerate(TEXTS)}
 
 
+def flagged(spark, strings):
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(strings)], "doc_id long, text string")
+    return secrets.report(docs).agg(F.avg((F.col("n_entropy") > 0).cast("int"))).first()[0]
+
+
+def test_rates(spark):
+    """Random strings are found at these rates, behind a path with a placeholder in it too; names and paths are not."""
+    rng = random.Random(4)
+    mixed = ["".join(rng.choices(string.ascii_letters + string.digits, k=32)) for _ in range(300)]
+    letters = ["".join(rng.choices(string.ascii_lowercase, k=32)) for _ in range(300)]
+    assert flagged(spark, mixed) > 0.99
+    # with a slash, the string is of the class with the higher threshold
+    assert flagged(spark, [f"my-example-key/{x}" for x in mixed]) > 0.97
+    assert flagged(spark, letters) > 0.5
+    names = [
+        "getElementsByClassNameAndAttributeValue1",
+        "AbstractSingletonProxyFactoryBeanDefinitionParser",
+        "usr/local/share/documentation/index-of-pages-2021",
+        "the-quick-brown-fox-jumps-over-the-lazy-dog",
+        "electroencephalographically",
+        "123e4567-e89b-12d3-a456-426614174000",
+        "my-example-key-Zx9Qw7Er5Ty3Ui1OpAsDfGhJk",
+    ]
+    assert flagged(spark, names) == 0
+
+
+def test_very_long_text(spark):
+    text = "lorem ipsum/dolor " * 200_000 + "token=abcdef9 " + "é" * 100_000 + " Zx9Qw7Er5Ty3Ui1OpAsDfGhJkLzXcVbN"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert tuple(secrets.report(docs).first())[1:] == expected(text)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
