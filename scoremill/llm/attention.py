@@ -9,9 +9,13 @@ A text is scored in windows that overlap: STEP positions are scored with themsel
 context, so each id is scored once, with STEP to 2 STEP - 1 ids before it. Windows go through masked attention in
 batches, whatever texts they come from; a long text takes no more memory for it than a short one.
 
-The layer is trained in rounds over a share of the training documents that grows with the input. In a round, trainers
-learn from the same parameters on documents of their own; the parameters' means start the next one. They are as large
-as the vocabulary and are added up in a tree.
+The layer is trained in rounds, which deal all training documents among them. In a round, trainers learn from the same
+parameters on documents of their own, batch by batch where these lie; the parameters' means start the next one. They are
+as large as the vocabulary and are added up in a tree.
+
+Windows lie in blocks of STEP positions: the context of a window is the block before it, so what is worked out for a
+position serves both. Texts are tokenized chunk by chunk (blanks with the word behind them): no piece goes over the
+border of one, and a block of documents tokenizes each of its chunks once.
 
 The base score needs a count for every word: blocks of documents list their words once and get the counts back
 (:mod:`scoremill.llm.blocks`).
@@ -24,14 +28,17 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoremill.llm import blocks
-from scoremill.llm.alignment import Pieces, lanes
+from scoremill.llm.alignment import Pieces, lanes, spread
+from scoremill.llm.pieces import CHUNKS, MARK
 from scoremill.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,15 +49,16 @@ SINGLE, SHARED = 48, 16  # classes of one id each, and of several
 LEAST = 0.05  # added to the count of every id
 PRIOR = 4.0  # weight of the classes' overall shares against counts after an id
 BATCH = 128  # windows at a time
-SLOTS = 64  # equal shares of the training documents by a hash; each round learns from one of them
+SLOTS = 64  # equal shares of the training documents by a hash; rounds learn from them in turn
 ROUNDS = 4
 RATE = 0.1
 CALM = 1e-5  # squared gradients that every weight starts with
-TRAINER = 2_000_000  # ids a trainer learns from in a round, about
+TRAINER = 8_000_000  # ids a trainer learns from in a round, about
 FAN = 16  # sets of parameters added up at a time
 BLOCK = 6 << 20  # bytes of text whose words are listed together
 LONG_WORD = 64  # characters; longer words are known by their digest
 NEVER = -1e9
+HIGH = 60.0
 
 WRITTEN = (
     "block long, row int, doc_id long, held_out boolean, slot int, n_tokens long, ids array<short>, at array<int>, times array<int>, "
@@ -167,23 +175,32 @@ CAUSAL = np.where(np.arange(2 * STEP) > np.arange(STEP)[:, None] + STEP, np.floa
 DISTANCE = np.clip(np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP), 0, 2 * STEP - 1)
 
 
-def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, absent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and what is attended to, for every scored position."""
-    w = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    w *= np.float32(q.shape[2] ** -0.5)
+def in_blocks(w: Windows) -> np.ndarray:
+    """Inputs in blocks of STEP: the context of the first window, and what every window scores."""
+    return np.concatenate([w.inputs[:1, :STEP], w.inputs[:, STEP:]])
+
+
+def with_context(x: np.ndarray) -> np.ndarray:
+    """Every block but the first behind the block before it, as a view. For the first window of a text that is another text's."""
+    return np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * STEP, x.shape[2]), x.strides, writeable=False)
+
+
+def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and what is attended to, for every scored position; ``first`` windows of a text have no context."""
+    w = q @ k.transpose(0, 2, 1)
     w += bias
-    if absent.any():
-        w += np.where(absent, np.float32(NEVER), np.float32(0))[:, None, :]
-    w -= w.max(2, keepdims=True)
+    w[first, :, :STEP] = NEVER
+    # every position sees itself; where that and the largest are moderate, exp neither overflows nor leaves zeros alone
+    if not (w.max() < HIGH and w[:, np.arange(STEP), np.arange(STEP, 2 * STEP)].min() > -HIGH):
+        w -= w.max(2, keepdims=True)
     np.exp(w, out=w)
-    w /= w.sum(2, keepdims=True)
+    w /= (w.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, w.dtype)).reshape(len(w), STEP, 1)
     return w, w @ v
 
 
-def log_classes(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(-1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(-1, keepdims=True))
-    return logits
+def moderate(out: np.ndarray) -> bool:
+    """Whether the layer moves logits so little that exp of float32 holds twice that."""
+    return float(np.abs(out).sum(0).max()) < 40
 
 
 class Scorer:
@@ -191,11 +208,11 @@ class Scorer:
 
     def __init__(self, layer: Layer, counts: Counts):
         self.layer, self.counts = layer, counts
-        self.last = np.concatenate([layer.embed @ layer.query, layer.embed], 1)
-        self.seen = np.concatenate([layer.embed @ layer.key, layer.embed @ layer.value], 1)
+        scale = np.float32(layer.embed.shape[1] ** -0.5)
+        own = [layer.embed @ (layer.query * scale), layer.embed, layer.embed @ layer.key, layer.embed @ layer.value]
+        self.known = np.concatenate(own, 1)
         self.bias = CAUSAL + layer.distance[DISTANCE]
-        # how far the layer can move a logit; exp of float32 holds twice that
-        self.bounded = float(np.abs(layer.out).sum(0).max()) < 40
+        self.bounded = moderate(layer.out)
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 of the probability of every text; the ids of one that has any end with END."""
@@ -203,9 +220,10 @@ class Scorer:
         c, width = self.counts, self.layer.embed.shape[1]
         for w in windows(ids, lengths, len(c.class_of)):
             last = w.inputs[:, STEP:]
-            here, seen = self.last.take(last, 0, mode="clip"), self.seen.take(w.inputs, 0, mode="clip")
-            _, a = attend(here[:, :, :width], seen[:, :, :width], seen[:, :, width:], self.bias, w.absent)
-            a += here[:, :, width:]
+            known = self.known.take(in_blocks(w), 0, mode="clip")
+            k, v = with_context(known[:, :, 2 * width : 3 * width]), with_context(known[:, :, 3 * width :])
+            _, a = attend(known[1:, :, :width], k, v, self.bias, w.absent[:, 0])
+            a += known[1:, :, width : 2 * width]
             logits = np.tanh(a, out=a).reshape(-1, width) @ self.layer.out
             # positions behind the end of a text have no target and may look up anything
             logits += c.after.take(last.ravel(), 0, mode="clip")
@@ -222,49 +240,80 @@ class Scorer:
 
 def gradients(layer: Layer, counts: Counts, w: Windows) -> tuple[float, np.ndarray, list[np.ndarray]]:
     """Mean loss over the scored ids of a batch, the ids in it, and the gradient of the arrays; of embeddings, for those ids."""
-    last = w.inputs[:, STEP:]
-    x = layer.embed[w.inputs]
-    here = x[:, STEP:]
-    q, k, v = here @ layer.query, x @ layer.key, x @ layer.value
-    weight, a = attend(q, k, v, CAUSAL + layer.distance[DISTANCE], w.absent)
-    h = np.tanh(here + a)
-    real = (w.targets >= 0) & (last < len(counts.class_of))
-    logits = h @ layer.out + counts.after[np.where(real, last, 0)]
-    log_p = log_classes(logits)
-    cell = (*np.nonzero(real), counts.class_of[w.targets[real]])
-    n = max(1, len(cell[0]))
-    loss = -float(log_p[cell].sum()) / n
-    g = np.exp(log_p)
-    g[cell] -= 1
-    g *= (real[:, :, None] / n).astype(np.float32)
-    g_out = np.tensordot(h, g, ((0, 1), (0, 1)))
-    g_sum = (g @ layer.out.T) * (1 - h * h)
-    g_weight = g_sum @ v.transpose(0, 2, 1)
-    g_v = weight.transpose(0, 2, 1) @ g_sum
-    g_s = weight * (g_weight - (weight * g_weight).sum(2, keepdims=True))
+    width, ids = layer.embed.shape[1], in_blocks(w)
+    x = layer.embed.take(ids, 0)
+    flat_x, here = x.reshape(-1, width), x[1:]
+    query = layer.query * np.float32(width**-0.5)
+    key_value = np.concatenate([layer.key, layer.value], 1)
+    q, known = here @ query, (flat_x @ key_value).reshape(*ids.shape, 2 * width)
+    k, v = with_context(known[:, :, :width]), with_context(known[:, :, width:])
+    weight, a = attend(q, k, v, CAUSAL + layer.distance[DISTANCE], w.absent[:, 0])
+    h = np.tanh(here + a).reshape(-1, width)
+    logits = h @ layer.out
+    # positions behind the end of a text have no target and may look up anything
+    logits += counts.after.take(w.inputs[:, STEP:].ravel(), 0, mode="clip")
+    if not moderate(layer.out):
+        logits -= logits.max(1, keepdims=True)
+    g = np.exp(logits, out=logits)
+    whole = g @ np.ones(g.shape[1], g.dtype)
+    target = w.targets.ravel()
+    real = np.flatnonzero(target >= 0)
+    n, cell = max(1, len(real)), (real, counts.class_of[target[real]])
+    loss = -float(np.log(g[cell] / whole[real]).sum()) / n
+    share = np.zeros_like(whole)
+    share[real] = 1 / (whole[real] * n)
+    g *= share[:, None]
+    g[cell] -= 1 / n
+    g_out = h.T @ g
+    g_sum = ((g @ layer.out.T) * (1 - h * h)).reshape(a.shape)
+    g_s = g_sum @ v.transpose(0, 2, 1)
+    g_s -= (g_sum * a).sum(2, keepdims=True)
+    g_s *= weight
     g_distance = np.bincount(DISTANCE.ravel(), g_s.sum(0).ravel(), 2 * STEP).astype(np.float32)
-    g_s *= np.float32(q.shape[2] ** -0.5)
-    g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
-    g_x = g_k @ layer.key.T + g_v @ layer.value.T
-    g_x[:, STEP:] += g_q @ layer.query.T + g_sum
-    rows, back = np.unique(w.inputs, return_inverse=True)
-    g_embed = np.zeros((len(rows), g_x.shape[2]), g_x.dtype)
-    np.add.at(g_embed, back.ravel(), g_x.reshape(-1, g_x.shape[2]))
+    g_q = (g_s @ k).reshape(-1, width)
+    g_known = np.zeros(known.shape, known.dtype)
+    for place, part in enumerate((g_s.transpose(0, 2, 1) @ q, weight.transpose(0, 2, 1) @ g_sum)):
+        mine = g_known[:, :, place * width : (place + 1) * width]
+        mine[1:] = part[:, STEP:]
+        mine[:-1] += part[:, :STEP]
+    g_known = g_known.reshape(-1, 2 * width)
+    g_x = g_known @ key_value.T
+    g_x[STEP:] += g_q @ query.T
+    g_x[STEP:] += g_sum.reshape(-1, width)
+    flat = ids.ravel()
+    order = np.argsort(flat.astype(np.min_scalar_type(len(counts.class_of))), kind="stable")
+    flat = flat[order]
+    begin = np.flatnonzero(np.diff(flat, prepend=-1))
+    rows, g_embed = flat[begin], np.add.reduceat(g_x[order], begin, 0)
     g_embed[rows == len(counts.class_of)] = 0
-    both = lambda left, right: np.tensordot(left, right, ((0, 1), (0, 1)))
-    return loss, rows, [g_embed, both(here, g_q), both(x, g_k), both(x, g_v), g_distance, g_out]
+    g_key_value = flat_x.T @ g_known
+    g_query = (flat_x[STEP:].T @ g_q) * np.float32(width**-0.5)
+    return loss, rows, [g_embed, g_query, g_key_value[:, :width], g_key_value[:, width:], g_distance, g_out]
+
+
+class Training:
+    """A layer on its way by Adagrad, which learns from texts as they come."""
+
+    def __init__(self, layer: Layer, counts: Counts, rate: float = RATE):
+        self.layer, self.counts, self.rate = layer, counts, rate
+        self.power = [np.full_like(x, CALM) for x in layer.arrays()]
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> list[float]:
+        """Losses of the batches of windows."""
+        losses = []
+        for w in windows(ids, lengths, len(self.counts.class_of)):
+            loss, rows, grads = gradients(self.layer, self.counts, w)
+            losses.append(loss)
+            for x, p, g, at in zip(self.layer.arrays(), self.power, grads, (rows, *[slice(None)] * 5)):
+                power = p[at] + g * g
+                p[at] = power
+                x[at] -= self.rate * g / np.sqrt(power)
+        return losses
 
 
 def train(layer: Layer, counts: Counts, ids: np.ndarray, lengths: np.ndarray, rate: float = RATE) -> tuple[Layer, float]:
     """The layer after one pass over the texts by Adagrad, and the mean loss on the way."""
-    power = [np.full_like(x, CALM) for x in layer.arrays()]
-    losses = []
-    for w in windows(ids, lengths, len(counts.class_of)):
-        loss, rows, grads = gradients(layer, counts, w)
-        losses.append(loss)
-        for x, p, g, at in zip(layer.arrays(), power, grads, (rows, *[slice(None)] * 5)):
-            p[at] += g * g
-            x[at] -= rate * g / np.sqrt(p[at])
+    losses = Training(layer, counts, rate).learn(ids, lengths)
     return layer, float(np.mean(losses)) if losses else 0.0
 
 
@@ -282,26 +331,38 @@ class _Numbers(dict):
         return self[key]
 
 
+def chunks(text: str) -> list[str]:
+    """Parts that are tokenized alike alone, the first behind a blank; the vocabulary's mark is taken for a blank, too."""
+    return [f" {p}" for p in lanes(text)] if MARK in text else CHUNKS.findall(f" {text}") if text else []
+
+
+def _unfold(lists: list[list[int]], which: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists named in ``which``, and how many come from each of its runs of ``lengths``."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    values = np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())
+    mine = sizes[which]
+    return values[spread((np.cumsum(sizes) - sizes)[which], mine)], blocks.totals(mine, lengths)
+
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def read_block(block: pa.RecordBatch, number: int, path: str) -> Iterator[pa.RecordBatch]:
     """Rows of the documents of a block, and one with its words and ids and how often training documents hold them."""
-    raw = [(t or "").encode().translate(LOWER) for t in block.column("text").to_pylist()]
-    n = len(raw)
-    encode = _pieces(path).encode
-    ids = [np.concatenate([*(encode(p) for p in lanes(r.decode())), [END]]).astype(np.int16) if r else np.array([END], np.int16) for r in raw]
+    kinds = _Numbers({"": 0})  # chunks; the first is the end
+    held = [np.fromiter(map(kinds.__getitem__, [*chunks((t or "").encode().translate(LOWER).decode()), ""]), np.int64) for t in block.column("text").to_pylist()]
+    n, lengths, held = len(held), np.array([len(c) for c in held], np.int64), np.concatenate(held)
+    pieces = [[END], *_pieces(path).encode_chunks(list(kinds)[1:])]
+    flat_ids, sizes = _unfold(pieces, held, lengths)
     numbers = _Numbers({b"": 0})  # the end
-    words = [np.fromiter(map(numbers.__getitem__, r.split()), np.int64) for r in raw]
-    long = np.array([len(w) + 1 for w in words], np.int64)
-    flat = np.concatenate([np.concatenate([w, [0]]) for w in words])
+    words = [[0], *([numbers[w] for w in c.encode().split()] for c in list(kinds)[1:])]
+    flat, long = _unfold(words, held, lengths)
     owner = np.repeat(np.arange(n), long)
     key, times = np.unique(owner * len(numbers) + flat, return_counts=True)
     doc, at = np.divmod(key, len(numbers))
     learned = ~np.asarray(block.column("held_out").to_numpy(zero_copy_only=False))
     trained = np.bincount(at, times * learned[doc], len(numbers)).astype(np.int64)
-    sizes = np.array([len(i) for i in ids], np.int64)
-    flat_ids = np.concatenate(ids)
+    flat_ids = flat_ids.astype(np.int16)
     seen = np.bincount(flat_ids[np.repeat(learned, sizes)], minlength=1)
     ends = np.cumsum(np.bincount(doc, minlength=n))
     listed = [w.decode() if len(w) <= LONG_WORD else " " + hashlib.sha256(w).hexdigest() for w in numbers]
@@ -386,37 +447,40 @@ def _mean(level: DataFrame) -> DataFrame:
 
 
 def _trainer(layer: Layer, counts: Counts):
-    def learn(rows: pa.Table) -> pa.Table:
-        ids, lengths = _lists(rows.sort_by("h")["ids"])
-        trained, _ = train(layer.like(layer.to_bytes()), counts, ids, lengths)
-        return pa.table({"node": [rows["node"][0].as_py()], "weight": [float(len(ids))], "raw": [trained.to_bytes()]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, weight = Training(layer.like(layer.to_bytes()), counts), 0.0
+        for batch in batches:
+            ids, lengths = _lists(batch.column("ids"))
+            mine.learn(ids, lengths)
+            weight += len(ids)
+        if weight:
+            node = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"node": [node], "weight": [weight], "raw": [mine.layer.to_bytes()]})
 
     return learn
 
 
 def fit(read: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Layer:
-    """The layer after rounds of distributed training."""
+    """The layer after rounds of distributed training, which together learn from every training document once."""
     layer = Layer.start(len(counts.class_of), counts.after.shape[1])
-    learned = read.where(f"NOT held_out AND slot < {rounds}")
-    learned = stage(learned.select("slot", "ids", F.xxhash64("doc_id", F.size("ids")).alias("h")))
-    sizes = {r["slot"]: r["n"] for r in learned.groupBy("slot").agg(F.sum(F.size("ids")).alias("n")).collect()}
-    for number in range(rounds):
-        trainers = -(-sizes.get(number, 0) // TRAINER)
-        if not trainers:
-            continue
-        mine = learned.where(F.col("slot") == number).withColumn("node", F.pmod("h", F.lit(trainers)))
-        level = mine.groupBy("node").applyInArrow(_trainer(layer, counts), PARAMETERS)
+    learned = read.where("NOT held_out")
+    total = learned.agg(F.sum(F.size("ids"))).first()[0] or 0
+    for number in range(rounds if total else 0):
+        mine = learned.where(F.col("slot") % rounds == number).select("ids")
+        trainers = -(-total // (rounds * TRAINER))
+        level = mine.coalesce(trainers).mapInArrow(_trainer(layer, counts), PARAMETERS)
         while trainers > 1:
             level, trainers = _mean(level), -(-trainers // FAN)
-        layer = layer.like(bytes(level.first()["raw"]))
+        if found := level.first():
+            layer = layer.like(bytes(found["raw"]))
     return layer
 
 
 def score(docs: DataFrame, path: str = MODEL, rounds: int = ROUNDS) -> DataFrame:
     """One row per document (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from documents whose crc32 of the id as text modulo 5 is not 1, a null id among them. Counts cover them all;
-    the layer learns from ``rounds`` of ``SLOTS`` shares of them. ``score`` is the log10 probability of the subword ids
+    Learns from documents whose crc32 of the id as text modulo 5 is not 1, a null id among them. Counts cover them all,
+    and so does the layer's training, in ``rounds`` (0: none). ``score`` is the log10 probability of the subword ids
     of the lower-cased text and an end; ``base_score`` that of its words and an end by their counts alone. A null or
     empty text is an end alone. Repeated rows are documents of their own and count as often; ties decide nothing, as
     equal ids have equal places. A very long text is scored window by window, in memory for its ids. Extra columns

@@ -190,3 +190,25 @@ def test_parameters_are_averaged_by_weight(spark):
     assert len(top) == 1 and top[0]["weight"] == sum(range(1, 40))
     mean = layer.like(bytes(top[0]["raw"]))
     assert np.allclose(mean.query, sum(n * n for n in range(1, 40)) / sum(range(1, 40)), rtol=1e-5)
+
+
+def test_every_training_document_teaches_the_layer(spark):
+    """An id that only one document holds moves, whatever share of the documents that one falls into."""
+    texts = [np.array([3 + s] * 40 + [at.END]) for s in range(at.SLOTS)]
+    counts = counts_of(texts, 100)
+    rows = [(s, False, s, t.tolist()) for s, t in enumerate(texts)] + [(99, True, 7, [90] * 40 + [at.END]), (None, None, None, None)]
+    read = spark.createDataFrame(rows, "doc_id long, held_out boolean, slot int, ids array<short>").repartition(3)
+    moved = np.abs(at.fit(read, counts, 4).embed - at.Layer.start(100, at.SINGLE + at.SHARED).embed).max(1) > 0
+    # before the first step the output is zero, so the first round's documents may leave their ids alone
+    assert all(moved[3 + s] for s in range(at.SLOTS) if s % 4) and not moved[90]
+    assert not at.fit(read, counts, 0).out.any() and at.fit(read.where("held_out"), counts, 4).out.max() == 0
+
+
+@needs_files
+def test_chunks_are_tokenized_as_whole_texts():
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "▁", "a", "the", "ing", "é", "日本", "🙂", "\x00", "1", ".", "<s>", "the house"]
+    texts = ["", " ", "\n", "\nabc", " abc  \n", "▁", "x▁ y"] + ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(400)]
+    pieces = at._pieces(at.MODEL)
+    for t in texts:
+        assert [i for ids in pieces.encode_chunks(at.chunks(t)) for i in ids] == (pieces.encode(t).tolist() if t else []), repr(t)
