@@ -1190,13 +1190,21 @@ def recipe_scan(spark, d):
       round(sum(n_chars // 2) / (SELECT sum(n_chars // 2) FROM documents), 9) AS ratio FROM documents GROUP BY 1""",
 )
 def file_tokens(spark, d):
-    """Every document becomes lines of a file of its source, n_chars bytes less the line end, at any depth."""
+    """Files of their source, at any depth, whose lines hold the whole tokens of its documents; a task writes one per source.
+
+    A document's rows have n_chars bytes, the line end at least. What two bytes leave over in a row makes a token with
+    that of the document's next row. A line end by itself, no token, stands for the source.
+    """
     path = shared_dir(spark)
-    rows = b.table(spark, d, "documents").select(
-        "source", F.col("doc_id").alias("part"), F.repeat(F.lit("x"), (F.col("n_chars") - 1).cast("int")).alias("value")
-    )
-    rows.write.partitionBy("source", "part").text(path)
-    names = [r["source"] for r in rows.select("source").distinct().collect()]
+    docs = b.table(spark, d, "documents").select("source", "doc_id", F.greatest(F.coalesce("n_chars", F.lit(1)), F.lit(1)).alias("n"))
+    left = docs.groupBy("source", "doc_id").agg(F.sum(F.col("n") % 2).alias("n"))
+    lines = docs.select("source", "n").unionByName(left.select("source", "n")).where("n > 1")
+    # an even number of bytes, one of them the line end
+    lines = lines.select("source", (F.col("n") - F.col("n") % 2 - 1).cast("int").alias("n"))
+    rows = lines.unionByName(docs.select("source", F.lit(0).alias("n")).distinct())
+    written = rows.select("source", F.spark_partition_id().alias("part"), F.repeat(F.lit("x"), F.col("n")).alias("value"))
+    written.write.partitionBy("source", "part").text(path)
+    names = [r["source"] for r in docs.select("source").distinct().collect()]
     files = manifests.source_files(spark, {name: [f"{path}/source={name}/**/*.txt"] for name in names})
     return _rounded(mixture.token_counts(files, "uint16").select("source", "tokens", "n_failed", "ratio"), "ratio")
 

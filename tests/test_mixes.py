@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoremill.operators import cells as cell_ops
 from scoremill.operators import manifest, mixture, ordering
-from scoremill.plans import mixes
+from scoremill.plans import mixes, registered
 from scoremill.session import local_table, shared_dir
 from scoremill.sources import export, manifests
 
@@ -295,3 +295,17 @@ def test_token_counts_read_files_once(spark, tmp_path):
     counts.collect()
     plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan and plan.count("FileScan") <= 1
+
+
+def test_files_of_documents_are_few_and_hold_all_tokens(spark, tmp_path, monkeypatch):
+    """A file per task and source instead of one per document; rows of one id still share odd bytes."""
+    docs = [(i, f"s{i % 2}", 100 + i) for i in range(300)] + [(7, "s1", 107), (None, "s0", 3), (None, "s0", 3), (900, "s0", None)]
+    docs += [(901, "short", 0), (902, "short", 1), (903, "short", None)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registered, "shared_dir", lambda _: f"{tmp_path}/files")
+    got = {r["source"]: (r["tokens"], r["n_failed"]) for r in registered.file_tokens(spark, str(tmp_path)).collect()}
+    size = {}
+    for i, s, n in docs:
+        size[s, i] = size.get((s, i), 0) + max(n or 1, 1)
+    assert got == {s: (sum(n // 2 for (t, _), n in size.items() if t == s), 0) for s in ("s0", "s1", "short")}
+    assert len(list((tmp_path / "files").rglob("*.txt"))) < 60
