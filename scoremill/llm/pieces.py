@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ from scoremill.llm.words import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHED = 1_500_000  # chunks a worker remembers before it starts anew, some 330 MB; changes no result
-CHUNK = 2 << 20  # characters of text worked on at a time
+CACHED = 500_000  # chunks a worker remembers before it starts anew, some 110 MB; changes no result
+CHUNK = 1 << 20  # characters of text worked on at a time
 LOCKSTEP = 32  # characters of chunks whose forward pass is shared; longer ones go alone; changes no result
 TOGETHER = 1 << 15  # chunks in a shared forward pass
 UNIT = 1_000_000
@@ -45,7 +46,7 @@ CHUNKS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 MARK = "▁"  # a blank in the vocabulary file
 ENCODED = (
     "struct<ids:array<int>,score:double,"
-    "others:array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>>"
+    "others:array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>"
 )
 
 
@@ -398,14 +399,16 @@ OTHERS = pa.list_(
 )
 
 
-def encoding(vocabulary: Vocabulary, text: Column | str = "text", n: int = BEST) -> Column:
-    """Column struct(ids, score, others) for a text.
+def encoding(vocabulary: Vocabulary, text: Column | str = "text", n: int = BEST, check: bool = False) -> Column:
+    """Column struct(ids, score, others) for a text, with ``check`` also round_trip: whether the decoded ids give the text.
 
     ``ids`` is the best segmentation and ``score`` minus its cost. ``others`` holds up to n - 1 further ones in order
     of their score: each replaces ``drop`` ids of the best from place ``at`` (from 0) by ``ids``, for every edit. A
     null or empty text has no ids, score 0 and no others.
     """
     kept: list[Encoder] = []
+    # where the ids were made, as a second function would have a Python process of its own
+    decode = decoder(vocabulary) if check else None
 
     def encode(texts: pa.Array) -> pa.Array:
         if not kept:
@@ -415,19 +418,19 @@ def encoding(vocabulary: Vocabulary, text: Column | str = "text", n: int = BEST)
         for low, high in _groups(values):
             ids, starts, scores, others = kept[0].encode(values[low:high])
             listed = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-            parts.append(
-                pa.StructArray.from_arrays(
-                    [listed, pa.array(scores, pa.float64()), pa.array(others, OTHERS)], ["ids", "score", "others"]
-                )
-            )
-        kind = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("others", OTHERS)])
-        return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+            fields = {"ids": listed, "score": pa.array(scores, pa.float64()), "others": pa.array(others, OTHERS)}
+            if decode:
+                fields["round_trip"] = pc.equal(decode(listed), pa.array(values[low:high], pa.string()))
+            parts.append(pa.StructArray.from_arrays([*fields.values()], [*fields]))
+        kind = [("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("others", OTHERS)] + [("round_trip", pa.bool_())] * check
+        return pa.concat_arrays([p.cast(pa.struct(kind)) for p in parts]) if parts else pa.array([], pa.struct(kind))
 
-    return F.arrow_udf(encode, ENCODED).asNondeterministic()(text_of(text))
+    result = f"{ENCODED},round_trip:boolean>" if check else f"{ENCODED}>"
+    return F.arrow_udf(encode, result).asNondeterministic()(text_of(text))
 
 
-def decoding(vocabulary: Vocabulary, ids: Column | str = "ids") -> Column:
-    """Column with the text of ids. Null ids give null; ids beyond the vocabulary fail; broken bytes become U+FFFD."""
+def decoder(vocabulary: Vocabulary):
+    """Function from Arrow lists of ids to their texts."""
     sizes = np.array([len(t) for t in vocabulary.text], np.int64)
     firsts = np.cumsum(sizes) - sizes
     written = np.frombuffer(b"".join(vocabulary.text), np.uint8)
@@ -454,8 +457,17 @@ def decoding(vocabulary: Vocabulary, ids: Column | str = "ids") -> Column:
             low = high
         return pa.array(out, pa.string())
 
-    column = F.col(ids) if isinstance(ids, str) else ids
-    return F.arrow_udf(decode, "string")(column)
+    return decode
+
+
+def decoding(vocabulary: Vocabulary, ids: Column | str = "ids") -> Column:
+    """Column with the text of ids. Null ids give null; ids beyond the vocabulary fail; broken bytes become U+FFFD."""
+    decode = decoder(vocabulary)
+
+    def work(lists: pa.Array) -> pa.Array:
+        return decode(lists)
+
+    return F.arrow_udf(work, "string")(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = BEST) -> DataFrame:
@@ -466,12 +478,12 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = BEST) -> DataFrame:
     """
     small_batches(docs)
     vocabulary = load(path)
-    encoded = docs.select("doc_id", F.col("text"), encoding(vocabulary, "text", n).alias("e"))
+    encoded = docs.select("doc_id", encoding(vocabulary, "text", n, check=True).alias("e"))
     return encoded.select(
         "doc_id",
         F.size("e.ids").alias("n_pieces"),
         "e.score",
         "e.ids",
         "e.others",
-        (decoding(vocabulary, F.col("e.ids")) == text_of("text")).alias("round_trip"),
+        "e.round_trip",
     )

@@ -135,3 +135,11 @@ def test_odd_rows(spark, vocabulary):
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[0]["ids"] == by_id[1]["ids"] == [] and by_id[0]["score"] == 0 and by_id[0]["others"] == []
     assert pieces.encode(docs.where("doc_id < 0")).count() == 0
+
+
+def test_encoding_and_decoding_share_a_process(spark):
+    """A second function would run in a Python process of its own, beside the first one in every task."""
+    docs = spark.createDataFrame([(1, "a  b"), (2, None), (3, "")], "doc_id long, text string")
+    out = pieces.encode(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["round_trip"] for r in out.collect()] == [True] * 3
