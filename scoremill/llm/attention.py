@@ -26,18 +26,20 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from itertools import chain
+from itertools import chain, count as counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from scoremill.llm import blocks
-from scoremill.llm.alignment import Pieces, lanes, spread
+from scoremill.llm.alignment import Pieces, lanes
 from scoremill.llm.pieces import CHUNKS, MARK
 from scoremill.session import stage
 
@@ -56,12 +58,14 @@ CALM = 1e-5  # squared gradients that every weight starts with
 TRAINER = 8_000_000  # ids a trainer learns from in a round, about
 FAN = 16  # sets of parameters added up at a time
 BLOCK = 6 << 20  # bytes of text whose words are listed together
+ENCODED = 1 << 14  # chunks tokenized at a time
+PART = 1 << 20  # ids of texts in work at a time; a longer text is one by itself
 LONG_WORD = 64  # characters; longer words are known by their digest
 NEVER = -1e9
 HIGH = 60.0
 
 WRITTEN = (
-    "block long, row int, doc_id long, held_out boolean, slot int, n_tokens long, ids array<short>, at array<int>, times array<int>, "
+    "block long, row int, doc_id long, held_out boolean, slot int, n_tokens long, ids binary, at array<int>, times array<int>, "
     "word array<string>, n array<long>, piece array<int>, seen array<long>"
 )
 PARAMETERS = "node long, weight double, raw binary"
@@ -69,7 +73,7 @@ SCORED = "block long, row int, doc_id long, held_out boolean, n_tokens long, sco
 BASE = "block long, row int, n_known long, base_score double"
 SCHEMA = pa.schema(
     [("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("slot", pa.int32()), ("n_tokens", pa.int64())]
-    + [("ids", pa.list_(pa.int16())), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+    + [("ids", pa.binary()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
     + [("word", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))]
     + [("piece", pa.list_(pa.int32())), ("seen", pa.list_(pa.int64()))]
 )
@@ -154,7 +158,8 @@ class Windows:
 
 def windows(ids: np.ndarray, lengths: np.ndarray, padding: int, size: int = BATCH) -> Iterator[Windows]:
     """Windows over texts, whose ids end with END, ``size`` at a time. A text without ids has none."""
-    flat = np.concatenate([ids, [END]]).astype(np.int64)
+    flat = np.full(len(ids) + 1, END, np.int64)
+    flat[:-1] = ids
     first = np.cumsum(lengths) - lengths
     number = -(-lengths // STEP)
     owner = np.repeat(np.arange(len(lengths)), number)
@@ -325,10 +330,11 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = len(self)
-        return self[key]
+def _numbers(first: str | bytes) -> defaultdict:
+    """Numbers of the keys it is asked for, in that order; the first has 0."""
+    numbers = defaultdict(counter().__next__)
+    numbers[first]
+    return numbers
 
 
 def chunks(text: str) -> list[str]:
@@ -336,12 +342,33 @@ def chunks(text: str) -> list[str]:
     return [f" {p}" for p in lanes(text)] if MARK in text else CHUNKS.findall(f" {text}") if text else []
 
 
-def _unfold(lists: list[list[int]], which: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the lists named in ``which``, and how many come from each of its runs of ``lengths``."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    values = np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())
+def _unfold(values: np.ndarray, sizes: np.ndarray, which: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists named in ``which``, given all lists' values and sizes, and how many come from each of its runs of ``lengths``."""
     mine = sizes[which]
-    return values[spread((np.cumsum(sizes) - sizes)[which], mine)], blocks.totals(mine, lengths)
+    ends = np.cumsum(mine)
+    # where a list starts, less where it comes to lie
+    shift = (np.cumsum(sizes) - sizes)[which] - (ends - mine)
+    at = np.repeat(shift.astype(np.int32), mine)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at], blocks.totals(mine, lengths)
+
+
+def _listed(lists: list[list[int]], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), kind, sizes.sum()), sizes
+
+
+BLANK = " \t\n\r\x0b\x0c"
+
+
+def _words(parts: list[str], numbers: defaultdict) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of all chunks, and how many each has."""
+    words = " ".join(parts).encode().split()
+    # a chunk whose last character is no blank has a word; if there are no more words than such chunks, all have that one
+    sizes = np.fromiter((p[-1] not in BLANK for p in parts), np.int64, len(parts))
+    if len(words) != sizes.sum():
+        sizes = np.fromiter((len(p.encode().split()) for p in parts), np.int64, len(parts))
+    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), sizes
 
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -349,36 +376,42 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 def read_block(block: pa.RecordBatch, number: int, path: str) -> Iterator[pa.RecordBatch]:
     """Rows of the documents of a block, and one with its words and ids and how often training documents hold them."""
-    kinds = _Numbers({"": 0})  # chunks; the first is the end
-    held = [np.fromiter(map(kinds.__getitem__, [*chunks((t or "").encode().translate(LOWER).decode()), ""]), np.int64) for t in block.column("text").to_pylist()]
+    kinds, numbers = _numbers(""), _numbers(b"")  # chunks and words; the first is the end
+    held = []
+    for text in block.column("text"):
+        lower = (text.as_py() or "").encode().translate(LOWER).decode()
+        held.append(np.fromiter(map(kinds.__getitem__, [*chunks(lower), ""]), np.int32))
     n, lengths, held = len(held), np.array([len(c) for c in held], np.int64), np.concatenate(held)
-    pieces = [[END], *_pieces(path).encode_chunks(list(kinds)[1:])]
-    flat_ids, sizes = _unfold(pieces, held, lengths)
-    numbers = _Numbers({b"": 0})  # the end
-    words = [[0], *([numbers[w] for w in c.encode().split()] for c in list(kinds)[1:])]
-    flat, long = _unfold(words, held, lengths)
+    parts, kinds = list(kinds)[1:], None
+    pieces, words = [(np.array([END], np.int16), np.ones(1, np.int64))], [(np.zeros(1, np.int32), np.ones(1, np.int64))]
+    for low in range(0, len(parts), ENCODED):
+        some = parts[low : low + ENCODED]
+        pieces.append(_listed(_pieces(path).encode_chunks(some), np.int16))
+        words.append(_words(some, numbers))
+    parts = None
+    flat_ids, sizes = _unfold(*map(np.concatenate, zip(*pieces)), held, lengths)
+    flat, long = _unfold(*map(np.concatenate, zip(*words)), held, lengths)
     owner = np.repeat(np.arange(n), long)
     key, times = np.unique(owner * len(numbers) + flat, return_counts=True)
     doc, at = np.divmod(key, len(numbers))
     learned = ~np.asarray(block.column("held_out").to_numpy(zero_copy_only=False))
     trained = np.bincount(at, times * learned[doc], len(numbers)).astype(np.int64)
-    flat_ids = flat_ids.astype(np.int16)
     seen = np.bincount(flat_ids[np.repeat(learned, sizes)], minlength=1)
     ends = np.cumsum(np.bincount(doc, minlength=n))
-    listed = [w.decode() if len(w) <= LONG_WORD else " " + hashlib.sha256(w).hexdigest() for w in numbers]
     held = np.flatnonzero(seen)
     columns = {
         "block": pa.array([number] * n),
         "row": pa.array(np.arange(n), pa.int32()),
         **{c: block.column(c) for c in ("doc_id", "held_out", "slot")},
         "n_tokens": pa.array(long),
-        "ids": blocks.lists(flat_ids, np.cumsum(sizes), pa.int16()),
+        "ids": _packed(flat_ids, sizes),
         "at": blocks.lists(np.where(np.diff(doc, prepend=-1) > 0, at, np.diff(at, prepend=0)), ends, pa.int32()),
         "times": blocks.lists(times, ends, pa.int32()),
     }
+    listed = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).hexdigest().encode() for w in numbers]
     one = {
         "block": pa.array([number]),
-        "word": pa.array([listed], pa.list_(pa.string())),
+        "word": pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), pa.array(listed, pa.binary()).cast(pa.string())),
         "n": blocks.lists(trained, np.array([len(trained)]), pa.int64()),
         "piece": blocks.lists(held, np.array([len(held)]), pa.int32()),
         "seen": blocks.lists(seen[held], np.array([len(held)]), pa.int64()),
@@ -406,26 +439,61 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), column.value_lengths().to_numpy().astype(np.int64)
 
 
-def count(read: DataFrame, vocabulary: int) -> Counts:
-    """Counts over all training documents. What reaches the driver is bounded by ids and ids times classes."""
-    seen = np.zeros(vocabulary)
-    for r in blocks.dictionary(read, "piece", "seen").groupBy("piece").agg(F.sum("seen").alias("n")).collect():
-        seen[r["piece"]] = r["n"]
-    class_of, share = classes(seen)
+def _packed(ids: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    """Texts' ids as bytes: the JVM passes them on as they are, while it takes up every value of a list."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of texts, packed or in lists."""
+    if not pa.types.is_binary(column.type):
+        return _lists(column)
+    if not len(column):
+        return np.zeros(0, np.int16), np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset) >> 1
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, np.int16, ends[-1] - ends[0], 2 * ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.int16), np.diff(ends).astype(np.int64)
+
+
+def parts(ids: np.ndarray, lengths: np.ndarray, most: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts one after the other, with at most so many ids or one text at a time. What is worked out for an id is many times its size."""
+    ends, low = np.cumsum(lengths), 0
+    while low < len(lengths):
+        begin = ends[low] - lengths[low]
+        high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
+        yield ids[begin : ends[high - 1]], lengths[low:high]
+        low = high
+
+
+def _pairing(class_of: np.ndarray):
+    """Counts of (id before, class), of a task's texts."""
     n = SINGLE + SHARED
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary * n, np.int64)
+        total = np.zeros(len(class_of) * n, np.int64)
         for batch in batches:
-            ids, lengths = _lists(batch.column("ids"))
-            if len(ids):
-                before = np.concatenate([[START], ids[:-1]]).astype(np.int64)
-                before[np.cumsum(lengths) - lengths] = START
-                total += np.bincount(before * n + class_of[ids], minlength=len(total))
+            for ids, lengths in parts(*_ids(batch.column("ids"))):
+                before = np.empty(len(ids), np.int64)
+                before[1:] = ids[:-1]
+                before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+                before *= n
+                before += class_of[ids]
+                total += np.bincount(before, minlength=len(total))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": cells, "n": total[cells]})
 
-    learned = read.where("NOT held_out").select("ids").mapInArrow(pairs, "cell long, n long")
+    return pairs
+
+
+def count(read: DataFrame, vocabulary: int) -> Counts:
+    """Counts over all training documents. What reaches the driver is bounded by ids and ids times classes."""
+    seen = np.zeros(vocabulary)
+    for r in blocks.dictionary(read, "piece", "seen").groupBy("piece").agg(F.sum("seen").alias("n")).collect():
+        seen[r["piece"]] = r["n"]
+    class_of, share = classes(seen)
+    n = SINGLE + SHARED
+    learned = read.where("NOT held_out").select("ids").mapInArrow(_pairing(class_of), "cell long, n long")
     table = learned.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells = np.zeros(vocabulary * n)
     cells[table["cell"].to_numpy()] = table["n"].to_numpy()
@@ -450,9 +518,9 @@ def _trainer(layer: Layer, counts: Counts):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, weight = Training(layer.like(layer.to_bytes()), counts), 0.0
         for batch in batches:
-            ids, lengths = _lists(batch.column("ids"))
-            mine.learn(ids, lengths)
-            weight += len(ids)
+            for ids, lengths in parts(*_ids(batch.column("ids"))):
+                mine.learn(ids, lengths)
+                weight += len(ids)
         if weight:
             node = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"node": [node], "weight": [weight], "raw": [mine.layer.to_bytes()]})
@@ -464,7 +532,8 @@ def fit(read: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Layer:
     """The layer after rounds of distributed training, which together learn from every training document once."""
     layer = Layer.start(len(counts.class_of), counts.after.shape[1])
     learned = read.where("NOT held_out")
-    total = learned.agg(F.sum(F.size("ids"))).first()[0] or 0
+    size = F.size("ids") if isinstance(read.schema["ids"].dataType, ArrayType) else F.length("ids") / 2
+    total = int(learned.agg(F.sum(size)).first()[0] or 0)
     for number in range(rounds if total else 0):
         mine = learned.where(F.col("slot") % rounds == number).select("ids")
         trainers = -(-total // (rounds * TRAINER))
@@ -527,7 +596,8 @@ def _scoring(layer: Layer, counts: Counts):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(layer, counts)
         for batch in batches:
-            scores = pa.array(scorer.score(*_lists(batch.column("ids"))), pa.float64())
+            scores = [scorer.score(*part) for part in parts(*_ids(batch.column("ids")))]
+            scores = pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "score"])
 
     return work

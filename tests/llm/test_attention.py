@@ -3,10 +3,12 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scoremill.llm import attention as at
@@ -212,3 +214,37 @@ def test_chunks_are_tokenized_as_whole_texts():
     pieces = at._pieces(at.MODEL)
     for t in texts:
         assert [i for ids in pieces.encode_chunks(at.chunks(t)) for i in ids] == (pieces.encode(t).tolist() if t else []), repr(t)
+
+
+def test_memory_does_not_grow_with_a_batch(monkeypatch):
+    """Many ids in one Arrow batch: every step works on a part of them at a time."""
+    rng = np.random.default_rng(5)
+    texts = texts_of(rng, 100, [1000] * 4000)
+    ids, lengths = flat(texts)
+    counts = counts_of(texts[:100], 100)
+    layer = at.Layer.start(100, at.SINGLE + at.SHARED)
+    monkeypatch.setattr(at, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    lists = pa.record_batch({"ids": pa.ListArray.from_arrays(ends, pa.array(ids, pa.int16()))})
+    packed = pa.record_batch({"ids": at._packed(ids.astype(np.int16), lengths)})
+    small = lists.slice(0, 400)
+    del texts, ids
+    for work in (at._scoring(layer, counts), at._trainer(layer, counts), at._pairing(counts.class_of)):
+        for batch in (lists, packed) if work.__name__ == "work" else (lists,):
+            tracemalloc.start()
+            for _ in work(iter([batch])):
+                pass
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            # the ids alone take 32 MB as int64
+            assert peak < 45e6, (work.__name__, peak)
+    found = [next(at._scoring(layer, counts)(iter([b]))).column("score").to_numpy() for b in (small, packed.slice(0, 400), packed.slice(100, 300))]
+    assert np.allclose(found[0], found[1], rtol=1e-6) and np.allclose(found[0][100:], found[2], rtol=1e-6)
+
+
+def test_parts_of_texts():
+    lengths = np.array([0, 3, 5, 0, 20, 1, 1, 0])
+    found = list(at.parts(np.arange(30), lengths, 8))
+    assert [n.tolist() for _, n in found] == [[0, 3, 5, 0], [20], [1, 1, 0]]
+    assert np.concatenate([i for i, _ in found]).tolist() == list(range(30))
+    assert list(at.parts(np.arange(0), np.zeros(0, np.int64))) == []
