@@ -18,12 +18,13 @@ position serves both. Texts are tokenized chunk by chunk (blanks with the word b
 border of one, and a block of documents tokenizes each of its chunks once.
 
 The base score needs a count for every word: blocks of documents list their words once and get the counts back
-(:mod:`scoremill.llm.blocks`).
+(:mod:`scoremill.llm.blocks`), but for words that are theirs alone.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import math
 from collections import defaultdict
@@ -34,7 +35,7 @@ from itertools import chain, count as counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -65,17 +66,16 @@ NEVER = -1e9
 HIGH = 60.0
 
 WRITTEN = (
-    "block long, row int, doc_id long, held_out boolean, slot int, n_tokens long, ids binary, at array<int>, times array<int>, "
-    "word array<string>, n array<long>, piece array<int>, seen array<long>"
+    "block long, row int, doc_id long, held_out boolean, slot int, n_tokens long, ids binary, "
+    "word array<string>, n array<long>, piece array<int>, seen array<long>, held binary"
 )
 PARAMETERS = "node long, weight double, raw binary"
 SCORED = "block long, row int, doc_id long, held_out boolean, n_tokens long, score double"
 BASE = "block long, row int, n_known long, base_score double"
 SCHEMA = pa.schema(
     [("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("slot", pa.int32()), ("n_tokens", pa.int64())]
-    + [("ids", pa.binary()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
-    + [("word", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))]
-    + [("piece", pa.list_(pa.int32())), ("seen", pa.list_(pa.int64()))]
+    + [("ids", pa.binary()), ("word", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))]
+    + [("piece", pa.list_(pa.int32())), ("seen", pa.list_(pa.int64())), ("held", pa.binary())]
 )
 
 
@@ -148,50 +148,52 @@ def after(pairs: np.ndarray, class_of: np.ndarray, seen: np.ndarray) -> np.ndarr
 
 @dataclass(frozen=True)
 class Windows:
-    """Inputs (padding: the number of ids), whether each is none, targets (none: -1), and the text of every window."""
+    """Of windows one after the other: inputs in blocks of STEP (padding: the number of ids), targets (none: -1), and texts.
+
+    The first block is the context of the first window, the others are what each window scores. ``first`` says which
+    windows begin a text.
+    """
 
     inputs: np.ndarray
-    absent: np.ndarray
+    first: np.ndarray
     targets: np.ndarray
     owner: np.ndarray
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray, padding: int, size: int = BATCH) -> Iterator[Windows]:
     """Windows over texts, whose ids end with END, ``size`` at a time. A text without ids has none."""
-    flat = np.full(len(ids) + 1, END, np.int64)
-    flat[:-1] = ids
-    first = np.cumsum(lengths) - lengths
     number = -(-lengths // STEP)
     owner = np.repeat(np.arange(len(lengths)), number)
-    begin = (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)) * STEP
+    begin = (np.cumsum(number) - number)[lengths > 0]
+    first = np.zeros(len(owner), bool)
+    first[begin] = True
+    # texts lie STEP by STEP, each from a block of its own; input 0 is START, input p the id at p - 1, its target the id at p
+    place = np.repeat((np.cumsum(number) - number) * STEP - np.cumsum(lengths) + lengths, lengths)
+    place += np.arange(len(ids))
+    targets = np.full(len(owner) * STEP, -1, np.int64)
+    targets[place] = ids
+    inputs = np.full((len(owner) + 1) * STEP, padding, np.int64)
+    inputs[place[1:] + STEP] = ids[:-1]
+    targets, inputs = targets.reshape(-1, STEP), inputs.reshape(-1, STEP)
+    inputs[begin + 1, 0] = START
     for low in range(0, len(owner), size):
-        o, b = owner[low : low + size], begin[low : low + size, None]
-        f, n = first[o][:, None], lengths[o][:, None]
-        # input 0 is START, input p the id at p - 1; its target is the id at p
-        place = b + np.arange(-STEP, STEP)
-        absent = (place < 0) | (place >= n)
-        inputs = np.where(absent, padding, np.where(place == 0, START, flat[f + np.clip(place - 1, 0, n - 1)]))
-        here = b + np.arange(STEP)
-        targets = np.where(here < n, flat[f + np.minimum(here, n - 1)], -1)
-        yield Windows(inputs, absent, targets, o)
+        mine = inputs[low : low + size + 1]
+        if first[low]:
+            mine = np.concatenate([np.full((1, STEP), padding), mine[1:]])
+        yield Windows(mine, first[low : low + size], targets[low : low + size], owner[low : low + size])
 
 
 CAUSAL = np.where(np.arange(2 * STEP) > np.arange(STEP)[:, None] + STEP, np.float32(NEVER), np.float32(0))
 DISTANCE = np.clip(np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP), 0, 2 * STEP - 1)
 
 
-def in_blocks(w: Windows) -> np.ndarray:
-    """Inputs in blocks of STEP: the context of the first window, and what every window scores."""
-    return np.concatenate([w.inputs[:1, :STEP], w.inputs[:, STEP:]])
-
-
 def with_context(x: np.ndarray) -> np.ndarray:
     """Every block but the first behind the block before it, as a view. For the first window of a text that is another text's."""
-    return np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * STEP, x.shape[2]), x.strides, writeable=False)
+    return np.ndarray((len(x) - 1, 2 * STEP, x.shape[2]), x.dtype, x, 0, x.strides)
 
 
-def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and what is attended to, for every scored position; ``first`` windows of a text have no context."""
+def attend(q: np.ndarray, k: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights for every scored position, and what to divide them by; ``first`` windows of a text have no context."""
     w = q @ k.transpose(0, 2, 1)
     w += bias
     w[first, :, :STEP] = NEVER
@@ -199,8 +201,7 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, first:
     if not (w.max() < HIGH and w[:, np.arange(STEP), np.arange(STEP, 2 * STEP)].min() > -HIGH):
         w -= w.max(2, keepdims=True)
     np.exp(w, out=w)
-    w /= (w.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, w.dtype)).reshape(len(w), STEP, 1)
-    return w, w @ v
+    return w, (w.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, w.dtype)).reshape(len(w), STEP, 1)
 
 
 def moderate(out: np.ndarray) -> bool:
@@ -224,14 +225,15 @@ class Scorer:
         total = np.zeros(len(lengths))
         c, width = self.counts, self.layer.embed.shape[1]
         for w in windows(ids, lengths, len(c.class_of)):
-            last = w.inputs[:, STEP:]
-            known = self.known.take(in_blocks(w), 0, mode="clip")
-            k, v = with_context(known[:, :, 2 * width : 3 * width]), with_context(known[:, :, 3 * width :])
-            _, a = attend(known[1:, :, :width], k, v, self.bias, w.absent[:, 0])
+            known = self.known.take(w.inputs, 0, mode="clip")
+            around = with_context(known)
+            weight, whole = attend(known[1:, :, :width], around[:, :, 2 * width : 3 * width], self.bias, w.first)
+            a = weight @ around[:, :, 3 * width :]
+            a /= whole
             a += known[1:, :, width : 2 * width]
             logits = np.tanh(a, out=a).reshape(-1, width) @ self.layer.out
             # positions behind the end of a text have no target and may look up anything
-            logits += c.after.take(last.ravel(), 0, mode="clip")
+            logits += c.after.take(w.inputs[1:].ravel(), 0, mode="clip")
             if not self.bounded:
                 logits -= logits.max(1, keepdims=True)
             target = w.targets.ravel()
@@ -245,50 +247,63 @@ class Scorer:
 
 def gradients(layer: Layer, counts: Counts, w: Windows) -> tuple[float, np.ndarray, list[np.ndarray]]:
     """Mean loss over the scored ids of a batch, the ids in it, and the gradient of the arrays; of embeddings, for those ids."""
-    width, ids = layer.embed.shape[1], in_blocks(w)
+    width, ids = layer.embed.shape[1], w.inputs
     x = layer.embed.take(ids, 0)
     flat_x, here = x.reshape(-1, width), x[1:]
     query = layer.query * np.float32(width**-0.5)
     key_value = np.concatenate([layer.key, layer.value], 1)
     q, known = here @ query, (flat_x @ key_value).reshape(*ids.shape, 2 * width)
-    k, v = with_context(known[:, :, :width]), with_context(known[:, :, width:])
-    weight, a = attend(q, k, v, CAUSAL + layer.distance[DISTANCE], w.absent[:, 0])
-    h = np.tanh(here + a).reshape(-1, width)
+    around = with_context(known)
+    k, v = around[:, :, :width], around[:, :, width:]
+    weight, whole = attend(q, k, CAUSAL + layer.distance[DISTANCE], w.first)
+    weight /= whole
+    a = weight @ v
+    h = (here + a).reshape(-1, width)
+    np.tanh(h, out=h)
     logits = h @ layer.out
     # positions behind the end of a text have no target and may look up anything
-    logits += counts.after.take(w.inputs[:, STEP:].ravel(), 0, mode="clip")
+    logits += counts.after.take(ids[1:].ravel(), 0, mode="clip")
     if not moderate(layer.out):
         logits -= logits.max(1, keepdims=True)
     g = np.exp(logits, out=logits)
     whole = g @ np.ones(g.shape[1], g.dtype)
     target = w.targets.ravel()
     real = np.flatnonzero(target >= 0)
-    n, cell = max(1, len(real)), (real, counts.class_of[target[real]])
-    loss = -float(np.log(g[cell] / whole[real]).sum()) / n
+    n, cell, of_real = max(1, len(real)), (real, counts.class_of[target[real]]), whole[real]
+    chosen = g[cell]
+    loss = -float(np.log(chosen / of_real).sum()) / n
     share = np.zeros_like(whole)
-    share[real] = 1 / (whole[real] * n)
-    g *= share[:, None]
-    g[cell] -= 1 / n
-    g_out = h.T @ g
-    g_sum = ((g @ layer.out.T) * (1 - h * h)).reshape(a.shape)
+    share[real] = 1 / (of_real * n)
+    # the gradient of the logits is this times the share, which goes to the narrower factors
+    g[cell] = chosen - of_real
+    share = share[:, None]
+    g_out = (h * share).T @ g
+    h *= h
+    np.subtract(1, h, out=h)
+    h *= share
+    h *= g @ layer.out.T
+    g_sum = h.reshape(a.shape)
     g_s = g_sum @ v.transpose(0, 2, 1)
-    g_s -= (g_sum * a).sum(2, keepdims=True)
+    g_s -= np.einsum("bsw,bsw->bs", g_sum, a)[:, :, None]
     g_s *= weight
     g_distance = np.bincount(DISTANCE.ravel(), g_s.sum(0).ravel(), 2 * STEP).astype(np.float32)
     g_q = (g_s @ k).reshape(-1, width)
-    g_known = np.zeros(known.shape, known.dtype)
-    for place, part in enumerate((g_s.transpose(0, 2, 1) @ q, weight.transpose(0, 2, 1) @ g_sum)):
-        mine = g_known[:, :, place * width : (place + 1) * width]
-        mine[1:] = part[:, STEP:]
-        mine[:-1] += part[:, :STEP]
+    both = np.empty(around.shape, known.dtype)
+    np.matmul(g_s.transpose(0, 2, 1), q, out=both[:, :, :width])
+    np.matmul(weight.transpose(0, 2, 1), g_sum, out=both[:, :, width:])
+    g_known = np.empty_like(known)
+    g_known[1:] = both[:, STEP:]
+    g_known[0] = 0
+    g_known[:-1] += both[:, :STEP]
     g_known = g_known.reshape(-1, 2 * width)
     g_x = g_known @ key_value.T
-    g_x[STEP:] += g_q @ query.T
-    g_x[STEP:] += g_sum.reshape(-1, width)
+    rest = g_q @ query.T
+    rest += h
+    g_x[STEP:] += rest
     flat = ids.ravel()
     order = np.argsort(flat.astype(np.min_scalar_type(len(counts.class_of))), kind="stable")
     flat = flat[order]
-    begin = np.flatnonzero(np.diff(flat, prepend=-1))
+    begin = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(flat[1:] != flat[:-1]) + 1])
     rows, g_embed = flat[begin], np.add.reduceat(g_x[order], begin, 0)
     g_embed[rows == len(counts.class_of)] = 0
     g_key_value = flat_x.T @ g_known
@@ -397,16 +412,15 @@ def read_block(block: pa.RecordBatch, number: int, path: str) -> Iterator[pa.Rec
     learned = ~np.asarray(block.column("held_out").to_numpy(zero_copy_only=False))
     trained = np.bincount(at, times * learned[doc], len(numbers)).astype(np.int64)
     seen = np.bincount(flat_ids[np.repeat(learned, sizes)], minlength=1)
-    ends = np.cumsum(np.bincount(doc, minlength=n))
+    distinct = np.bincount(doc, minlength=n)
     held = np.flatnonzero(seen)
+    steps = np.where(np.diff(doc, prepend=-1) > 0, at, np.diff(at, prepend=0))
     columns = {
         "block": pa.array([number] * n),
         "row": pa.array(np.arange(n), pa.int32()),
         **{c: block.column(c) for c in ("doc_id", "held_out", "slot")},
         "n_tokens": pa.array(long),
         "ids": _packed(flat_ids, sizes),
-        "at": blocks.lists(np.where(np.diff(doc, prepend=-1) > 0, at, np.diff(at, prepend=0)), ends, pa.int32()),
-        "times": blocks.lists(times, ends, pa.int32()),
     }
     listed = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).hexdigest().encode() for w in numbers]
     one = {
@@ -415,6 +429,7 @@ def read_block(block: pa.RecordBatch, number: int, path: str) -> Iterator[pa.Rec
         "n": blocks.lists(trained, np.array([len(trained)]), pa.int64()),
         "piece": blocks.lists(held, np.array([len(held)]), pa.int32()),
         "seen": blocks.lists(seen[held], np.array([len(held)]), pa.int64()),
+        "held": pa.array([_shut(distinct, steps, times, trained)], pa.binary()),
     }
     for have, size in ((columns, n), (one, 1)):
         yield pa.RecordBatch.from_arrays([have[f.name] if f.name in have else pa.nulls(size, f.type) for f in SCHEMA], schema=SCHEMA)
@@ -427,8 +442,12 @@ def read_blocks(docs: DataFrame, path: str) -> DataFrame:
     chosen = chosen.select("doc_id", "text", held_out.alias("held_out"), slot.alias("slot"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in zip(blocks.numbers(), blocks.cut(batches, size=BLOCK)):
-            yield from read_block(block, number, path)
+        gc.disable()  # a block's many lists form no cycles, and looking for some takes an eighth of the time
+        try:
+            for number, block in zip(blocks.numbers(), blocks.cut(batches, size=BLOCK)):
+                yield from read_block(block, number, path)
+        finally:
+            gc.enable()
 
     return chosen.mapInArrow(work, WRITTEN)
 
@@ -445,6 +464,23 @@ def _packed(ids: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
 
 
+def _shut(*arrays: np.ndarray) -> bytes:
+    """Arrays of int32 or int64 values as compressed bytes: how many each has, and the values."""
+    raw = b"".join(x.astype(np.int64 if x.max(initial=0) >> 31 else np.int32).tobytes() for x in arrays)
+    kinds = [(len(x), 8 if x.max(initial=0) >> 31 else 4) for x in arrays]
+    return np.array(kinds, np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened(raw: bytes, number: int) -> list[np.ndarray]:
+    """What :func:`_shut` was given."""
+    kinds = np.frombuffer(raw, np.int64, 2 * number).reshape(number, 2)
+    flat, at, out = pa.decompress(raw[16 * number :], int(kinds.prod(1).sum()), "zstd"), 0, []
+    for n, size in kinds.tolist():
+        out.append(np.frombuffer(flat, f"i{size}", n, at).astype(np.int64))
+        at += n * size
+    return out
+
+
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids and lengths of texts, packed or in lists."""
     if not pa.types.is_binary(column.type):
@@ -560,26 +596,29 @@ def score(docs: DataFrame, path: str = MODEL, rounds: int = ROUNDS) -> DataFrame
     layer = fit(read, counts, rounds)
     documents = read.where(F.col("word").isNull())
     # dealt by word once: for the sums, and for the blocks that get them; a word counts as a kind where its first block is
-    listed = blocks.dictionary(read, "word", "n").repartition("word")
-    words = listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("block").alias("first"))
-    values = stage(listed.join(words.hint("merge"), "word").select("block", "place", "c", (F.col("block") == F.col("first")).alias("one")))
+    same, told = Window.partitionBy("word"), Observation()
+    listed = blocks.dictionary(read, "word", "n").withColumns({"c": F.sum("n").over(same), "first": F.min("block").over(same)})
+    listed = listed.observe(told, F.sum(F.expr("int(block = first AND c > 0)")).alias("kinds"))
+    # a block knows the count of a word that no other block adds to
+    values = stage(listed.where("c != n").select("block", "place", "c"))
     total = documents.where("NOT held_out").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    kinds = values.where("one AND c > 0").count()
+    kinds = told.get.get("kinds") or 0
 
     def base(rows: pa.Table, known: pa.Table) -> pa.Table:
-        steps, lengths = _lists(rows["at"])
+        block = rows["block"][0].as_py()
+        lengths, steps, times, c = _opened(rows["held"][0].as_py(), 4)
         at = _places(steps, lengths)
-        times = _lists(rows["times"])[0].astype(np.int64)
-        c = known["c"].to_numpy()
+        c[known["place"].to_numpy()] = known["c"].to_numpy()
         logs = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
         # sums per document, as a running sum over a block would lose digits
         sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), times * logs[at], len(lengths))
         n_known = blocks.totals(times * (c > 0)[at], lengths)
-        return pa.table([rows["block"], rows["row"], pa.array(n_known), pa.array(sums, pa.float64())], ["block", "row", "n_known", "base_score"])
+        columns = [pa.array([block] * len(lengths)), pa.array(np.arange(len(lengths)), pa.int32()), pa.array(n_known), pa.array(sums, pa.float64())]
+        return pa.table(columns, ["block", "row", "n_known", "base_score"])
 
     kept = ["block", "row", "doc_id", "held_out", "n_tokens"]
     scores = documents.select(*kept, "ids").mapInArrow(_scoring(layer, counts), SCORED)
-    based = blocks.give_back(documents.select("block", "row", "at", "times"), values.drop("one"), base, BASE)
+    based = blocks.give_back(read.where(F.col("word").isNotNull()).select("block", "held"), values, base, BASE)
     return scores.join(based, ["block", "row"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
