@@ -15,7 +15,7 @@ as large as the vocabulary and are added up in a tree.
 
 Windows lie in blocks of STEP positions: the context of a window is the block before it, so what is worked out for a
 position serves both. Texts are tokenized chunk by chunk (blanks with the word behind them): no piece goes over the
-border of one, and a block of documents tokenizes each of its chunks once.
+border of one, and a block of documents, which is read in parts, tokenizes each of its chunks once.
 
 The base score needs a count for every word: blocks of documents list their words once and get the counts back
 (:mod:`scoremill.llm.blocks`), but for words that are theirs alone.
@@ -30,7 +30,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from itertools import chain, count as counter
+from itertools import chain, count as counter, islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,8 @@ RATE = 0.1
 CALM = 1e-5  # squared gradients that every weight starts with
 TRAINER = 8_000_000  # ids a trainer learns from in a round, about
 FAN = 16  # sets of parameters added up at a time
-BLOCK = 6 << 20  # bytes of text whose words are listed together
+BLOCK, KINDS = 32 << 20, 400_000  # bytes of text, and different chunks, whose words are listed together, about
+READ = 4 << 20  # bytes of text read at a time; a longer text is one by itself
 ENCODED = 1 << 14  # chunks tokenized at a time
 PART = 1 << 20  # ids of texts in work at a time; a longer text is one by itself
 LONG_WORD = 64  # characters; longer words are known by their digest
@@ -357,15 +358,24 @@ def chunks(text: str) -> list[str]:
     return [f" {p}" for p in lanes(text)] if MARK in text else CHUNKS.findall(f" {text}") if text else []
 
 
-def _unfold(values: np.ndarray, sizes: np.ndarray, which: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the lists named in ``which``, given all lists' values and sizes, and how many come from each of its runs of ``lengths``."""
-    mine = sizes[which]
-    ends = np.cumsum(mine)
-    # where a list starts, less where it comes to lie
-    shift = (np.cumsum(sizes) - sizes)[which] - (ends - mine)
-    at = np.repeat(shift.astype(np.int32), mine)
-    at += np.arange(len(at), dtype=np.int32)
-    return values[at], blocks.totals(mine, lengths)
+class _Lists:
+    """Lists of numbers, known by their own, of which more come; the first holds one number."""
+
+    def __init__(self, first: int, kind: type):
+        self.values, self.sizes = np.array([first], kind), np.ones(1, np.int64)
+
+    def add(self, more: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.values, self.sizes = (np.concatenate(x) for x in zip((self.values, self.sizes), *more))
+
+    def unfold(self, which: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the lists named in ``which``, and how many come from each of its runs of ``lengths``."""
+        mine = self.sizes[which]
+        ends = np.cumsum(mine)
+        # where a list starts, less where it comes to lie
+        shift = (np.cumsum(self.sizes) - self.sizes)[which] - (ends - mine)
+        at = np.repeat(shift.astype(np.int32), mine)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.values[at], blocks.totals(mine, lengths)
 
 
 def _listed(lists: list[list[int]], kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -389,50 +399,111 @@ def _words(parts: list[str], numbers: defaultdict) -> tuple[np.ndarray, np.ndarr
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def read_block(block: pa.RecordBatch, number: int, path: str) -> Iterator[pa.RecordBatch]:
-    """Rows of the documents of a block, and one with its words and ids and how often training documents hold them."""
-    kinds, numbers = _numbers(""), _numbers(b"")  # chunks and words; the first is the end
-    held = []
-    for text in block.column("text"):
-        lower = (text.as_py() or "").encode().translate(LOWER).decode()
-        held.append(np.fromiter(map(kinds.__getitem__, [*chunks(lower), ""]), np.int32))
-    n, lengths, held = len(held), np.array([len(c) for c in held], np.int64), np.concatenate(held)
-    parts, kinds = list(kinds)[1:], None
-    pieces, words = [(np.array([END], np.int16), np.ones(1, np.int64))], [(np.zeros(1, np.int32), np.ones(1, np.int64))]
-    for low in range(0, len(parts), ENCODED):
-        some = parts[low : low + ENCODED]
-        pieces.append(_listed(_pieces(path).encode_chunks(some), np.int16))
-        words.append(_words(some, numbers))
-    parts = None
-    flat_ids, sizes = _unfold(*map(np.concatenate, zip(*pieces)), held, lengths)
-    flat, long = _unfold(*map(np.concatenate, zip(*words)), held, lengths)
-    owner = np.repeat(np.arange(n), long)
-    key, times = np.unique(owner * len(numbers) + flat, return_counts=True)
-    doc, at = np.divmod(key, len(numbers))
-    learned = ~np.asarray(block.column("held_out").to_numpy(zero_copy_only=False))
-    trained = np.bincount(at, times * learned[doc], len(numbers)).astype(np.int64)
-    seen = np.bincount(flat_ids[np.repeat(learned, sizes)], minlength=1)
-    distinct = np.bincount(doc, minlength=n)
-    held = np.flatnonzero(seen)
-    steps = np.where(np.diff(doc, prepend=-1) > 0, at, np.diff(at, prepend=0))
-    columns = {
-        "block": pa.array([number] * n),
-        "row": pa.array(np.arange(n), pa.int32()),
-        **{c: block.column(c) for c in ("doc_id", "held_out", "slot")},
-        "n_tokens": pa.array(long),
-        "ids": _packed(flat_ids, sizes),
-    }
-    listed = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).hexdigest().encode() for w in numbers]
-    one = {
-        "block": pa.array([number]),
-        "word": pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), pa.array(listed, pa.binary()).cast(pa.string())),
-        "n": blocks.lists(trained, np.array([len(trained)]), pa.int64()),
-        "piece": blocks.lists(held, np.array([len(held)]), pa.int32()),
-        "seen": blocks.lists(seen[held], np.array([len(held)]), pa.int64()),
-        "held": pa.array([_shut(distinct, steps, times, trained)], pa.binary()),
-    }
-    for have, size in ((columns, n), (one, 1)):
-        yield pa.RecordBatch.from_arrays([have[f.name] if f.name in have else pa.nulls(size, f.type) for f in SCHEMA], schema=SCHEMA)
+def _rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+def distinct_chunks(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different chunks of texts in lower case, the places of all texts' chunks among them, and how many each text has."""
+    raw = b"".join([b" " + t for t in texts if t]).translate(LOWER)
+    size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    if MARK.encode() in raw:
+        held = [chunks(t.translate(LOWER).decode()) for t in texts]
+        lengths = np.array([len(c) for c in held], np.int64)
+        listed = pa.array([c for doc in held for c in doc], pa.string())
+    else:
+        # as CHUNKS divides them: at line breaks and at the first blank of several
+        data = np.frombuffer(raw, np.uint8)
+        blank, line = data == 32, data == 10
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        ends = np.cumsum(size)
+        begins[(ends - size)[size > 0]] = True
+        begins = np.flatnonzero(begins)
+        lengths = np.diff(np.searchsorted(begins, ends), prepend=0)
+        offsets = np.append(begins, len(raw)).astype(np.int32)
+        listed = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    coded = listed.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lengths
+
+
+class Block:
+    """Documents that share lists of their chunks and words. They are read in parts, each of its chunks once for all."""
+
+    def __init__(self, number: int, path: str):
+        self.number, self.pieces = number, _pieces(path)
+        self.kinds, self.numbers = _numbers(""), _numbers(b"")  # chunks and words; the first is the end
+        self.ids, self.words = _Lists(END, np.int16), _Lists(0, np.int32)
+        self.trained, self.seen = np.zeros(1, np.int64), np.zeros(len(self.pieces.bytes), np.int64)
+        self.rows = self.bytes = 0
+
+    def full(self) -> bool:
+        return len(self.kinds) >= KINDS or self.bytes >= BLOCK
+
+    def read(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows of the documents of a part, and one with the places of their words."""
+        found, which, lengths = distinct_chunks([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+        found = np.fromiter(map(self.kinds.__getitem__, found), np.int32, len(found))
+        # behind the chunks of each document is its end
+        n, held = len(lengths), np.zeros(len(which) + len(lengths), np.int32)
+        held[np.arange(len(which)) + np.repeat(np.arange(n), lengths)] = found[which]
+        lengths += 1
+        new = list(islice(self.kinds, len(self.ids.sizes), None))
+        some = [new[low : low + ENCODED] for low in range(0, len(new), ENCODED)]
+        self.ids.add([_listed(self.pieces.encode_chunks(c), np.int16) for c in some])
+        self.words.add([_words(c, self.numbers) for c in some])
+        flat_ids, sizes = self.ids.unfold(held, lengths)
+        flat, long = self.words.unfold(held, lengths)
+        owner = np.repeat(np.arange(n), long)
+        key, times = np.unique(owner * len(self.numbers) + flat, return_counts=True)
+        doc, at = np.divmod(key, len(self.numbers))
+        learned = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False))
+        trained = np.bincount(at, times * learned[doc], len(self.numbers)).astype(np.int64)
+        trained[: len(self.trained)] += self.trained
+        self.trained = trained
+        self.seen += np.bincount(flat_ids[np.repeat(learned, sizes)], minlength=len(self.seen))
+        steps = np.where(np.diff(doc, prepend=-1) > 0, at, np.diff(at, prepend=0))
+        yield _rows(
+            n,
+            block=pa.array([self.number] * n),
+            row=pa.array(np.arange(self.rows, self.rows + n), pa.int32()),
+            **{c: part.column(c) for c in ("doc_id", "held_out", "slot")},
+            n_tokens=pa.array(long),
+            ids=_packed(flat_ids, sizes),
+        )
+        shut = _shut(np.bincount(doc, minlength=n), steps, times)
+        yield _rows(1, block=pa.array([self.number]), row=pa.array([self.rows], pa.int32()), held=pa.array([shut], pa.binary()))
+        self.rows += n
+        self.bytes += part.column("text").nbytes
+
+    def lists(self) -> pa.RecordBatch:
+        """The row with all words and ids and how often training documents hold them."""
+        listed = [w if len(w) <= LONG_WORD else b" " + hashlib.sha256(w).hexdigest().encode() for w in self.numbers]
+        held = np.flatnonzero(self.seen)
+        return _rows(
+            1,
+            block=pa.array([self.number]),
+            word=pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), pa.array(listed, pa.binary()).cast(pa.string())),
+            n=blocks.lists(self.trained, np.array([len(self.trained)]), pa.int64()),
+            piece=blocks.lists(held, np.array([len(held)]), pa.int32()),
+            seen=blocks.lists(self.seen[held], np.array([len(held)]), pa.int64()),
+            held=pa.array([_shut(self.trained)], pa.binary()),
+        )
+
+
+def read(parts: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Rows of the blocks of a task."""
+    block = None
+    for number in blocks.numbers():
+        for part in parts:
+            block = block or Block(number, path)
+            yield from block.read(part)
+            if block.full():
+                break
+        if block is None:
+            return
+        yield block.lists()
+        block = None
 
 
 def read_blocks(docs: DataFrame, path: str) -> DataFrame:
@@ -444,8 +515,7 @@ def read_blocks(docs: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # a block's many lists form no cycles, and looking for some takes an eighth of the time
         try:
-            for number, block in zip(blocks.numbers(), blocks.cut(batches, size=BLOCK)):
-                yield from read_block(block, number, path)
+            yield from read(blocks.cut(batches, size=READ), path)
         finally:
             gc.enable()
 
@@ -594,7 +664,7 @@ def score(docs: DataFrame, path: str = MODEL, rounds: int = ROUNDS) -> DataFrame
     read = stage(read_blocks(docs, path))
     counts = count(read, len(_pieces(path).bytes))
     layer = fit(read, counts, rounds)
-    documents = read.where(F.col("word").isNull())
+    documents = read.where(F.col("ids").isNotNull())
     # dealt by word once: for the sums, and for the blocks that get them; a word counts as a kind where its first block is
     same, told = Window.partitionBy("word"), Observation()
     listed = blocks.dictionary(read, "word", "n").withColumns({"c": F.sum("n").over(same), "first": F.min("block").over(same)})
@@ -605,20 +675,24 @@ def score(docs: DataFrame, path: str = MODEL, rounds: int = ROUNDS) -> DataFrame
     kinds = told.get.get("kinds") or 0
 
     def base(rows: pa.Table, known: pa.Table) -> pa.Table:
-        block = rows["block"][0].as_py()
-        lengths, steps, times, c = _opened(rows["held"][0].as_py(), 4)
-        at = _places(steps, lengths)
+        block, out = rows["block"][0].as_py(), []
+        held = dict(zip(rows["row"].to_pylist(), rows["held"]))
+        (c,) = _opened(held.pop(None).as_py(), 1)
         c[known["place"].to_numpy()] = known["c"].to_numpy()
         logs = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-        # sums per document, as a running sum over a block would lose digits
-        sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), times * logs[at], len(lengths))
-        n_known = blocks.totals(times * (c > 0)[at], lengths)
-        columns = [pa.array([block] * len(lengths)), pa.array(np.arange(len(lengths)), pa.int32()), pa.array(n_known), pa.array(sums, pa.float64())]
-        return pa.table(columns, ["block", "row", "n_known", "base_score"])
+        for first, raw in held.items():
+            lengths, steps, times = _opened(raw.as_py(), 3)
+            at = _places(steps, lengths)
+            # sums per document, as a running sum over a block would lose digits
+            sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), times * logs[at], len(lengths))
+            row = pa.array(np.arange(first, first + len(lengths)), pa.int32())
+            n_known = pa.array(blocks.totals(times * (c > 0)[at], lengths))
+            out.append(pa.table([pa.array([block] * len(row)), row, n_known, pa.array(sums, pa.float64())], ["block", "row", "n_known", "base_score"]))
+        return pa.concat_tables(out)
 
     kept = ["block", "row", "doc_id", "held_out", "n_tokens"]
     scores = documents.select(*kept, "ids").mapInArrow(_scoring(layer, counts), SCORED)
-    based = blocks.give_back(read.where(F.col("word").isNotNull()).select("block", "held"), values, base, BASE)
+    based = blocks.give_back(read.where(F.col("held").isNotNull()).select("block", "row", "held"), values, base, BASE)
     return scores.join(based, ["block", "row"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )

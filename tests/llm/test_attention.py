@@ -248,3 +248,34 @@ def test_parts_of_texts():
     assert [n.tolist() for _, n in found] == [[0, 3, 5, 0], [20], [1, 1, 0]]
     assert np.concatenate([i for i, _ in found]).tolist() == list(range(30))
     assert list(at.parts(np.arange(0), np.zeros(0, np.int64))) == []
+
+
+def test_chunks_of_many_texts():
+    rng = np.random.default_rng(6)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "a", "THE", "\u00c9", "\u65e5\u672c", "\x00", ".", "x" * 70]
+    texts = ["", " ", "\n", " \n a", "b\n\n c ", *("".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(300)), ""]
+    lower = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in texts]
+    for more in ([], ["a \u2581 b", " x\u2581"]):
+        found, which, lengths = at.distinct_chunks([t.encode() for t in texts + more])
+        assert len(set(found)) == len(found)
+        ends = np.cumsum(lengths)
+        assert [[found[i] for i in which[e - n : e]] for n, e in zip(lengths, ends)] == [at.chunks(t) for t in lower + more]
+    assert at.distinct_chunks([b"", b""])[2].tolist() == [0, 0]
+
+
+@needs_files
+def test_blocks_in_parts_hold_what_one_part_holds(monkeypatch):
+    """Words are listed once for a block, whatever its parts; a block that is full is followed by another."""
+    texts = ["the house and the house", None, "a new word", "", "the end", "a new house"] * 4
+    docs = pa.record_batch({"doc_id": range(len(texts)), "text": texts, "held_out": [i % 5 == 1 for i in range(len(texts))], "slot": pa.array([0] * len(texts), pa.int32())})
+    monkeypatch.setattr(at.blocks, "numbers", lambda: iter(range(100)))
+    rows = lambda size: pa.Table.from_batches(at.read(iter([docs.slice(i, size) for i in range(0, len(texts), size)]), at.MODEL)).to_pylist()
+    lists = lambda found: [r for r in found if r["word"]]
+    ids = lambda found: [r["ids"] for r in found if r["ids"] is not None]
+    one, many = rows(24), rows(5)
+    assert lists(one) == lists(many) and len(lists(one)) == 1 and ids(one) == ids(many)
+    assert [r["row"] for r in many if r["ids"] is not None] == list(range(24))
+    monkeypatch.setattr(at, "KINDS", 4)
+    cut = rows(6)
+    assert [r["block"] for r in lists(cut)] == [0, 1, 2, 3] and ids(cut) == ids(one)
+    assert sum(sum(r["n"]) for r in lists(cut)) == sum(lists(one)[0]["n"])
